@@ -159,7 +159,7 @@ SQL["bars_with_clock"] = I.sql_rounded(
 )
 
 # Seeds: bars are cut in two at the middle of the history and joined up again.
-_CUT = "(SELECT (min(epoch_ms(ts)) + max(epoch_ms(ts))) // 2 FROM events)"
+_CUT = "(SELECT (min(epoch_us(ts) // 1000) + max(epoch_us(ts) // 1000)) // 2 FROM events)"
 
 
 def _halves(spark, sf_dir):

@@ -35,7 +35,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRADES = """SELECT event_type AS symbol, value AS price,
-  CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS quantity, epoch_ms(ts) AS ts_ms,
+  CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS quantity, epoch_us(ts) // 1000 AS ts_ms,
   user_id % 2 = 0 AS is_buyer_maker, event_id AS seq FROM events"""
 
 
