@@ -74,7 +74,7 @@ DELAYED = f"""SELECT * REPLACE (arrival_ms * {1 << 22} + seq % {1 << 22} AS seq)
   SELECT *, ts_ms + (seq * 7919) % {DELAY_MS} AS arrival_ms FROM ({TRADES}))"""
 
 # Period dimension in SQL.
-PERIOD_ROWS = """(VALUES ('1m', 0, 60000, 0), ('5m', 1, 300000, 0), ('30m', 2, 1800000, 0),
+PERIOD_ROWS = """(VALUES ('1m', 0, 60000::BIGINT, 0), ('5m', 1, 300000, 0), ('30m', 2, 1800000, 0),
   ('1h', 3, 3600000, 0), ('4h', 4, 14400000, 0), ('1d', 5, 86400000, 0),
   ('1w', 6, 604800000, 259200000)) AS p(period, ordinal, ms, shift)"""
 

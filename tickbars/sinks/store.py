@@ -1,6 +1,6 @@
 """Stored bars: shape, upsert, range reads, latest bars, pushes and exports.
 
-Bars live in one parquet table partitioned by ``period`` and ``day``. A batch is written to
+Bars live in one parquet table partitioned by ``period`` and ``month``. A batch is written to
 its own ``batch_id`` partition, so a repeated batch replaces itself; readers take the best
 row per key; ``compact`` folds the batches into a fresh table elsewhere. No path is read
 and overwritten in the same job.
@@ -87,18 +87,26 @@ def merge_bars(versions: DataFrame, arrival: str) -> DataFrame:
     )
 
 
-def _with_day(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("day", F.to_date(F.timestamp_millis("open_time")))
+def _month(ms: Column) -> Column:
+    return F.trunc(F.timestamp_millis(ms), "month")
+
+
+def _with_month(bars: DataFrame) -> DataFrame:
+    """A month keeps files large for every period: a day would leave 1d with one row per
+    symbol in a file. Within a file, rows are found by symbol and time statistics."""
+    return bars.withColumn("month", _month(F.col("open_time")))
 
 
 def write_batch(bars: DataFrame, path: str, batch_id: int) -> None:
     """Store one batch; writing the same batch again replaces it."""
     (
-        _with_day(bars)
+        _with_month(bars)
         .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        .hint("rebalance", F.col("period"), F.col("month"))
+        .sortWithinPartitions("period", "month", "symbol", "open_time")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "period", "day")
+        .partitionBy("batch_id", "period", "month")
         .parquet(path)
     )
 
@@ -117,10 +125,10 @@ def compact(spark: SparkSession, sources: list[str], target: str) -> None:
     """Fold batches (and an older compacted table) into a new table, sorted for range reads."""
     (
         read_current(spark, *sources)
-        .hint("rebalance", F.col("period"), F.col("day"))
-        .sortWithinPartitions("period", "day", "symbol", "open_time")
+        .hint("rebalance", F.col("period"), F.col("month"))
+        .sortWithinPartitions("period", "month", "symbol", "open_time")
         .write.mode("errorifexists")
-        .partitionBy("period", "day")
+        .partitionBy("period", "month")
         .parquet(target)
     )
 
@@ -133,10 +141,8 @@ def range_scan(bars: DataFrame, symbol: str, period: str, start_ms: int, end_ms:
     scan = bars.filter(
         (F.col("symbol") == symbol) & (F.col("period") == period) & F.col("open_time").between(start_ms, end_ms)
     )
-    if "day" in bars.columns:  # prunes partitions of a stored table
-        scan = scan.filter(
-            F.col("day").between(F.to_date(F.timestamp_millis(F.lit(start_ms))), F.to_date(F.timestamp_millis(F.lit(end_ms))))
-        )
+    if "month" in bars.columns:  # prunes partitions of a stored table
+        scan = scan.filter(F.col("month").between(_month(F.lit(start_ms)), _month(F.lit(end_ms))))
     return scan.orderBy("open_time")
 
 
