@@ -26,7 +26,7 @@ BAR_VALUES = ("open", "high", "low", "close", *SUMS)
 BAR_KEY = ("symbol", "period", "open_time")
 
 
-def _ohlcv() -> list[Column]:
+def ohlcv() -> list[Column]:
     price, quantity = F.col("price"), F.col("quantity")
     taken = ~F.col("is_buyer_maker")
     return [
@@ -46,7 +46,7 @@ def single_period_bars(trades: DataFrame, period: str) -> DataFrame:
     """Bars of one period when no trade is late: one aggregate, one shuffle."""
     return (
         trades.groupBy("symbol", bar_open(F.col("ts_ms"), period).alias("open_time"))
-        .agg(*_ohlcv())
+        .agg(*ohlcv())
         .select("symbol", F.lit(period).alias("period"), "open_time", *BAR_VALUES)
     )
 
@@ -141,7 +141,7 @@ def slices(masked: DataFrame, periods: tuple[str, ...] = PERIODS) -> DataFrame:
         masked = masked.withColumn("accept_mask", F.lit((1 << len(periods)) - 1))
     return masked.groupBy(
         "symbol", floor_ms(F.col("ts_ms"), base_ms(periods)).alias("step_ms"), "accept_mask"
-    ).agg(*_ohlcv(), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    ).agg(*ohlcv(), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 def _targets(periods: tuple[str, ...]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("bar_queries", "wire_queries", "quality_queries")
+_MODULES = ("bar_queries", "wire_queries", "quality_queries", "log_queries", "stream_queries")
 
 
 def all_queries() -> dict:

@@ -45,10 +45,10 @@ def scattered_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two trades share a slipped position only if their ids are closer than SCATTER, so the
     remainder of the id makes ``seq`` unique at any size.
     """
-    return trades(spark, sf_dir).withColumn("seq", _scatter(F.col("seq")))
+    return trades(spark, sf_dir).withColumn("seq", scatter(F.col("seq")))
 
 
-def _scatter(seq: Column) -> Column:
+def scatter(seq: Column) -> Column:
     return (seq + (seq * 7919) % SCATTER) * SCATTER + seq % SCATTER
 
 

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -28,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="spark-tickbars-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-tickbars-")
+    return _local_dirs[app]
 
 
 def use_checkpoints(spark: SparkSession) -> str:
