@@ -1,7 +1,9 @@
-"""Strictly typed reads from a parsed JSON value (VARIANT): null when the type differs.
+"""JSON texts read with their types kept: null when a value is of another type.
 
-Callers should read from a column that holds the parsed document, not from the parsing
-expression itself, so that a text is parsed once.
+Texts are parsed once, by ``from_json``. Where a JSON string must not be mistaken for a
+number, the field is read as VARIANT and its type is looked at; integers and booleans are
+strict in ``from_json`` anyway. Keys may differ by case alone, so parsed structs are cast to
+structs with plain names, which goes by position.
 """
 
 from __future__ import annotations
@@ -9,9 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_JSON_TYPE = {"text": "variant", "integer": "bigint", "flag": "boolean"}
 
-def node(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "variant")
+
+def json_type(fields: dict) -> str:
+    """Struct type of a payload with ``fields`` = {key: (name, kind)}."""
+    return "struct<" + ",".join(f"`{key}`:{_JSON_TYPE[kind]}" for key, (_, kind) in fields.items()) + ">"
+
+
+def named_type(fields: dict) -> str:
+    """The same struct with the column names."""
+    return "struct<" + ",".join(f"{name}:{_JSON_TYPE[kind]}" for name, kind in fields.values()) + ">"
 
 
 def kind(value: Column) -> Column:
@@ -19,35 +29,38 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def text(doc: Column, path: str) -> Column:
+def as_text(value: Column) -> Column:
     """A JSON string; numbers and booleans do not count."""
-    return F.when(kind(node(doc, path)) == "STRING", F.try_variant_get(doc, path, "string"))
+    return F.when(kind(value) == "STRING", value.cast("string"))
 
 
-def integer(doc: Column, path: str) -> Column:
-    return F.when(kind(node(doc, path)) == "BIGINT", F.try_variant_get(doc, path, "bigint"))
+def as_integer(value: Column) -> Column:
+    return F.when(kind(value) == "BIGINT", value.cast("bigint"))
 
 
-def number(doc: Column, path: str) -> Column:
+def as_number(value: Column) -> Column:
     """Any JSON number."""
-    return F.when(
-        F.regexp_like(kind(node(doc, path)), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")),
-        F.try_variant_get(doc, path, "double"),
-    )
+    return F.when(~kind(value).isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get(value, "$", "double"))
 
 
-def flag(doc: Column, path: str) -> Column:
-    return F.when(kind(node(doc, path)) == "BOOLEAN", F.try_variant_get(doc, path, "boolean"))
+def as_flag(value: Column) -> Column:
+    return F.when(kind(value) == "BOOLEAN", value.cast("boolean"))
 
 
-def items(doc: Column, path: str) -> Column:
+def as_items(value: Column) -> Column:
     """A JSON array as array<variant>; null when it is none."""
-    return F.try_variant_get(doc, path, "array<variant>")
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
-def entries(doc: Column, path: str) -> Column:
+def as_entries(value: Column) -> Column:
     """A JSON object as map<string, variant>; null when it is none."""
-    return F.try_variant_get(doc, path, "map<string,variant>")
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def strict(fields: dict, struct: str | None = None) -> list[Column]:
+    """Columns of a parsed payload, texts checked."""
+    at = (lambda n: F.col(f"{struct}.{n}")) if struct else F.col
+    return [(as_text(at(n)) if k == "text" else at(n)).alias(n) for n, k in fields.values()]
 
 
 def unfold(fields: list[Column]) -> Column:

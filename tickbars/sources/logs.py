@@ -34,9 +34,10 @@ def normal_level(level: Column) -> Column:
     return F.when(upper.isin(*LEVELS), upper).otherwise("INFO")
 
 
-def is_json_log(line: Column, doc: Column) -> Column:
+def is_json_log(line: Column) -> Column:
     """Whether a line is a JSON object with a timestamp, a level and a target."""
-    has = lambda key: V.node(doc, f"$.{key}").isNotNull()
+    keys = F.map_keys(F.from_json(line, _MAP))
+    has = lambda key: F.array_contains(keys, key)
     return (
         F.ltrim(line).startswith("{")
         & F.rtrim(line).endswith("}")
@@ -46,28 +47,21 @@ def is_json_log(line: Column, doc: Column) -> Column:
 
 def _read(lines: DataFrame, keep: list[str]) -> DataFrame:
     """The fields that any of the forms may use."""
-    doc = F.col("_doc")
+    top = lambda key: F.col("_top")[key]
     texts = ("log_type", "type", "timestamp", "level", "target", "message", "module_path", "file",
              "name", "trace_id", "span_id", "parent_id")
     fields = [
-        *(V.text(doc, f"$.{k}").alias(f"_{k}") for k in texts),
-        V.integer(doc, "$.line").alias("_line"),
-        V.number(doc, "$.duration_ms").alias("_duration"),
-        V.node(doc, "$.duration_ms").isNotNull().alias("_has_duration"),
-        V.text(doc, "$.fields.event_type").alias("_event_type"),
-        V.text(doc, "$.fields.span_name").alias("_f_name"),
-        V.text(doc, "$.fields.span_id").alias("_f_id"),
-        V.text(doc, "$.fields.parent_id").alias("_f_parent"),
-        V.node(doc, "$.span").isNotNull().alias("_has_span"),
-        V.text(doc, "$.span.name").alias("_s_name"),
-        V.text(doc, "$.span.target").alias("_s_target"),
-        V.text(doc, "$.span.id").alias("_s_id"),
-        V.text(doc, "$.span.parent_id").alias("_s_parent"),
-        V.items(doc, "$.span.hierarchy").alias("_s_hierarchy"),
-        V.entries(doc, "$.fields").alias("_fields"),
-        V.entries(doc, "$").alias("_top"),
+        *(V.as_text(top(k)).alias(f"_{k}") for k in texts),
+        V.as_integer(top("line")).alias("_line"),
+        V.as_number(top("duration_ms")).alias("_duration"),
+        F.map_contains_key("_top", "duration_ms").alias("_has_duration"),
+        F.map_contains_key("_top", "span").alias("_has_span"),
+        top("span").alias("_span"),
+        F.coalesce(V.as_entries(top("fields")), F.create_map().cast(_MAP)).alias("_f"),
+        F.col("_top"),
     ]
-    return lines.select(*keep, F.try_parse_json("value").alias("_doc")).select(*keep, V.unfold(fields))
+    opened = lines.select(*keep, F.explode(F.array(F.from_json("value", _MAP))).alias("_top"))
+    return opened.filter(F.col("_top").isNotNull()).select(*keep, V.unfold(fields))
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:
@@ -75,9 +69,8 @@ def parse_logs(lines: DataFrame) -> DataFrame:
     log_type`` and ``form``, with the other input columns. Lines of no form are left out."""
     keep = [c for c in lines.columns if c != "value"]
     c = F.col
-    empty = F.create_map().cast(_MAP)
     read = _read(lines, keep).select(
-        "*", rfc3339(c("_timestamp")).alias("_ts"), F.coalesce(c("_fields"), empty).alias("_f")
+        "*", rfc3339(c("_timestamp")).alias("_ts"), V.as_text(c("_f")["event_type"]).alias("_event_type")
     )
 
     core = c("_ts").isNotNull() & c("_level").isNotNull() & c("_target").isNotNull() & c("_message").isNotNull()
@@ -141,21 +134,29 @@ def parse_logs(lines: DataFrame) -> DataFrame:
         )
 
     none = F.lit(None).cast("array<string>")
+    in_fields = lambda key: V.as_text(c("_f")[key])
+    in_span = lambda key: V.as_text(F.try_variant_get("_span", f"$.{key}", "variant"))
     names = F.transform(
-        F.filter("_s_hierarchy", lambda v: V.kind(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string")
+        F.filter(F.try_variant_get("_span", "$.hierarchy", "array<variant>"), lambda v: V.kind(v) == "STRING"),
+        lambda v: v.cast("string"),
     )
-    own_target = F.coalesce("_s_target", "_target")
+    spanned = (c("form").isin("module", "plain")) & c("_has_span")
     span_of = (
         F.when(
             (c("form") == "trace") & (c("_event_type") != "log"),
-            span(c("_f_name"), c("_target"), c("_f_id"), c("_f_parent"), none),
+            span(in_fields("span_name"), c("_target"), in_fields("span_id"), in_fields("parent_id"), none),
         )
         .when(is_legacy, span(c("_name"), F.coalesce(c("_target"), target), span_id, c("_parent_id"), none))
         .when(
-            (c("form") == "module") & c("_has_span"),
-            span(c("_s_name"), own_target, c("_s_id"), c("_s_parent"), names),
+            spanned,
+            span(
+                in_span("name"),
+                F.coalesce(in_span("target"), c("_target")),
+                in_span("id"),
+                in_span("parent_id"),
+                F.when(c("form") == "module", names),
+            ),
         )
-        .when((c("form") == "plain") & c("_has_span"), span(c("_s_name"), own_target, c("_s_id"), c("_s_parent"), none))
     )
     plain_only = lambda col: F.when(c("form") == "plain", c(col))
     return formed.select(
@@ -192,8 +193,7 @@ def span_kind(entries: DataFrame) -> Column:
 def session_marker() -> Column:
     """Whether an entry opens a session."""
     mark = F.try_element_at("fields", F.lit("session_start"))
-    by_field = F.when(V.kind(mark) == "BOOLEAN", F.try_variant_get(mark, "$", "boolean"))
-    return (F.col("message") == "session_start") | F.coalesce(by_field, F.lit(False))
+    return (F.col("message") == "session_start") | F.coalesce(V.as_flag(mark), F.lit(False))
 
 
 # --- span records -------------------------------------------------------------------------
@@ -205,16 +205,18 @@ def parse_spans(lines: DataFrame) -> DataFrame:
     """Span records (``type: span``). A line that lacks a required field is left out;
     ``parent_id`` may be null. ``attributes`` is a map, ``events`` an array of JSON values."""
     keep = [c for c in lines.columns if c != "value"]
-    doc = F.col("_doc")
+    schema = ",".join(
+        ["type variant", *(f"{k} variant" for k in _SPAN_TEXTS), "parent_id variant", "duration_ms double",
+         f"attributes {_MAP}", "events array<variant>"]
+    )
     fields = [
-        V.text(doc, "$.type").alias("_type"),
-        *(V.text(doc, f"$.{k}").alias(k) for k in _SPAN_TEXTS),
-        V.text(doc, "$.parent_id").alias("parent_id"),
-        V.number(doc, "$.duration_ms").alias("duration_ms"),
-        V.entries(doc, "$.attributes").alias("attributes"),
-        V.items(doc, "$.events").alias("events"),
+        V.as_text(F.col("_s.type")).alias("_type"),
+        *(V.as_text(F.col(f"_s.{k}")).alias(k) for k in _SPAN_TEXTS),
+        V.as_text(F.col("_s.parent_id")).alias("parent_id"),
+        *(F.col(f"_s.{k}").alias(k) for k in ("duration_ms", "attributes", "events")),
     ]
-    read = lines.select(*keep, F.try_parse_json("value").alias("_doc")).select(*keep, V.unfold(fields))
+    opened = lines.select(*keep, F.explode(F.array(F.from_json("value", schema))).alias("_s"))
+    read = opened.select(*keep, V.unfold(fields))
     whole = F.col("_type") == "span"
     for name in (*_SPAN_TEXTS, "duration_ms", "attributes", "events"):
         whole = whole & F.col(name).isNotNull()

@@ -1,8 +1,7 @@
 """Exchange payloads (one JSON text per row) as typed rows.
 
 Works on any DataFrame with a text column ``value``: files read with ``spark.read.text``,
-or a stream. Keys of these payloads differ only by case, so fields are read by path from a
-parsed VARIANT, which keeps case and lets types be checked.
+or a stream.
 """
 
 from __future__ import annotations
@@ -108,13 +107,6 @@ INSTRUMENT_LISTS = {
     "timeInForce": "time_in_force",
 }
 
-_READ = {"text": V.text, "integer": V.integer, "flag": V.flag}
-
-
-def _fields(doc: Column, fields: dict) -> list[Column]:
-    return [_READ[kind](doc, f"$.{key}").alias(name) for key, (name, kind) in fields.items()]
-
-
 def _complete(fields: dict) -> Column:
     ok = F.lit(True)
     for name, _ in fields.values():
@@ -151,25 +143,24 @@ def classify_trades(lines: DataFrame) -> DataFrame:
     ``ignored`` (another message), ``bad_payload``, ``bad_price`` or ``bad_quantity``.
     """
     held = [F.col(c) for c in lines.columns]
-    opened = lines.select(*held, F.try_parse_json("value").alias("_doc"))
-    data = V.node(F.col("_doc"), "$.data")
-    combined = V.text(F.col("_doc"), "$.stream").isNotNull() & data.isNotNull()
-    body = opened.select(
-        *held,
-        V.unfold(
-            [
-                V.text(F.col("_doc"), "$.e").alias("_event"),
-                combined.alias("_combined"),
-                F.when(combined, data).otherwise(F.col("_doc")).alias("_body"),
-            ]
-        ),
+    fields = TRADE_FIELDS | TRADE_EXTRAS
+    own = V.json_type({"e": ("_event", "text")} | fields)[len("struct<") : -1]
+    names = V.named_type({"e": ("_event", "text")} | fields)[len("struct<") : -1]
+    envelope = F.from_json("value", f"struct<stream:variant,data:{V.json_type(fields)},{own}>").cast(
+        f"struct<_stream:variant,_data:{V.named_type(fields)},{names}>"
     )
-    parsed = body.select(
-        *held,
-        "_event",
-        "_combined",
-        V.unfold(_fields(F.col("_body"), TRADE_FIELDS) + _fields(F.col("_body"), TRADE_EXTRAS)),
-    ).select(
+    opened = lines.select(*held, F.inline(F.array(envelope)))
+    in_stream = V.kind(F.col("_stream")) == "STRING"
+    # data that is no object is still a (bad) combined message
+    combined = F.coalesce(
+        in_stream & (F.col("_data").isNotNull() | F.get_json_object("value", "$.data").isNotNull()), F.lit(False)
+    )
+    body = F.when(F.col("_combined"), F.col("_data")).otherwise(F.struct(*(n for n, _ in fields.values())))
+    chosen = opened.withColumn("_combined", combined).select(
+        *held, V.as_text(F.col("_event")).alias("_event"), "_combined", body.alias("_body")
+    )
+    texts = chosen.select(*held, "_event", "_combined", V.unfold(V.strict(fields, "_body")))
+    parsed = texts.select(
         "*",
         to_number(F.col("price_text")).alias("price"),
         to_number(F.col("quantity_text")).alias("quantity"),
@@ -199,11 +190,17 @@ def rejected_trades(classified: DataFrame) -> DataFrame:
     return classified.filter(F.col("outcome").startswith("bad_"))
 
 
+def _array_of(fields: dict) -> Column:
+    """A text that is a JSON array of payloads; null for anything else."""
+    parsed = F.from_json("value", f"array<{V.json_type(fields)}>").cast(f"array<{V.named_type(fields)}>")
+    return F.when(F.ltrim("value").startswith("["), parsed)
+
+
 def parse_rest_trades(lines: DataFrame) -> DataFrame:
     """Trade history responses: one JSON array of trades per row."""
-    opened = lines.select(F.explode(V.items(F.try_parse_json("value"), "$")).alias("_t"))
+    opened = lines.select(F.inline(_array_of(REST_TRADE_FIELDS)))
     return (
-        opened.select(V.unfold(_fields(F.col("_t"), REST_TRADE_FIELDS)))
+        opened.select(V.unfold(V.strict(REST_TRADE_FIELDS)))
         .filter(_complete(REST_TRADE_FIELDS))
         .select(
             "agg_trade_id",
@@ -221,18 +218,17 @@ def parse_rest_trades(lines: DataFrame) -> DataFrame:
 def parse_tickers(lines: DataFrame) -> DataFrame:
     """Ticker arrays, one row per symbol. A message that is no array, or has an element that
     lacks a field, gives no rows and no error."""
-    opened = lines.select(V.items(F.try_parse_json("value"), "$").alias("_all"))
-
     def whole(t: Column) -> Column:
         ok = F.lit(True)
-        for key, (_, kind) in TICKER_FIELDS.items():
-            ok = ok & _READ[kind](t, f"$.{key}").isNotNull()
-        return ok
+        for name, kind in TICKER_FIELDS.values():
+            ok = ok & (V.kind(t[name]) == "STRING" if kind == "text" else t[name].isNotNull())
+        return F.coalesce(ok, F.lit(False))
 
+    opened = lines.select(F.explode(F.array(_array_of(TICKER_FIELDS))).alias("_all"))
     return (
         opened.filter(F.forall("_all", whole))
-        .select(F.explode("_all").alias("_t"))
-        .select(*_fields(F.col("_t"), TICKER_FIELDS))
+        .select(F.inline("_all"))
+        .select(*V.strict(TICKER_FIELDS))
     )
 
 
@@ -247,8 +243,9 @@ def ticker_numbers(tickers: DataFrame) -> DataFrame:
 def parse_rest_bars(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Bar history responses: arrays of 12-element arrays. Rows with fewer elements or a
     wrong type in a position are skipped. ``keep`` names input columns to carry along."""
-    rows = lines.select(*keep, F.explode(V.items(F.try_parse_json("value"), "$")).alias("_r"))
-    cells = [_READ[kind](F.col("_r"), f"$[{i}]").alias(name) for i, (name, kind) in enumerate(REST_BAR_POSITIONS)]
+    rows = lines.select(*keep, F.explode(F.from_json("value", "array<array<variant>>")).alias("_r"))
+    read = {"text": V.as_text, "integer": V.as_integer}
+    cells = [read[kind](F.get("_r", F.lit(i))).alias(name) for i, (name, kind) in enumerate(REST_BAR_POSITIONS)]
     full = F.lit(True)
     for name in STORED_BAR_COLUMNS:
         full = full & F.col(name).isNotNull()
@@ -257,14 +254,15 @@ def parse_rest_bars(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def empty_responses(lines: DataFrame) -> DataFrame:
     """Bar responses without a single row: an error of the request, to be reported."""
-    return lines.filter(F.size(V.items(F.try_parse_json("value"), "$")) == 0)
+    return lines.filter(F.size(F.from_json("value", "array<variant>")) == 0)
 
 
 def parse_stream_bars(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Bars pushed by the exchange, with the names of stored bars."""
+    payload = F.from_json("value", V.json_type(STREAM_BAR_FIELDS)).cast(V.named_type(STREAM_BAR_FIELDS))
     return (
-        lines.select(*keep, F.try_parse_json("value").alias("_doc"))
-        .select(*keep, V.unfold(_fields(F.col("_doc"), STREAM_BAR_FIELDS)))
+        lines.select(*keep, F.inline(F.array(payload)))
+        .select(*keep, V.unfold(V.strict(STREAM_BAR_FIELDS)))
         .filter(_complete(STREAM_BAR_FIELDS))
     )
 
@@ -283,19 +281,20 @@ def numeric_bars(stored: DataFrame) -> DataFrame:
 def parse_instruments(lines: DataFrame) -> DataFrame:
     """Instrument list responses: one row per symbol. Only ``symbol`` is required; other
     fields have defaults, and unknown ones are kept in ``extra``."""
-    opened = lines.select(F.explode(V.items(F.try_parse_json("value"), "$.symbols")).alias("_s"))
-    s = F.col("_s")
+    listed = F.from_json("value", "struct<symbols:array<map<string,variant>>>")["symbols"]
+    opened = lines.select(F.explode(listed).alias("_s"))
+    at = lambda key: F.col("_s")[key]
     known = ["symbol", "filters", *INSTRUMENT_TEXTS, *INSTRUMENT_NUMBERS, *INSTRUMENT_LISTS]
     no_text = F.array().cast("array<string>")
     fields = [
-        V.text(s, "$.symbol").alias("symbol"),
-        *(F.coalesce(V.text(s, f"$.{k}"), F.lit("")).alias(n) for k, n in INSTRUMENT_TEXTS.items()),
-        *(F.coalesce(V.integer(s, f"$.{k}"), F.lit(0)).alias(n) for k, n in INSTRUMENT_NUMBERS.items()),
+        V.as_text(at("symbol")).alias("symbol"),
+        *(F.coalesce(V.as_text(at(k)), F.lit("")).alias(n) for k, n in INSTRUMENT_TEXTS.items()),
+        *(F.coalesce(V.as_integer(at(k)), F.lit(0)).alias(n) for k, n in INSTRUMENT_NUMBERS.items()),
         *(
-            F.coalesce(F.try_variant_get(s, f"$.{k}", "array<string>"), no_text).alias(n)
+            F.coalesce(F.try_variant_get(at(k), "$", "array<string>"), no_text).alias(n)
             for k, n in INSTRUMENT_LISTS.items()
         ),
-        F.coalesce(V.items(s, "$.filters"), F.array().cast("array<variant>")).alias("filters"),
-        F.map_filter(V.entries(s, "$"), lambda k, _: ~k.isin(known)).alias("extra"),
+        F.coalesce(V.as_items(at("filters")), F.array().cast("array<variant>")).alias("filters"),
+        F.map_filter("_s", lambda k, _: ~k.isin(known)).alias("extra"),
     ]
     return opened.select(V.unfold(fields)).filter(F.col("symbol").isNotNull())
