@@ -80,14 +80,14 @@ def test_late_for_one_minute_counts_for_five(spark):
 
 
 @pytest.mark.parametrize("spread", [0, 3_600_000])
-@pytest.mark.parametrize("chunk", [5, 1_000_000])
-def test_all_periods_equal_the_fold(spark, spread, chunk):
+@pytest.mark.parametrize("steps", [None, 0, 500_000])
+def test_all_periods_equal_the_fold(spark, spread, steps):
     rows = random_rows(400, spread)
     periods = ("5m", "1h", "4h", "1d", "1w")
     f = folded(rows, periods)
-    got = bars_of(B.build_bars(tape(spark, rows), periods, arrival_order=True, gaps=True, chunk_rows=chunk))
+    got = bars_of(B.build_bars(tape(spark, rows), periods, arrival_order=True, gaps=True, broadcast_steps=steps))
     assert got == f.result()
-    late = B.late_trades(tape(spark, rows), periods, chunk_rows=chunk)
+    late = B.late_trades(tape(spark, rows), periods, broadcast_steps=steps)
     assert late.count() == len(f.late)
 
 
@@ -104,13 +104,13 @@ def test_periods_that_do_not_divide_each_other(spark, monkeypatch):
     assert got == folded(rows, periods).result()
 
 
-@pytest.mark.parametrize("chunk", [5, 1_000_000])
-def test_clock_equals_the_fold(spark, chunk):
+@pytest.mark.parametrize("steps", [None, 500_000])
+def test_clock_equals_the_fold(spark, steps):
     rows = random_rows(300, 120_000, span_ms=6 * 3_600_000)
     periods = ("1m", "5m", "1h")
     df = tape(spark, rows)
     got = bars_of(
-        B.build_bars(df, periods, clock_grace_ms=150, gaps=True, horizon_ms=B.clock_horizon(df, 150), chunk_rows=chunk)
+        B.build_bars(df, periods, clock_grace_ms=150, gaps=True, horizon_ms=B.clock_horizon(df, 150), broadcast_steps=steps)
     )
     assert got == folded(rows, periods, grace=150).result()
 
@@ -151,6 +151,14 @@ def test_no_join_or_window_multiplies_raw_rows(spark):
     assert "SortAggregate" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_late_trades_are_found_without_shuffling_the_tape(spark):
+    """The tape meets the limits in a broadcast join; what is shuffled is aggregated first."""
+    rows = random_rows(300, 3_600_000)
+    plan = B.build_bars(tape(spark, rows), arrival_order=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_stored_bars_as_seeds(spark):
     stored = spark.createDataFrame(
         [("A", "1h", BASE, "1.5", "2", "x", "1.7", "3", 5, "4", "1", "2")],

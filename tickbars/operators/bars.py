@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickbars.functions.periods import MINUTE_MS, MONDAY_SHIFT_MS, PERIODS, base_ms, period_ms
+from tickbars.functions.periods import MINUTE_MS, PERIODS, base_ms, period_ms
 from tickbars.functions.timefns import bar_open, floor_ms
-from tickbars.operators.running import CHUNK_ROWS, running
+from tickbars.session import use_checkpoints
 
 SUMS = ("volume", "turnover", "trade_count", "taker_buy_volume", "taker_buy_turnover")
 BAR_VALUES = ("open", "high", "low", "close", *SUMS)
@@ -52,81 +52,153 @@ def single_period_bars(trades: DataFrame, period: str) -> DataFrame:
 
 
 # --- lateness -----------------------------------------------------------------------------
+#
+# A trade is late for a period if, before it, a trade of a later bar arrived. With
+# ``first_seq`` the first arrival of each later bar, that is ``seq > min(first_seq)``: one
+# limit per (symbol, step, period) decides, and the trades need not be put in order. The
+# limits come from a narrow aggregate; only steps that do hold late trades are kept, so in a
+# feed that is nearly in order the table of limits is small and raw trades are not shuffled.
 
+# Above this many steps with late trades the limits are joined by shuffle and not broadcast.
+BROADCAST_STEPS = 500_000
+_NEVER = (1 << 63) - 1
 
-def with_frontier(
+
+def last_tick(arrival_ms: Column, grace_ms: int) -> Column:
+    """Time of the last clock tick not after ``arrival_ms``."""
+    return floor_ms(arrival_ms - grace_ms, MINUTE_MS) + grace_ms
+
+
+def late_limits(
     trades: DataFrame,
+    periods: tuple[str, ...] = PERIODS,
     *,
     clock_grace_ms: int | None = None,
     seeded: DataFrame | None = None,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add ``frontier_ms``: the latest time the builder had seen when the trade arrived.
-
-    That is the running maximum of the earlier trades' times of the symbol. Bar starts only
-    grow with time, so one frontier per symbol serves every period.
+    """Steps that hold late trades: ``symbol, step_ms`` and, per period *i*, ``limit_i``, the
+    arrival position after which trades of the step are late.
 
     With ``clock_grace_ms`` a clock ticks at every full minute plus the grace, on the scale
-    of the ``arrival_ms`` column (which must not fall as ``seq`` grows); a tick counts once
-    the symbol has traded, or at once for the symbols in ``seeded``. The last tick before a
-    trade follows from its arrival time, so no heartbeat rows are needed.
-    """
-    if clock_grace_ms is None:
-        return running(trades, ["symbol"], "seq", {"frontier_ms": ("max", "ts_ms")}, chunk_rows=chunk_rows)
-
-    seen = running(
-        trades,
-        ["symbol"],
-        "seq",
-        {"_max_ts": ("max", "ts_ms"), "_first_arrival": ("min", "arrival_ms")},
-        chunk_rows=chunk_rows,
-    )
-    tick = last_tick(F.col("arrival_ms"), clock_grace_ms)
-    counts = tick > F.col("_first_arrival")
-    if seeded is not None:
-        marks = seeded.select("symbol").distinct().withColumn("_seeded", F.lit(True))
-        seen = seen.join(marks, "symbol", "left")
-        counts = counts | F.col("_seeded")
-    return seen.select(
-        *(F.col(c) for c in trades.columns),
-        F.greatest("_max_ts", F.when(counts, tick)).alias("frontier_ms"),
-    )
-
+    of the ``arrival_ms`` column (which must not fall as ``seq`` grows). A tick closes ended
+    bars once the symbol has traded (``ticks_after``), or at once for symbols in ``seeded``.
+    The last tick before a trade follows from its arrival, so no heartbeat rows are needed.
 
-def last_tick(arrival_ms: Column, grace_ms: int) -> Column:
-    """Time of the last clock tick not after ``arrival_ms``."""
-    return floor_ms(arrival_ms - grace_ms, MINUTE_MS) + grace_ms
-
-
-def _accepts(period: str) -> Column:
-    frontier = F.col("frontier_ms")
-    return frontier.isNull() | (bar_open(F.col("ts_ms"), period) >= bar_open(frontier, period))
+    The windows see one row per symbol and step, so their size depends on the length of
+    history and not on how busy a symbol is.
+    """
+    clock = clock_grace_ms is not None
+    extent = [F.min("seq").alias("_first"), F.max("seq").alias("_last")]
+    if clock:
+        extent += [F.min("arrival_ms").alias("_first_arrival"), F.max("arrival_ms").alias("_last_arrival")]
+    steps = trades.groupBy("symbol", floor_ms(F.col("ts_ms"), base_ms(periods)).alias("step_ms")).agg(*extent)
+
+    later = Window.partitionBy("symbol").orderBy(F.col("step_ms").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("_limit", F.coalesce(F.min("_first").over(later), F.lit(_NEVER)))
+    step = F.col("step_ms")
+    # within a bar the limit grows with the step, so the largest is that of the bar's end
+    limits = [
+        F.max("_limit").over(Window.partitionBy("symbol", bar_open(step, p))).alias(f"limit_{i}")
+        for i, p in enumerate(periods)
+    ]
+    late = F.lit(False)
+    for i in range(len(periods)):
+        late = late | (F.col("_last") > F.col(f"limit_{i}"))
+    if clock:
+        since = F.min("_first_arrival").over(Window.partitionBy("symbol"))
+        limits.append(since.alias("ticks_after"))
+    steps = steps.select("*", *limits)
+    kept = ["symbol", "step_ms", *(f"limit_{i}" for i in range(len(periods)))]
+    if clock:
+        kept.append("ticks_after")
+        if seeded is not None:
+            marks = seeded.select("symbol", F.lit(True).alias("_seeded")).distinct()
+            steps = steps.join(marks, "symbol", "left").withColumn(
+                "ticks_after", F.when(F.col("_seeded"), F.lit(-_NEVER)).otherwise(F.col("ticks_after"))
+            )
+        tick = last_tick(F.col("_last_arrival"), clock_grace_ms)
+        for p in periods:
+            late = late | ((tick > F.col("ticks_after")) & (bar_open(tick, p) > bar_open(step, p)))
+    return steps.filter(late).select(*kept)
+
+
+def _sized(limits: DataFrame, broadcast_steps: int | None) -> DataFrame | None:
+    """The limits, ready to join: broadcast if a count says that they are few, None if there
+    are none. Without ``broadcast_steps`` nothing is run beforehand."""
+    if broadcast_steps is None:
+        return limits
+    use_checkpoints(limits.sparkSession)
+    held = limits.checkpoint()
+    n = held.count()
+    if n == 0:
+        return None
+    return F.broadcast(held) if n <= broadcast_steps else held
+
+
+def _late_for(i: int, period: str, clock_grace_ms: int | None) -> Column:
+    """Whether a trade joined with the limits of its step is late for a period."""
+    late = F.col("seq") > F.col(f"limit_{i}")
+    if clock_grace_ms is not None:
+        tick = last_tick(F.col("arrival_ms"), clock_grace_ms)
+        late = late | (
+            (tick > F.col("ticks_after")) & (bar_open(tick, period) > bar_open(F.col("ts_ms"), period))
+        )
+    return late
 
 
-def with_accept_mask(trades: DataFrame, periods: tuple[str, ...] = PERIODS) -> DataFrame:
+def with_accept_mask(
+    trades: DataFrame,
+    periods: tuple[str, ...] = PERIODS,
+    *,
+    clock_grace_ms: int | None = None,
+    seeded: DataFrame | None = None,
+    broadcast_steps: int | None = BROADCAST_STEPS,
+) -> DataFrame:
     """Add ``accept_mask``: bit *i* is set when period *i* accepts the trade."""
+    everyone = F.lit((1 << len(periods)) - 1)
+    limits = _sized(late_limits(trades, periods, clock_grace_ms=clock_grace_ms, seeded=seeded), broadcast_steps)
+    if limits is None:
+        return trades.withColumn("accept_mask", everyone)
     mask = F.lit(0)
     for i, p in enumerate(periods):
-        mask = mask + F.when(_accepts(p), F.lit(1 << i)).otherwise(F.lit(0))
-    return trades.withColumn("accept_mask", mask.cast("int"))
+        mask = mask + F.when(_late_for(i, p, clock_grace_ms), F.lit(0)).otherwise(F.lit(1 << i))
+    return (
+        trades.withColumn("step_ms", floor_ms(F.col("ts_ms"), base_ms(periods)))
+        .join(limits, ["symbol", "step_ms"], "left")
+        .select(
+            *(F.col(c) for c in trades.columns),
+            F.when(F.col("limit_0").isNull(), everyone).otherwise(mask).alias("accept_mask"),
+        )
+    )
 
 
-def late_trades(trades: DataFrame, periods: tuple[str, ...] = PERIODS, **frontier) -> DataFrame:
+def late_trades(
+    trades: DataFrame,
+    periods: tuple[str, ...] = PERIODS,
+    *,
+    clock_grace_ms: int | None = None,
+    seeded: DataFrame | None = None,
+    broadcast_steps: int | None = BROADCAST_STEPS,
+) -> DataFrame:
     """Side output: one row per trade and period that dropped it."""
-    masked = with_accept_mask(with_frontier(trades, **frontier), periods)
-    some = masked.filter(F.col("accept_mask") != (1 << len(periods)) - 1)
+    limits = late_limits(trades, periods, clock_grace_ms=clock_grace_ms, seeded=seeded)
+    sized = _sized(limits, broadcast_steps)
     dropped = F.array_compact(
         F.array(
             *(
                 F.when(
-                    F.col("accept_mask").bitwiseAND(1 << i) == 0,
+                    _late_for(i, p, clock_grace_ms),
                     F.struct(F.lit(p).alias("period"), bar_open(F.col("ts_ms"), p).alias("open_time")),
                 )
                 for i, p in enumerate(periods)
             )
         )
     )
-    return some.select(*(F.col(c) for c in trades.columns), F.inline(dropped))
+    return (
+        trades.withColumn("step_ms", floor_ms(F.col("ts_ms"), base_ms(periods)))
+        .join(limits.limit(0) if sized is None else sized, ["symbol", "step_ms"])
+        .select(*(F.col(c) for c in trades.columns), F.inline(dropped))
+    )
 
 
 # --- slices and roll-up -------------------------------------------------------------------
@@ -281,17 +353,19 @@ def build_bars(
     seeds: DataFrame | None = None,
     gaps: bool = False,
     horizon_ms: Column | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    broadcast_steps: int | None = BROADCAST_STEPS,
 ) -> DataFrame:
     """Bars from ``trades(symbol, price, quantity, ts_ms, is_buyer_maker, seq[, arrival_ms])``.
 
     ``arrival_order`` drops late trades; without it all trades count (event-time mode).
     ``clock_grace_ms`` lets the minute clock close bars too and implies ``arrival_order``.
-    ``gaps`` fills empty bars and adds ``is_final``.
+    ``gaps`` fills empty bars and adds ``is_final``. ``broadcast_steps`` bounds what is
+    broadcast to find late trades; to check the bound, their number is counted at once (None
+    skips that and leaves the join to the optimizer).
     """
     if arrival_order or clock_grace_ms is not None:
         trades = with_accept_mask(
-            with_frontier(trades, clock_grace_ms=clock_grace_ms, seeded=seeds, chunk_rows=chunk_rows), periods
+            trades, periods, clock_grace_ms=clock_grace_ms, seeded=seeds, broadcast_steps=broadcast_steps
         )
     elif len(periods) == 1 and seeds is None:
         bars = single_period_bars(trades, periods[0])

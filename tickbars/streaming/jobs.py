@@ -62,6 +62,7 @@ def fold_batch(
         seeds=None if seeds is None else seeds.drop("is_final"),
         gaps=True,
         horizon_ms=horizon,
+        broadcast_steps=None,
     )
 
 
