@@ -97,13 +97,13 @@ def test_validity_kinds_levels(spark):
     assert got == {1: ("Start", "INFO"), 2: ("Start", "INFO"), 3: ("Close", "INFO"), 4: ("Event", "INFO"), 5: (None, "WARN")}
 
 
-@pytest.mark.parametrize("chunk", [2, 1000])
-def test_sessions(spark, chunk):
+@pytest.mark.parametrize("chunk, dense", [(2, 1000), (1000, 1000), (3, 0)])
+def test_sessions(spark, chunk, dense):
     mark, plain = {**CORE, "message": "session_start"}, CORE
     by_field = {**CORE, "fields": {"session_start": True}}
     not_one = {**CORE, "fields": {"session_start": "true"}}
     e = parsed(spark, *(json.dumps(x) for x in (plain, mark, plain, not_one, by_field, plain, plain)))
-    assert [(r.seq, r.session) for r in L.sessions(e, chunk_rows=chunk).orderBy("seq").collect()] == [(0, 0), (2, 1), (3, 1), (5, 2), (6, 2)]
+    assert [(r.seq, r.session) for r in L.sessions(e, chunk_rows=chunk, dense=dense).orderBy("seq").collect()] == [(0, 0), (2, 1), (3, 1), (5, 2), (6, 2)]
     assert sorted(r.seq for r in L.current_session(e).collect()) == [5, 6]
     assert sorted(r.seq for r in L.current_session(e.filter("seq = 0")).collect()) == [0]
     assert sorted(r.seq for r in L.newest(e, 3, chunk_rows=chunk).collect()) == [4, 5, 6]

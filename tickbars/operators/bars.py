@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickbars.functions.periods import MINUTE_MS, PERIODS, base_ms, period_ms
 from tickbars.functions.timefns import bar_open, floor_ms
-from tickbars.session import use_checkpoints
+from tickbars.operators.sizing import SMALL_ROWS, counted_side
 
 SUMS = ("volume", "turnover", "trade_count", "taker_buy_volume", "taker_buy_turnover")
 BAR_VALUES = ("open", "high", "low", "close", *SUMS)
@@ -59,8 +59,6 @@ def single_period_bars(trades: DataFrame, period: str) -> DataFrame:
 # limits come from a narrow aggregate; only steps that do hold late trades are kept, so in a
 # feed that is nearly in order the table of limits is small and raw trades are not shuffled.
 
-# Above this many steps with late trades the limits are joined by shuffle and not broadcast.
-BROADCAST_STEPS = 500_000
 _NEVER = (1 << 63) - 1
 
 
@@ -93,14 +91,23 @@ def late_limits(
         extent += [F.min("arrival_ms").alias("_first_arrival"), F.max("arrival_ms").alias("_last_arrival")]
     steps = trades.groupBy("symbol", floor_ms(F.col("ts_ms"), base_ms(periods)).alias("step_ms")).agg(*extent)
 
-    later = Window.partitionBy("symbol").orderBy(F.col("step_ms").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("_limit", F.coalesce(F.min("_first").over(later), F.lit(_NEVER)))
-    step = F.col("step_ms")
-    # within a bar the limit grows with the step, so the largest is that of the bar's end
-    limits = [
-        F.max("_limit").over(Window.partitionBy("symbol", bar_open(step, p))).alias(f"limit_{i}")
-        for i, p in enumerate(periods)
-    ]
+    # all windows go back in time over the same order, so one sort serves them
+    back = Window.partitionBy("symbol").orderBy(F.col("step_ms").desc())
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    upto = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.select(
+        "*",
+        F.coalesce(F.min("_first").over(later), F.lit(_NEVER)).alias("_limit"),
+        F.lag("step_ms").over(back).alias("_later_step"),
+    )
+    step, next_step = F.col("step_ms"), F.col("_later_step")
+
+    def limit(p: str) -> Column:
+        """What was known at the end of the bar: the limit of its last step."""
+        ends = next_step.isNull() | (bar_open(next_step, p) != bar_open(step, p))
+        return F.last(F.when(ends, F.col("_limit")), ignorenulls=True).over(upto)
+
+    limits = [limit(p).alias(f"limit_{i}") for i, p in enumerate(periods)]
     late = F.lit(False)
     for i in range(len(periods)):
         late = late | (F.col("_last") > F.col(f"limit_{i}"))
@@ -122,19 +129,6 @@ def late_limits(
     return steps.filter(late).select(*kept)
 
 
-def _sized(limits: DataFrame, broadcast_steps: int | None) -> DataFrame | None:
-    """The limits, ready to join: broadcast if a count says that they are few, None if there
-    are none. Without ``broadcast_steps`` nothing is run beforehand."""
-    if broadcast_steps is None:
-        return limits
-    use_checkpoints(limits.sparkSession)
-    held = limits.checkpoint()
-    n = held.count()
-    if n == 0:
-        return None
-    return F.broadcast(held) if n <= broadcast_steps else held
-
-
 def _late_for(i: int, period: str, clock_grace_ms: int | None) -> Column:
     """Whether a trade joined with the limits of its step is late for a period."""
     late = F.col("seq") > F.col(f"limit_{i}")
@@ -152,11 +146,11 @@ def with_accept_mask(
     *,
     clock_grace_ms: int | None = None,
     seeded: DataFrame | None = None,
-    broadcast_steps: int | None = BROADCAST_STEPS,
+    broadcast_steps: int | None = SMALL_ROWS,
 ) -> DataFrame:
     """Add ``accept_mask``: bit *i* is set when period *i* accepts the trade."""
     everyone = F.lit((1 << len(periods)) - 1)
-    limits = _sized(late_limits(trades, periods, clock_grace_ms=clock_grace_ms, seeded=seeded), broadcast_steps)
+    limits = counted_side(late_limits(trades, periods, clock_grace_ms=clock_grace_ms, seeded=seeded), broadcast_steps)
     if limits is None:
         return trades.withColumn("accept_mask", everyone)
     mask = F.lit(0)
@@ -178,11 +172,11 @@ def late_trades(
     *,
     clock_grace_ms: int | None = None,
     seeded: DataFrame | None = None,
-    broadcast_steps: int | None = BROADCAST_STEPS,
+    broadcast_steps: int | None = SMALL_ROWS,
 ) -> DataFrame:
     """Side output: one row per trade and period that dropped it."""
     limits = late_limits(trades, periods, clock_grace_ms=clock_grace_ms, seeded=seeded)
-    sized = _sized(limits, broadcast_steps)
+    sized = counted_side(limits, broadcast_steps)
     dropped = F.array_compact(
         F.array(
             *(
@@ -353,7 +347,7 @@ def build_bars(
     seeds: DataFrame | None = None,
     gaps: bool = False,
     horizon_ms: Column | None = None,
-    broadcast_steps: int | None = BROADCAST_STEPS,
+    broadcast_steps: int | None = SMALL_ROWS,
 ) -> DataFrame:
     """Bars from ``trades(symbol, price, quantity, ts_ms, is_buyer_maker, seq[, arrival_ms])``.
 

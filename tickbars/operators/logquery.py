@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickbars.operators.running import CHUNK_ROWS, numbered, running
+from tickbars.operators.running import CHUNK_ROWS, running
+from tickbars.operators.sizing import counted_side
 from tickbars.sources.logs import SUMMARY_TYPES, session_marker
 
 # History length and default size of an answer.
@@ -16,11 +17,33 @@ ANSWER_ROWS = 1000
 # --- sessions and history -----------------------------------------------------------------
 
 
-def sessions(entries: DataFrame, order: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``session``: the number of markers so far. Markers themselves are left out."""
-    marked = entries.withColumn("_mark", F.when(session_marker(), F.lit(1)).otherwise(F.lit(0)))
-    numbered_rows = running(marked, [], order, {"session": ("sum", "_mark")}, inclusive=True, chunk_rows=chunk_rows)
-    return numbered_rows.filter(F.col("_mark") == 0).drop("_mark").withColumn("session", F.col("session").cast("bigint"))
+def sessions(entries: DataFrame, order: str = "seq", chunk_rows: int = CHUNK_ROWS, dense: int = 1000) -> DataFrame:
+    """Add ``session``: the number of markers so far. Markers themselves are left out.
+
+    Arrival is cut into chunks. Each chunk knows how many markers came before it and where
+    its own are, which is one small row per chunk; entries look up their chunk, so they are
+    neither sorted nor, while the chunks can be broadcast, shuffled. Should a chunk hold very
+    many markers, a running count over sorted chunks is used instead.
+    """
+    chunk = F.floor(F.col(order) / F.lit(chunk_rows)).alias("_chunk")
+    marker = session_marker()
+    own = entries.groupBy(chunk).agg(
+        F.sort_array(F.collect_list(F.when(marker, F.col(order)))).alias("_marks"), F.count_if(marker).alias("_n")
+    )
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = own.select("_chunk", "_marks", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.size(F.filter("_marks", lambda m: m <= F.col(order)))
+    plain = entries.filter(~marker).select("*", chunk)
+    sides = counted_side(chunks)
+    if sides is None:
+        return plain.drop("_chunk").withColumn("session", F.lit(0).cast("bigint"))
+    if not sides.filter(F.size("_marks") > dense).isEmpty():
+        flagged = entries.withColumn("_mark", marker.cast("int"))
+        counted = running(flagged, [], order, {"session": ("sum", "_mark")}, inclusive=True, chunk_rows=chunk_rows)
+        return counted.filter(F.col("_mark") == 0).drop("_mark").withColumn("session", F.col("session").cast("bigint"))
+    return plain.join(sides, "_chunk").select(
+        *(F.col(c) for c in entries.columns), (F.col("_before") + here).cast("bigint").alias("session")
+    )
 
 
 def current_session(entries: DataFrame, order: str = "seq") -> DataFrame:
@@ -35,9 +58,22 @@ def last_connection(spans: DataFrame, connection: str = "connection_id") -> Data
 
 
 def newest(entries: DataFrame, n: int = HISTORY_ROWS, order: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """The newest ``n`` entries by arrival, without bringing them into one task."""
-    ranked = numbered(entries, [order], F.floor(F.col(order) / F.lit(chunk_rows)), "_rank", descending=True)
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    """The newest ``n`` entries by arrival, without bringing them into one task.
+
+    Counts per chunk of arrival tell in which chunk the oldest kept entry lies. Newer chunks
+    are kept whole by a plain filter; only that one chunk is ranked.
+    """
+    chunk = F.floor(F.col(order) / F.lit(chunk_rows))
+    counts = entries.groupBy(chunk.alias("_chunk")).agg(F.count("*").alias("_n"))
+    newer = Window.orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edge = counts.select("_chunk", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer")).filter(
+        F.col("_newer") < n
+    )
+    oldest = edge.select(F.min("_chunk").alias("c")).scalar()
+    room = edge.select((F.lit(n) - F.max("_newer")).alias("r")).scalar()
+    rank = F.row_number().over(Window.orderBy(F.col(order).desc()))
+    on_edge = entries.filter(chunk == oldest).withColumn("_rank", rank).filter(F.col("_rank") <= room).drop("_rank")
+    return entries.filter(chunk > oldest).unionByName(on_edge)
 
 
 # --- filters ------------------------------------------------------------------------------
@@ -118,7 +154,7 @@ def trace_stats(spans: DataFrame) -> DataFrame:
     )
 
 
-def span_stats(spans: DataFrame, accuracy: int = 1_000_000) -> DataFrame:
+def span_stats(spans: DataFrame, accuracy: int = 100_000) -> DataFrame:
     """Per span name: count and spread of durations."""
     return spans.groupBy("name").agg(
         F.count("*").alias("spans"),

@@ -9,6 +9,7 @@ from tickbars.functions.periods import DAY_MS
 from tickbars.functions.timefns import bar_open
 from tickbars.operators.bars import build_bars
 from tickbars.operators.running import numbered
+from tickbars.operators.sizing import small_side
 
 # The instrument kind in scope and its states.
 QUOTE = "USDT"
@@ -113,7 +114,7 @@ def managed_trades(trades: DataFrame, spans: DataFrame) -> DataFrame:
     """Trades that arrive inside a span of their symbol, tagged with its start (``epoch``)."""
     inside = (F.col("seq") > F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq")))
     return (
-        trades.join(spans, "symbol")
+        trades.join(small_side(spans), "symbol")
         .filter(inside)
         .select(*(F.col(c) for c in trades.columns), F.col("from_seq").alias("epoch"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickbars.functions import variants as V
+from tickbars.operators.sizing import small_side
 
 TRADE_EVENT = "aggTrade"
 
@@ -177,7 +178,7 @@ def classify_trades(lines: DataFrame) -> DataFrame:
 
 def known_symbols_only(trades: DataFrame, registry: DataFrame) -> DataFrame:
     """Drop trades of symbols that are not registered, without a report."""
-    return trades.join(registry.select("symbol").distinct(), "symbol", "left_semi")
+    return trades.join(small_side(registry.select("symbol").distinct()), "symbol", "left_semi")
 
 
 def accepted_trades(classified: DataFrame, registry: DataFrame | None = None) -> DataFrame:
