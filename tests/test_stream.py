@@ -77,6 +77,40 @@ def test_stream_starts_from_stored_bars(spark, tmp_path):
     assert bars_of(S.read_current(spark, f"{root}/bars")) == folded(rows, ("1h",), seeds=seeds).result()
 
 
+def test_symbols_come_and_go_in_a_stream(spark, tmp_path):
+    """HOT is removed after the first batch and returns for the third; N is added by a ticker."""
+    t0 = 1_704_067_200_000
+    row = lambda s, sec, price, i: (s, float(price), 1.0, t0 + sec * 1000, True, i, t0 + sec * 1000)
+    parts = [
+        [row("HOT", 1, 10, 0), row("A", 1, 5, 1)],
+        [row("HOT", 61, 11, 2), row("A", 61, 6, 3)],
+        [row("HOT", 181, 12, 4), row("A", 121, 7, 5), row("N", 130, 3, 6)],
+    ]
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    os.makedirs(folder)
+    for n, p in enumerate(parts):
+        tape(spark, p).toPandas().to_parquet(f"{folder}/{n}.parquet")
+        os.utime(f"{folder}/{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    seen = []
+
+    def registry(session):
+        seen.append(1)
+        names = ["A", "N"] + (["HOT"] if len(seen) != 2 else [])
+        return session.createDataFrame([(x,) for x in names], "symbol string")
+
+    def tickers(session):
+        one = [("N", t0 + 1000, 1.0, 4.0, 1.0, 2.0, 9.0, 9.0)] if seen else []
+        return session.createDataFrame(one, "symbol string, event_time_ms bigint, open double, high double, low double, close double, volume double, turnover double")
+
+    jobs.start_exact(stream_of(spark, folder), root, periods=("1m",), registry=registry, tickers=tickers, availableNow=True).awaitTermination()
+    got = {(r.symbol, (r.open_time - t0) // 60_000): (r.open, r.close, r.trade_count) for r in S.read_current(spark, f"{root}/bars").collect()}
+    assert got == {
+        ("A", 0): (5, 5, 1), ("A", 1): (6, 6, 1), ("A", 2): (7, 7, 1),
+        ("HOT", 0): (10, 10, 1), ("HOT", 3): (12, 12, 1),
+        ("N", 0): (2, 2, 0), ("N", 1): (2, 2, 0), ("N", 2): (3, 3, 1),
+    }
+
+
 def test_repeated_batch_changes_nothing(spark):
     """A batch depends on its trades and seeds alone."""
     rows = random_rows(100, 600_000, span_ms=3_600_000)

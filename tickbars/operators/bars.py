@@ -325,6 +325,11 @@ def fill_gaps(bars: DataFrame, periods: tuple[str, ...] = PERIODS, horizon_ms: C
     )
 
 
+def direction() -> Column:
+    """Whether a bar closed at or above its open."""
+    return F.when(F.col("close") >= F.col("open"), "up").otherwise("down")
+
+
 def mark_final(bars: DataFrame) -> DataFrame:
     """``is_final`` without filling gaps: a later bar of the key exists."""
     newest = bars.groupBy("symbol", "period").agg(F.max("open_time").alias("_newest"))

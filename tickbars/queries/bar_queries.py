@@ -82,7 +82,7 @@ def taker_flow(spark, sf_dir):
         F.round("taker_buy_volume", 4).alias("taker_buy_volume"),
         F.round("taker_buy_turnover", 4).alias("taker_buy_turnover"),
         F.round(F.col("volume") - F.col("taker_buy_volume"), 4).alias("taker_sell_volume"),
-        F.when(F.col("close") >= F.col("open"), "up").otherwise("down").alias("direction"),
+        B.direction().alias("direction"),
     )
 
 

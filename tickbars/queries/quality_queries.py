@@ -283,6 +283,18 @@ def last_version_wins(spark, sf_dir):
     return S.last_wins(_versions(spark, sf_dir), S.KEY, "version")
 
 
+@_register("""SELECT symbol, status FROM (
+  SELECT 'C' || c_custkey AS symbol, c_mktsegment AS status, 0 AS n FROM customer
+  UNION ALL SELECT DISTINCT 'C' || o_custkey, 'ORDERED', 1 FROM orders WHERE o_orderstatus = 'O')
+QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC) = 1""")
+def upsert_symbols(spark, sf_dir):
+    """Customers as registered symbols; those with an open order get another state."""
+    c, o = I.table(spark, sf_dir, "customer"), I.table(spark, sf_dir, "orders")
+    registry = c.select(F.concat(F.lit("C"), "c_custkey").alias("symbol"), F.col("c_mktsegment").alias("status"))
+    incoming = o.filter(F.col("o_orderstatus") == "O").select(F.concat(F.lit("C"), "o_custkey").alias("symbol")).distinct()
+    return S.upsert_symbols(registry, incoming.withColumn("status", F.lit("ORDERED")))
+
+
 _RANGE = (1_704_672_000_000, 1_705_276_800_000)
 
 

@@ -79,6 +79,12 @@ def last_wins(rows: DataFrame, keys: tuple[str, ...], arrival: str) -> DataFrame
     return best_per_key(rows, keys, [F.col(arrival).desc()])
 
 
+def upsert_symbols(registry: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Registry rows by symbol, incoming ones replacing those already there."""
+    both = registry.withColumn("_n", F.lit(0)).unionByName(incoming.withColumn("_n", F.lit(1)))
+    return last_wins(both, ("symbol",), "_n").drop("_n")
+
+
 def merge_bars(versions: DataFrame, arrival: str) -> DataFrame:
     """One bar per key out of many versions: final beats provisional, then more trades,
     then later arrival."""

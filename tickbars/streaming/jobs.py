@@ -21,6 +21,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tickbars.functions.periods import PERIODS, period_ms
 from tickbars.operators import bars as B
+from tickbars.operators.universe import add_seeds
 from tickbars.sinks import store as S
 from tickbars.sources.wire import known_symbols_only
 
@@ -74,6 +75,15 @@ def changes(bars: DataFrame, seeds: DataFrame | None) -> DataFrame:
     return newest.join(seeds.select(*B.BAR_KEY, "trade_count"), [*B.BAR_KEY, "trade_count"], "left_anti")
 
 
+def with_added(seeds: DataFrame | None, tickers: DataFrame, periods: tuple[str, ...]) -> DataFrame:
+    """Open bars, with provisional ones for the symbols of ``tickers`` that have none yet."""
+    fresh = add_seeds(tickers, periods).withColumn("is_final", F.lit(False))
+    if seeds is None:
+        return fresh
+    seeds = seeds.drop("is_final").withColumn("is_final", F.lit(False))
+    return seeds.unionByName(fresh.join(seeds.select("symbol"), "symbol", "left_anti"))
+
+
 def start_exact(
     trades: DataFrame,
     root: str,
@@ -82,6 +92,7 @@ def start_exact(
     clock_grace_ms: int | None = None,
     initial: DataFrame | None = None,
     registry: Callable[[SparkSession], DataFrame] | None = None,
+    tickers: Callable[[SparkSession], DataFrame] | None = None,
     push: bool = False,
     **trigger,
 ) -> StreamingQuery:
@@ -89,14 +100,23 @@ def start_exact(
 
     ``initial`` holds the open bars to start from, so that a stream can follow a backfill.
     ``registry`` is asked in every batch which symbols count, so subscriptions may change
-    while the stream runs. ``push`` writes the change feed as JSON, one message per symbol.
+    while the stream runs; the open bars of a symbol that was removed are dropped, and if it
+    returns it starts anew. ``tickers`` gives tickers of symbols as they are added (as from
+    :func:`tickbars.sources.wire.ticker_numbers`); those without an open bar start with flat
+    provisional bars. ``push`` writes the change feed as JSON, one message per symbol.
     ``seq`` must grow from batch to batch. Bars are read with ``S.read_current``.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seeds = initial if batch_id == 0 else spark.read.schema(BAR_SCHEMA).parquet(_slot(root, batch_id - 1))
-        known = batch if registry is None else known_symbols_only(batch, registry(spark))
+        known = batch
+        if tickers is not None:
+            seeds = with_added(seeds, tickers(spark), periods)
+        if registry is not None:
+            current = registry(spark)
+            known = known_symbols_only(batch, current)
+            seeds = None if seeds is None else known_symbols_only(seeds, current)
         bars = fold_batch(known, seeds, periods, clock_grace_ms).persist()
         try:
             # final bars and the open ones: a later final version beats the open one
