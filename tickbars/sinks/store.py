@@ -87,9 +87,14 @@ def upsert_symbols(registry: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def merge_bars(versions: DataFrame, arrival: str) -> DataFrame:
     """One bar per key out of many versions: final beats provisional, then more trades,
-    then later arrival."""
+    then later arrival.
+
+    The month follows from the key; ranking within it lets filters on the month reach the
+    stored partitions.
+    """
+    keys = (*KEY, "month") if "month" in versions.columns else KEY
     return best_per_key(
-        versions, KEY, [F.col("is_final").desc(), F.col("trade_count").desc(), F.col(arrival).desc()]
+        versions, keys, [F.col("is_final").desc(), F.col("trade_count").desc(), F.col(arrival).desc()]
     )
 
 
