@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import exactdedup, mixing
-from tickbars.llm.common import load
+from tickbars.llm import bpe, exactdedup, linededup, mixing, simhash, suffixdedup, toxicity, urlfilter, versions, warc
+from tickbars.llm.common import load, scratch
+from tickbars.session import shared_dir
+
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+
+#: The rules that urls are judged by.
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document by a model of the labels outside the held-out fold."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.ToxicityModel.fit(docs, load(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +48,49 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back."""
+    path = f"{shared_dir(spark)}/archives/{uuid.uuid4().hex}"
+    warc.write_archives(load(spark, sf_dir, "pages"), path, WARC_DATE)
+    records = scratch(warc.read_archives(spark, path, payloads=False).drop("payload"), "records")
+    return warc.resolve_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 400 bytes that start elsewhere too."""
+    judged = suffixdedup.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(F.col("d.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, decoded again."""
+    import public_tokenizers
+
+    pairs = bpe.BytePairs(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", pairs.round_trip(F.col("text")).alias("t")).select("doc_id", "t.*")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without runs of lines that stood earlier."""
+    kept = linededup.without_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.encode("kept", "UTF-8"), 256)
+    return kept.select(F.col("d.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_runs", digest.alias("kept_sha256"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url; titles tell the model which words there are."""
+    pages = load(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    judged = urlfilter.judge(pages.select("page_id", "url", title.alias("title")), RULES, title=F.col("title"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document, of its edited text, and how like they are."""
+    return versions.compare_with_edits(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch of a new index."""
     rows = exactdedup.DigestIndex(spark).add(load(spark, sf_dir, "documents"), "doc_id", "text", batch="documents")
@@ -37,6 +103,46 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and the component it is linked to."""
+    near = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return near.select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+_SQL_6 = """
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), full_lines AS (
+  SELECT *, trim(line, ' ') <> '' AS is_full FROM l
+), f AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM full_lines WHERE is_full
+), w AS (
+  SELECT doc_id, n, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM f
+), again AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, n) AS k FROM w WHERE b IS NOT NULL
+), later AS (
+  SELECT doc_id, n FROM again WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, n + o.o AS n FROM later, (VALUES (0), (1)) AS o(o)
+), marked AS (
+  SELECT x.doc_id, x.i, x.line, x.is_full, f.n, g.n IS NOT NULL AS is_gone
+  FROM full_lines x LEFT JOIN f ON x.doc_id = f.doc_id AND x.i = f.i LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.n = g.n
+), runs AS (
+  SELECT doc_id, count(*) AS n_runs FROM (
+    SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM later
+  ) WHERE before IS NULL OR n > before + 2 GROUP BY doc_id
+)
+SELECT m.doc_id, count(*) FILTER (is_full) AS n_lines, count(*) FILTER (is_gone) AS n_removed,
+       coalesce(any_value(r.n_runs), 0) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_gone), '')) AS kept_sha256
+FROM marked m LEFT JOIN runs r ON m.doc_id = r.doc_id GROUP BY m.doc_id
+"""
+
 _SQL_9 = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -49,10 +155,18 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
+        "op3_warc": op3_warc,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_bpe": op5_bpe,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_url_filter": op7_url_filter,
+        "op8_versions": op8_versions,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_simhash": op10_simhash,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": _SQL_9}
+    return {"op6_line_dedup": _SQL_6, "op9_exact_dedup": _SQL_9}
