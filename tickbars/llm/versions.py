@@ -146,7 +146,7 @@ def differences(pairs: DataFrame) -> DataFrame:
         if level == 0:
             wanted = F.greatest(F.lit(1.0), F.log2(F.size("digests") / LOAD))
             sought = failed.select("key").join(stored.hint("merge"), "key").select(
-                "key", F.shiftleft(F.lit(1).cast("long"), F.ceil(wanted).cast("int")).alias("parts"), F.lit(0).cast("long").alias("part")
+                "key", F.pow(F.lit(2.0), F.ceil(wanted)).cast("long").alias("parts"), F.lit(0).cast("long").alias("part")
             )
         else:
             sought = failed.select("key", (F.col("parts") * GROWTH).alias("parts"), "part")
