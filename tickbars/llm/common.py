@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickbars.session import shared_dir
 
@@ -41,7 +42,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,3 +55,25 @@ def join_to_unique(rows: DataFrame, unique: DataFrame, key: str, heavy: DataFram
     few = F.broadcast(heavy)
     ordinary = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return rows.join(few, key).unionByName(ordinary.join(unique.hint("merge"), key))
+
+
+def text_keys(id_col: Column, text: Column) -> dict[str, Column]:
+    """Columns that are never null and are equal for rows of equal id and text only."""
+    whole = F.coalesce(text, F.lit(""))
+    return {
+        "key_id": F.coalesce(id_col.cast("long"), F.lit(0)),
+        "key_none": id_col.isNull(),
+        "key_a": F.xxhash64(whole),
+        "key_b": F.xxhash64(F.lit(1), whole),
+    }
+
+
+def one_of_each(docs: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of the wanted keys, with all columns.
+
+    Rows that share a key count as repeated. Join and numbering share one shuffle.
+    """
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), *[k.alias(name) for name, k in keys.items()])
+    met = packed.join(wanted.select(*keys).hint("merge"), list(keys), "left_semi")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(next(iter(keys))))
+    return met.withColumn("nth", first).filter("nth = 1").select("d.*")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm.common import HEAVY_SHARE, ascii_lower, join_to_unique, scratch
+from tickbars.llm.common import HEAVY_SHARE, ascii_lower, join_to_unique, one_of_each, scratch
 from tickbars.session import shared_dir
 
 BUCKETS = 32
@@ -88,15 +88,13 @@ class DigestIndex:
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    The rows carry a number of their own, given when they are written to the shared folder, so
-    ids may be null or repeat.
-    """
-    names = docs.columns
-    stored = scratch(docs.select(F.struct(*[docs[c] for c in names]).alias("d"), F.monotonically_increasing_id().alias("row")), "documents")
-    rows = stored.select(
-        F.col("d")[id_col].cast("long").alias("id"), text_digest(F.col("d")[text_col]).alias("digest"), "row"
-    )
-    kept = DigestIndex(docs.sparkSession).add_digests(scratch(rows, "digests"), "all").filter("kept").select("row")
-    return stored.join(kept.hint("merge"), "row", "left_semi").select("d.*")
+    """The rows of ``docs`` that stay, with all their columns; ids may be null or repeat."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    keys = {
+        "key_id": F.coalesce(docs[id_col].cast("long"), F.lit(0)),
+        "key_none": docs[id_col].isNull(),
+        "key_digest": text_digest(text),
+    }
+    rows = DigestIndex(docs.sparkSession).add(docs, id_col, text_col, batch="documents").filter("kept")
+    wanted = rows.select(F.coalesce("id", F.lit(0)).alias("key_id"), F.col("id").isNull().alias("key_none"), F.col("digest").alias("key_digest"))
+    return one_of_each(docs, keys, wanted)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickbars.llm.common import n_words, scratch
+from tickbars.llm.common import n_words, scratch, text_keys
 
 SEED = 20_240_501
 BLOCK_WORDS = 4096
@@ -214,7 +214,8 @@ def mix(
 
 
 def numbered_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows that ``mix`` takes, stored, each with a number of its own."""
+    """The rows that ``mix`` takes, stored, each with a number of its own, and what tells their texts apart."""
+    keys = text_keys(docs[id_col], docs[text_col])
     return scratch(
         docs.select(
             docs[id_col].cast("long").alias("id"),
@@ -222,37 +223,40 @@ def numbered_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n_words(docs[text_col]).alias("size"),
             F.xxhash64(docs[id_col], docs[text_col]).alias("key"),
             F.monotonically_increasing_id().alias("row"),
+            *[k.alias(name) for name, k in keys.items()],
         ),
         "mix-rows",
     )
 
 
 def mixed_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_chars_col: str | None = "n_chars", **options
 ) -> DataFrame:
     """The mix as documents with the columns of ``docs``, and shard: a row for each time one is taken.
 
     Rows come in shards, each shuffled within itself. A text of which only a part is taken, one
-    document of a source at most, is cut behind its last word taken.
+    document of a source at most, is cut behind its last word taken, and ``n_chars_col`` follows.
+    Rows that repeat in id, text and source stand for each other.
     """
     names = docs.columns
-    stored = scratch(
-        docs.select(F.struct(*[docs[c] for c in names]).alias("d"), F.monotonically_increasing_id().alias("row")), "mix-documents"
-    )
-    rows = scratch(
-        stored.select(
-            "row",
-            source_key(F.col("d")[source_col]).alias("skey"),
-            n_words(F.col("d")[text_col]).alias("size"),
-            F.xxhash64(F.col("d")[id_col], F.col("d")[text_col]).alias("key"),
-        ),
-        "mix-rows",
-    )
-    taken, drawn = mix(rows, **options)
-    drawn = drawn.join(taken.select("row", "size"), "row")
+    keys = text_keys(docs[id_col], docs[text_col]) | {"skey": source_key(docs[source_col])}
+    rows = numbered_rows(docs, id_col, text_col, source_col)
+    _, drawn = mix(rows, **options)
+    drawn = scratch(drawn.drop("skey").join(rows.select("row", "size", *keys), "row"), "draws")
     pieces = F.regexp_extract_all(F.col("d")[text_col], F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    text = F.when(F.col("words") == F.col("size"), F.col("d")[text_col]).otherwise(
-        F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
-    )
-    out = stored.join(drawn.hint("merge"), "row").repartition("shard").sortWithinPartitions("shard", "order")
-    return out.select(*[text.alias(c) if c == text_col else F.col("d")[c].alias(c) for c in names], "shard")
+    whole = F.col("words") == F.col("size")
+    text = F.when(whole, F.col("d")[text_col]).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), ""))
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("d"), *[k.alias(name) for name, k in keys.items()])
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("key_id"))
+    one = packed.withColumn("nth", first).filter("nth = 1")
+    taken = one.join(drawn.hint("merge"), list(keys)).select("d", "words", "size", "shard", "order", text.alias("text"))
+    out = taken.repartition("shard").sortWithinPartitions("shard", "order")
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("text").alias(name)
+        if name == n_chars_col:
+            return F.when(whole, F.col("d")[name]).otherwise(F.char_length("text")).alias(name)
+        return F.col("d")[name].alias(name)
+
+    return out.select(*[column(c) for c in names], F.col("shard"))

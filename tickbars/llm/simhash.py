@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickbars.llm.common import HEAVY_SHARE, join_to_unique, scratch
+from tickbars.llm.common import HEAVY_SHARE, join_to_unique, one_of_each, scratch, text_keys
 from tickbars.llm.components import components
 
 BITS = 64
@@ -78,16 +78,33 @@ class Plan:
     def __init__(self, groups: list[list[int]], thresholds: list[int]):
         self.groups, self.thresholds = groups, thresholds
 
-    def value(self, group: int, fp: Column) -> Column:
-        """The bits of a partition, packed in the order of the partition; runs of bits move together."""
-        out, at, bits = F.lit(0).cast("long"), 0, self.groups[group]
-        while at < len(bits):
-            run = 1
-            while at + run < len(bits) and bits[at + run] == bits[at] + run:
-                run += 1
-            piece = F.shiftrightunsigned(fp, bits[at]).bitwiseAND(F.lit((1 << run) - 1))
-            out, at = out.bitwiseOR(F.shiftleft(piece, at)), at + run
-        return out
+    def values(self, fp: Column) -> Column:
+        """The value of each partition, an array: its bits of a fingerprint, a long or an array of them, packed."""
+        groups = self.groups
+
+        @F.pandas_udf("array<long>")
+        def packed(fps: pd.Series) -> pd.Series:
+            if not len(fps):
+                return pd.Series([], dtype=object)
+            words = np.stack([np.atleast_1d(x) for x in fps]).astype(np.int64)
+            out = np.zeros((len(fps), len(groups)), np.int64)
+            for g, bits in enumerate(groups):
+                for at, bit in enumerate(bits):
+                    out[:, g] |= (words[:, bit // BITS] >> (bit % BITS) & 1) << at
+            return pd.Series(list(out), dtype=object)
+
+        return packed(fp)
+
+    def probes(self, values: str) -> Column:
+        """Structs of g, v and own for each value within the thresholds of its partition; own if it is the value itself."""
+
+        def around(g: int) -> Column:
+            flips = F.array(*[F.lit(flip).cast("long") for flip in self.flips(g)])
+            value = F.element_at(values, g + 1)
+            return F.transform(flips, lambda x: F.struct(F.lit(g).alias("g"), value.bitwiseXOR(x).alias("v"), (x == 0).alias("own")))
+
+        near = [around(g) for g, radius in enumerate(self.thresholds) if radius >= 0]
+        return F.flatten(F.array(*near))
 
     def flips(self, group: int) -> list[int]:
         """What to xor a value with, to have all values within the partition's threshold."""
@@ -95,10 +112,10 @@ class Plan:
         return [sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(width), k)]
 
 
-def bit_likeness(fps: DataFrame, fp: str = "fp") -> np.ndarray:
-    """Absolute correlation of the bits over all fingerprints: one aggregate of 64 x 65 / 2 sums."""
-    joint, n = np.zeros((BITS, BITS)), 0
-    summed = fps.mapInPandas(_joint_bits(fp), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+def bit_likeness(fps: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Absolute correlation of the bits over all fingerprints (fp): one aggregate, of a sum per pair of bits."""
+    joint, n = np.zeros((bits, bits)), 0
+    summed = fps.select("fp").mapInPandas(_joint_bits(bits), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     for r in summed.collect():
         if r["i"] < 0:
             n = r["n"]
@@ -112,8 +129,8 @@ def bit_likeness(fps: DataFrame, fp: str = "fp") -> np.ndarray:
 
 def correlated_groups(like: np.ndarray, m: int) -> list[list[int]]:
     """Partition the bits: a group starts with the two most alike and takes the bit most like its own."""
-    sizes = [BITS // m + (i < BITS % m) for i in range(m)]
-    free, groups = set(range(BITS)), []
+    sizes = [len(like) // m + (i < len(like) % m) for i in range(m)]
+    free, groups = set(range(len(like))), []
     for size in sizes:
         rest = sorted(free)
         if size == len(rest):
@@ -131,15 +148,18 @@ def correlated_groups(like: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def _joint_bits(fp: str):
+def _joint_bits(bits: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        joint, n = np.zeros((BITS, BITS)), 0
+        joint, n = np.zeros((bits, bits)), 0
         for batch in batches:
-            bits = np.unpackbits(batch[fp].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for part in np.array_split(bits.astype(np.float64), max(1, len(bits) // 4096)):
-                joint += part.T @ part
+            if not len(batch):
+                continue
+            words = batch["fp"].to_numpy(np.int64) if bits == BITS else np.stack(batch["fp"].to_list()).astype(np.int64)
+            for part in np.array_split(words.reshape(len(batch), -1), len(batch) // 4096 + 1):
+                ones = np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
+                joint += ones.T @ ones
             n += len(batch)
-        i, j = np.triu_indices(BITS)
+        i, j = np.triu_indices(bits)
         yield pd.DataFrame({"i": [-1, *i], "j": [-1, *j], "n": [n, *joint[i, j].astype(np.int64)]})
 
     return count
@@ -162,22 +182,24 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def make_plan(fps: DataFrame, near: int = NEAR, partitions: tuple[int, ...] = PARTITIONS) -> Plan:
+def make_plan(fps: DataFrame, near: int = NEAR, partitions: tuple[int, ...] = PARTITIONS, bits: int = BITS) -> Plan:
     """Choose the partitions and thresholds from the distinct fingerprints (fp).
 
     A threshold costs its probes and the candidates they meet: the sum of squared counts of a
     partition's values, over all fingerprints, says how many rows share a value; the balls around
     add the share that values of that many bits would meet by chance.
     """
-    n, found, like = fps.count(), [], bit_likeness(fps)
+    n, found, like = fps.count(), [], bit_likeness(fps, bits)
     for m in partitions:
         groups = correlated_groups(like, m)
-        free, costs = Plan(groups, [0] * m), []
-        for g, bits in enumerate(groups):
-            held = fps.groupBy(free.value(g, F.col("fp")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            met = float(held.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0] or 0)
-            balls = [sum(math.comb(len(bits), i) for i in range(k)) for k in range(near + 2)]
-            costs.append([n * b + (met + (b - 1) * n * n / 2.0 ** len(bits)) if b else 0.0 for b in balls])
+        free = Plan(groups, [0] * m)
+        values = fps.select(F.posexplode(free.values(F.col("fp"))).alias("g", "v"))
+        held = values.groupBy("g", "v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        met = {r["g"]: r["met"] for r in held.groupBy("g").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("met")).collect()}
+        costs = []
+        for g, own in enumerate(groups):
+            balls = [sum(math.comb(len(own), i) for i in range(k)) for k in range(min(near, 2) + 2)]
+            costs.append([n * b + (met.get(g, 0.0) + (b - 1) * n * n / 2.0 ** len(own)) if b else 0.0 for b in balls])
         cost, thresholds = allot(costs, near - m + 1)
         found.append((cost, Plan(groups, thresholds)))
     return min(found, key=lambda x: x[0])[1]
@@ -185,17 +207,12 @@ def make_plan(fps: DataFrame, near: int = NEAR, partitions: tuple[int, ...] = PA
 
 def near_links(fps: DataFrame, plan: Plan, near: int = NEAR) -> DataFrame:
     """All pairs a < b of distinct fingerprints (fp, a long) within ``near`` bits."""
-    index, probes = [], []
-    for g, radius in enumerate(plan.thresholds):
-        if radius < 0:
-            continue
-        value = plan.value(g, F.col("fp"))
-        index.append(F.struct(F.lit(g).alias("g"), value.alias("v")))
-        probes += [F.struct(F.lit(g).alias("g"), value.bitwiseXOR(F.lit(flip)).alias("v")) for flip in plan.flips(g)]
-    held = fps.select(F.col("fp").alias("b"), F.inline(F.array(*index)))
-    asked = fps.select(F.col("fp").alias("a"), F.inline(F.array(*probes)))
+    values = fps.select("fp", plan.values(F.col("fp")).alias("vals"))
+    asked = scratch(values.select(F.col("fp").alias("a"), F.inline(plan.probes("vals"))), "probes")
+    held = asked.filter("own").select(F.col("a").alias("b"), "g", "v")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= near
-    return asked.join(held, ["g", "v"]).filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    met = asked.select("a", "g", "v").join(held, ["g", "v"]).filter((F.col("a") != F.col("b")) & close)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(rows: DataFrame, near: int = NEAR, partitions: tuple[int, ...] = PARTITIONS) -> DataFrame:
@@ -222,3 +239,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = scratch(near_groups(rows, near), "near-groups")
     heavy = groups.filter(F.col("n") * HEAVY_SHARE >= rows.count()).filter("n > 1")
     return join_to_unique(rows, groups, "fp", heavy).select("id", "fp", "component")
+
+
+#: Near copies: bits of their two fingerprints, partitions, and bits of the second that may differ.
+WIDE = 256
+WIDE_SHINGLE = 5
+WIDE_PARTITIONS = 12
+WIDE_NEAR = 15
+WIDE_DIFFER = 44
+
+#: Members of a bucket that are paired at once, and of one that is compared in blocks.
+FEW = 8
+BLOCK = 1024
+
+
+def wide_fingerprints(text: Column) -> Column:
+    """Two SimHashes of WIDE bits, arrays of longs: of a text's distinct words, and of its distinct five-word shingles."""
+
+    @F.pandas_udf("words array<long>, shingles array<long>")
+    def fingerprints(texts: pd.Series) -> pd.DataFrame:
+        rows = [_wide(t) for t in texts]
+        return pd.DataFrame({"words": [a for a, _ in rows], "shingles": [b for _, b in rows]})
+
+    return fingerprints(F.coalesce(text, F.lit("")))
+
+
+def _wide(text: str) -> tuple[np.ndarray, np.ndarray]:
+    words = text.encode().lower().split()
+    take = min(WIDE_SHINGLE, len(words))
+    return _wide_bits(set(words)), _wide_bits({b" ".join(words[i : i + take]) for i in range(len(words) - take + 1)} if take else set())
+
+
+def _wide_bits(items: set[bytes]) -> np.ndarray:
+    from xxhash import xxh3_128_digest as digest
+
+    ones, held = np.zeros(WIDE, np.int64), []
+    for item in items:
+        held.append(digest(item, 0) + digest(item, 1))
+        if len(held) == 1 << 14:
+            ones, held = ones + _bit_sums(held), []
+    if held:
+        ones = ones + _bit_sums(held)
+    return np.packbits(ones * 2 > len(items), bitorder="little").view(np.int64)
+
+
+def _bit_sums(digests: list[bytes]) -> np.ndarray:
+    bits = np.frombuffer(b"".join(digests), np.uint8).reshape(len(digests), -1)
+    return np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _spanning(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those pairs that join what was apart."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    for a, b in pairs:
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            above[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out
+
+
+def _block_links(members: pd.DataFrame) -> pd.DataFrame:
+    """Links within a pair of blocks, as many as it takes to connect what they connect."""
+    members = members.drop_duplicates("node").sort_values("node")
+    nodes = members["node"].to_numpy()
+    shingles = np.stack(members["shingles"].to_list()).astype(np.int64)
+
+    def near() -> Iterator[tuple[int, int]]:
+        for i in range(len(nodes) - 1):
+            differ = np.bitwise_count(shingles[i + 1 :] ^ shingles[i]).sum(1, dtype=np.int64)
+            for j in np.flatnonzero(differ <= WIDE_DIFFER).tolist():
+                yield int(nodes[i]), int(nodes[i + 1 + j])
+
+    return pd.DataFrame(_spanning(near()), columns=["a", "b"], dtype="int64")
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """Links a, b that connect near copies, from rows of node, words and shingles (wide fingerprints).
+
+    Candidates share a value within the thresholds of a partition of the words' fingerprint;
+    near copies differ in at most WIDE_DIFFER bits of the shingles'. Buckets of a few members are
+    paired; larger ones are compared in blocks, each pair of blocks a task's own, which
+    returns no more links than connect its members.
+    """
+    fps = nodes.select("node", "shingles", F.col("words").alias("fp"))
+    plan = make_plan(fps, WIDE_NEAR, (WIDE_PARTITIONS,), WIDE)
+    values = fps.select("node", plan.values(F.col("fp")).alias("vals"))
+    keyed = scratch(values.select("node", F.inline(plan.probes("vals"))), "wide-keys")
+    sizes = keyed.groupBy("g", "v").agg(F.count_if("own").alias("held"), F.count(F.lit(1)).alias("n"))
+    sizes = scratch(sizes.filter("held > 0 and n > 1"), "wide-buckets")
+    few = keyed.join(sizes.filter(F.col("n") <= FEW).select("g", "v"), ["g", "v"])
+    pairs = few.select("g", "v", F.col("node").alias("a"), "own").join(few.filter("own").select("g", "v", F.col("node").alias("b")), ["g", "v"])
+    pairs = pairs.filter((F.col("a") < F.col("b")) | (~F.col("own") & (F.col("a") != F.col("b"))))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("shingles").alias(f"s_{name}"))
+    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    paired = pairs.join(side("a"), "a").join(side("b"), "b").filter(bits <= WIDE_DIFFER).select("a", "b")
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    many = keyed.join(sizes.filter(F.col("n") > FEW), ["g", "v"]).withColumns({"blocks": blocks, "mine": mine})
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = many.withColumn("other", other).select("g", "v", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    full = dealt.join(nodes.select("node", "shingles"), "node")
+    within = full.groupBy("g", "v", "i", "j").applyInPandas(_block_links, "a long, b long")
+    return paired.unionByName(within)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one of each group of near copies, the one with the least id (null ids last).
+
+    Near copies have five-word shingles (distinct, A-Z lower-cased) with a Jaccard similarity of
+    about 0.8 or more: WIDE_DIFFER of WIDE bits is what the fingerprints of such texts differ by at
+    most, but for rare cases. Groups are what links reach. Texts without words are near copies
+    of each other; rows that repeat are too.
+    """
+    keys = text_keys(docs[id_col], docs[text_col])
+    stored = docs.select(*[k.alias(name) for name, k in keys.items()], wide_fingerprints(docs[text_col]).alias("w"))
+    rows = scratch(stored.select(*keys, "w.*"), "wide-rows")
+    least = F.min(F.struct("key_none", "key_id", "key_a", "key_b"))
+    same = rows.groupBy("words", "shingles").agg(least.alias("least"))
+    nodes = scratch(same.withColumn("node", F.monotonically_increasing_id()), "wide-fingerprints")
+    roots = scratch(components(wide_links(nodes)), "wide-roots")
+    linked = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wanted = linked.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return one_of_each(docs, keys, scratch(wanted, "wide-kept"))
