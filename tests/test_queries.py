@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tickbars.queries import all_queries, all_sql
 from oracle import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,7 +21,7 @@ SELECTED = (
     "continuity_audit", "ohlc_rule_violations", "freshness_lag", "lifecycle_totals", "parse_logs", "log_sessions",
     "newest_entries", "trace_stats", "span_paths", "build_spans", "stream_bars_exact", "smoothed_delay",
 )
-NAMES = list(entry.queries()) if os.environ.get("TEST_ALL_QUERIES") else SELECTED
+NAMES = list(all_queries()) if os.environ.get("TEST_ALL_QUERIES") else SELECTED
 MAY_BE_EMPTY = {"new_symbols", "log_search", "trace_by_id"}
 
 
@@ -30,7 +31,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(all_sql()) == set(all_queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -144,13 +144,15 @@ def test_ticks(spark):
     assert clock.live_ticks(spark, 150).isStreaming
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 10**6])
+@pytest.mark.parametrize("chunk", [2, 7, 100, 10**6])
 def test_smoothed_delay(spark, chunk):
     import math
     import random
 
     rnd = random.Random(5)
-    data = [("hot" if rnd.random() < 0.8 else "cold", i, rnd.choice([0, 0, 1, 3, 40, 900])) for i in range(200)]
+    data = [("hot" if rnd.random() < 0.8 else "cold", i * 5_000_000, rnd.choice([0, 0, 1, 3, 40, 900])) for i in range(200)]
+    data += [("below", i, x) for i, x in enumerate([-4, 10, -3, 7, 0, -1, 1, 0, -7])]
+    data += [("far", i, x) for i, x in enumerate([3, 1 << 40, 5, *[2] * 150, -(1 << 35), *[1] * 150])]
     got = {(r.key, r.seq): r.avg_delay_ms for r in C.smoothed_delay(spark.createDataFrame(data, "key string, seq bigint, delay_ms bigint"), chunk).collect()}
     state = {}
     for k, i, x in data:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame, SparkSession
 
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
@@ -74,22 +73,3 @@ def base_ms(periods: tuple[str, ...]) -> int:
     """Largest time step of which every given period start is a multiple."""
     step = gcd(*(period_ms(p) for p in periods))
     return gcd(step, DAY_MS)
-
-
-def period_dimension(spark: SparkSession, periods: tuple[str, ...] = PERIODS) -> DataFrame:
-    """One row per period: ``period, ordinal, ms, tolerance_min, depth_ms, genesis_ms``."""
-    rows = [
-        (
-            p,
-            i,
-            period_ms(p),
-            FRESHNESS_MINUTES.get(p, FRESHNESS_DEFAULT_MINUTES),
-            HISTORY_DEPTH_MS[p],
-            HISTORY_GENESIS_MS if p in ("1d", "1w") else None,
-        )
-        for i, p in enumerate(periods)
-    ]
-    return spark.createDataFrame(
-        rows,
-        "period string, ordinal int, ms bigint, tolerance_min int, depth_ms bigint, genesis_ms bigint",
-    )

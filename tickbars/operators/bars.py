@@ -332,12 +332,8 @@ def direction() -> Column:
 
 def mark_final(bars: DataFrame) -> DataFrame:
     """``is_final`` without filling gaps: a later bar of the key exists."""
-    newest = bars.groupBy("symbol", "period").agg(F.max("open_time").alias("_newest"))
-    return (
-        bars.join(newest, ["symbol", "period"])
-        .withColumn("is_final", F.col("open_time") < F.col("_newest"))
-        .drop("_newest")
-    )
+    later = F.lead("open_time").over(Window.partitionBy("symbol", "period").orderBy("open_time"))
+    return bars.withColumn("is_final", later.isNotNull())
 
 
 # --- the whole builder --------------------------------------------------------------------

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickbars.operators.running import CHUNK_ROWS, running
-from tickbars.operators.sizing import counted_side
+from tickbars.operators.running import CHUNK_ROWS, chunk_of, running
+from tickbars.session import stored
 from tickbars.sources.logs import SUMMARY_TYPES, session_marker
 
 # History length and default size of an answer.
@@ -17,33 +17,15 @@ ANSWER_ROWS = 1000
 # --- sessions and history -----------------------------------------------------------------
 
 
-def sessions(entries: DataFrame, order: str = "seq", chunk_rows: int = CHUNK_ROWS, dense: int = 1000) -> DataFrame:
+def sessions(entries: DataFrame, order: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``session``: the number of markers so far. Markers themselves are left out.
 
-    Arrival is cut into chunks. Each chunk knows how many markers came before it and where
-    its own are, which is one small row per chunk; entries look up their chunk, so they are
-    neither sorted nor, while the chunks can be broadcast, shuffled. Should a chunk hold very
-    many markers, a running count over sorted chunks is used instead.
+    Entries are parsed once and stored. Sorted chunks then carry a running count, which starts
+    from the markers of the chunks before.
     """
-    chunk = F.floor(F.col(order) / F.lit(chunk_rows)).alias("_chunk")
-    marker = session_marker()
-    own = entries.groupBy(chunk).agg(
-        F.sort_array(F.collect_list(F.when(marker, F.col(order)))).alias("_marks"), F.count_if(marker).alias("_n")
-    )
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = own.select("_chunk", "_marks", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    here = F.size(F.filter("_marks", lambda m: m <= F.col(order)))
-    plain = entries.filter(~marker).select("*", chunk)
-    sides = counted_side(chunks)
-    if sides is None:
-        return plain.drop("_chunk").withColumn("session", F.lit(0).cast("bigint"))
-    if not sides.filter(F.size("_marks") > dense).isEmpty():
-        flagged = entries.withColumn("_mark", marker.cast("int"))
-        counted = running(flagged, [], order, {"session": ("sum", "_mark")}, inclusive=True, chunk_rows=chunk_rows)
-        return counted.filter(F.col("_mark") == 0).drop("_mark").withColumn("session", F.col("session").cast("bigint"))
-    return plain.join(sides, "_chunk").select(
-        *(F.col(c) for c in entries.columns), (F.col("_before") + here).cast("bigint").alias("session")
-    )
+    held = stored(entries.withColumn("_mark", session_marker().cast("int")))
+    counted = running(held, [], order, {"session": ("sum", "_mark")}, inclusive=True, chunk_rows=chunk_rows)
+    return counted.filter(F.col("_mark") == 0).drop("_mark").withColumn("session", F.col("session").cast("bigint"))
 
 
 def current_session(entries: DataFrame, order: str = "seq") -> DataFrame:
@@ -63,7 +45,8 @@ def newest(entries: DataFrame, n: int = HISTORY_ROWS, order: str = "seq", chunk_
     Counts per chunk of arrival tell in which chunk the oldest kept entry lies. Newer chunks
     are kept whole by a plain filter; only that one chunk is ranked.
     """
-    chunk = F.floor(F.col(order) / F.lit(chunk_rows))
+    entries = stored(entries)
+    chunk = chunk_of(entries, order, chunk_rows)
     counts = entries.groupBy(chunk.alias("_chunk")).agg(F.count("*").alias("_n"))
     newer = Window.orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     edge = counts.select("_chunk", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer")).filter(
@@ -91,11 +74,19 @@ def problems(entries: DataFrame, kind: Column | None = None) -> DataFrame:
     return entries.filter(F.col("level").isin("WARN", "ERROR") | F.coalesce(kind.isin(*SUMMARY_TYPES), F.lit(False)))
 
 
-def spans_by_tx(spans: DataFrame, tx_id: str, limit: int = ANSWER_ROWS) -> DataFrame:
-    """Spans whose attribute ``tx_id`` is this text; a number does not match."""
+def latest_records(spans: DataFrame, order: str = "seq") -> DataFrame:
+    """The last record of each span id: a repeated id replaces the span."""
+    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.col(order).desc()))
+    return spans.withColumn("_newest", newest).filter(F.col("_newest") == 1).drop("_newest")
+
+
+def spans_by_tx(spans: DataFrame, tx_id: str, limit: int | None = None, order: str = "seq") -> DataFrame:
+    """Spans whose attribute ``tx_id`` is this text; a number does not match. With ``limit``,
+    the first ones by arrival."""
     value = F.try_element_at("attributes", F.lit("tx_id"))
     is_text = F.schema_of_variant(value) == "STRING"
-    return spans.filter(is_text & (F.try_variant_get(value, "$", "string") == tx_id)).limit(limit)
+    found = spans.filter(is_text & (F.try_variant_get(value, "$", "string") == tx_id))
+    return found if limit is None else found.orderBy(order).limit(limit)
 
 
 def trace(spans: DataFrame, trace_id: str, order: str = "seq") -> DataFrame:
@@ -141,7 +132,8 @@ def target_counts(entries: DataFrame) -> DataFrame:
 
 
 def span_totals(spans: DataFrame) -> DataFrame:
-    return spans.agg(F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces"))
+    """Number of spans, each id once, and of traces."""
+    return spans.agg(F.count_distinct("id").alias("spans"), F.count_distinct("trace_id").alias("traces"))
 
 
 def trace_stats(spans: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
 """Running aggregates in arrival order that do not need one task per key.
 
 A plain window ``partition by symbol order by seq`` sends a whole symbol to one task.
-Here the order column is cut into chunks of at most ``chunk_rows`` positions:
+Here the order column is cut at its quantiles into chunks of about ``chunk_rows`` rows:
 
 1. one partial aggregate per (keys, chunk), combined before the shuffle;
 2. a prefix over the chunks of a key, which sees one row per chunk, not per input row;
 3. a local window inside (keys, chunk), joined with the prefix of the chunk.
 
-Since ``order`` is a unique integer, no task ever sorts more than ``chunk_rows`` rows of a
-key, whatever share of the table that key holds.
+However sparse or dense ``order`` is, no task sorts more than a chunk of a key, whatever
+share of the table that key holds.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
 
+# Borders that are looked for at once; chunks grow beyond chunk_rows when more would be needed.
+MAX_CHUNKS = 100_000
+
 _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
@@ -29,6 +32,28 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
+def chunk_of(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS) -> Column:
+    """The chunk of a row, which grows with ``order``: about ``chunk_rows`` rows share one.
+
+    One aggregate counts the rows, a second one finds the borders at quantiles. A row looks its
+    chunk up by bisection, so the borders cost log2 of their number.
+    """
+    rows = df.select(F.count(order)).first()[0]
+    n = min(MAX_CHUNKS, -(-rows // chunk_rows))
+    if n <= 1:
+        return F.lit(0).cast("bigint")
+    shares = [i / n for i in range(1, n)]
+    borders = sorted(set(df.select(F.percentile_approx(order, shares, max(10_000, 4 * n))).first()[0]))
+    held = F.array(*(F.lit(b) for b in borders))
+    steps = [1 << i for i in reversed(range(len(borders).bit_length()))]
+
+    def bisect(at: Column, step: Column) -> Column:
+        inside = (at + step <= len(borders)) & (F.try_element_at(held, at + step) < F.col(order))
+        return F.when(inside, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), bisect).cast("bigint")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -44,8 +69,7 @@ def running(
     ``sum``. A max or min with no earlier value is null, a sum is 0. ``keys`` may be empty.
     Key values must not be null.
     """
-    chunk = F.floor(F.col(order) / F.lit(chunk_rows)).alias("_chunk")
-    chunked = df.select("*", chunk)
+    chunked = df.select("*", chunk_of(df, order, chunk_rows).alias("_chunk"))
     on = [*keys, "_chunk"]
 
     totals = chunked.groupBy(*on).agg(
@@ -82,7 +106,7 @@ def previous(
 ) -> DataFrame:
     """Add the value of the row just before in arrival order, with the same chunking."""
     on = [*keys, "_chunk"]
-    chunked = df.select("*", F.floor(F.col(order) / F.lit(chunk_rows)).alias("_chunk"))
+    chunked = df.select("*", chunk_of(df, order, chunk_rows).alias("_chunk"))
     last = chunked.groupBy(*on).agg(F.max_by(value, order).alias("_last"))
     carry = last.select(*on, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
     local = Window.partitionBy(*on).orderBy(order)

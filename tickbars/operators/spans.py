@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from tickbars.session import use_checkpoints
 
 SEPARATOR = " > "
-# A chain of n spans takes about log2(n) rounds; more rounds mean a loop in the parents.
-MAX_ROUNDS = 20
 
 
-def ancestry(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Add ``root_id`` and ``span_path`` (names from root to leaf) to ``span_id, parent_id, name``.
+def resolve(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths of spans (``span_id, root_id, span_path``: names from root to leaf), and the
+    ``span_id`` of those whose parents form a loop, which have none.
 
     Every round joins each unfinished row with the row it points at, which doubles the part
-    of the path that is known. Rows whose parent is not there count as roots. The rows point
-    at unique span ids, so a parent with very many children only skews the unfinished side,
-    which adaptive execution splits.
+    of the path that is known. A round in which none is finished leaves loops and what hangs on
+    them: a longer chain would have had one of every shorter length. Rows whose parent is not
+    there count as roots. The rows point at unique span ids, so a parent with very many
+    children only skews the unfinished side, which adaptive execution splits.
     """
     use_checkpoints(spans.sparkSession)
     state = spans.select(
@@ -31,10 +31,9 @@ def ancestry(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         F.col("span_id").alias("root_id"),
         F.array("name").alias("_names"),
     ).checkpoint()
-    for _ in range(max_rounds):
+    open_rows = state.filter(F.col("_up").isNotNull()).count()
+    while open_rows:
         todo = state.filter(F.col("_up").isNotNull())
-        if todo.isEmpty():
-            break
         above = state.select(
             F.col("span_id").alias("_up"),
             F.col("_up").alias("_next"),
@@ -48,10 +47,22 @@ def ancestry(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             F.concat(F.coalesce("_above", F.array().cast("array<string>")), "_names").alias("_names"),
         )
         state = state.filter(F.col("_up").isNull()).unionByName(moved).checkpoint()
-    else:
-        if not state.filter(F.col("_up").isNotNull()).isEmpty():
-            raise ValueError("span parents form a loop or a chain that is too long")
-    return state.select("span_id", "root_id", F.array_join("_names", SEPARATOR).alias("span_path"))
+        before, open_rows = open_rows, state.filter(F.col("_up").isNotNull()).count()
+        if open_rows == before:
+            break
+    done = F.col("_up").isNull()
+    paths = state.filter(done).select("span_id", "root_id", F.array_join("_names", SEPARATOR).alias("span_path"))
+    return paths, state.filter(~done).select("span_id")
+
+
+def ancestry(spans: DataFrame) -> DataFrame:
+    """``root_id`` and ``span_path`` of ``span_id, parent_id, name``, without those in loops."""
+    return resolve(spans)[0]
+
+
+def parent_loops(spans: DataFrame) -> DataFrame:
+    """``span_id`` of spans that have no root, as their parents form a loop."""
+    return resolve(spans)[1]
 
 
 def build_spans(records: DataFrame) -> DataFrame:
@@ -59,7 +70,9 @@ def build_spans(records: DataFrame) -> DataFrame:
 
     A span takes the trace of its root, its length is close minus start, and it failed if it
     holds an ERROR event. A lone event failed at WARN or worse. Events stay in rows of their
-    own (:func:`span_events`), since one span may hold very many.
+    own (:func:`span_events`), since one span may hold very many. ``attributes`` are those of
+    the start record, or of a lone event. Spans in a loop of parents are left out
+    (:func:`parent_loops` names them).
     """
     inside = records.filter(F.col("span_id").isNotNull())
     new = F.col("kind") == "new"
@@ -68,6 +81,7 @@ def build_spans(records: DataFrame) -> DataFrame:
         inside.groupBy("span_id")
         .agg(
             *(F.max(F.when(new, F.col(c))).alias(c) for c in ("parent_id", "name", "target", "level")),
+            F.max_by("attributes", F.when(new, F.col("seq"))).alias("attributes"),
             F.max(F.when(new, F.col("ts_ms"))).alias("start_ms"),
             F.max(F.when(F.col("kind") == "close", F.col("ts_ms"))).alias("end_ms"),
             F.count_if(event).alias("events"),
@@ -86,6 +100,7 @@ def build_spans(records: DataFrame) -> DataFrame:
             "name",
             "target",
             "level",
+            "attributes",
             "start_ms",
             F.col("end_ms").alias("timestamp_ms"),
             (F.col("end_ms") - F.col("start_ms")).cast("double").alias("duration_ms"),
@@ -104,6 +119,7 @@ def build_spans(records: DataFrame) -> DataFrame:
         F.col("message").alias("name"),
         "target",
         "level",
+        "attributes",
         F.col("ts_ms").alias("start_ms"),
         F.col("ts_ms").alias("timestamp_ms"),
         F.lit(0.0).alias("duration_ms"),

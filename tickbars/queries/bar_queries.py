@@ -217,7 +217,7 @@ SQL["bars_seeded"] = I.sql_rounded(sql_fill(_SEEDED))
 
 
 def missing_seeds(spark, sf_dir):
-    """Suppliers x periods without a stored bar to start from (seeds exist where events do)."""
+    """Symbols x periods without a stored bar to start from (seeds exist where events do)."""
     seeds = _latest(B.build_bars(I.trades(spark, sf_dir), ("1h", "1d")))
     wanted = seeds.select("symbol").distinct().select(
         "symbol", F.explode(F.array(*(F.lit(p) for p in PERIODS))).alias("period")

@@ -138,6 +138,14 @@ def problem_filter(spark, sf_dir):
     return L.problems(entries(spark, sf_dir)).select("seq", "level")
 
 
+@_register(f"""SELECT seq, level FROM ({_ENTRIES}) WHERE level IN ('WARN', 'ERROR') OR seq % 5 IN (1, 2, 3)""")
+def problem_filter_summaries(spark, sf_dir):
+    """As above with a summary type on three of five entries."""
+    kinds = F.array(*(F.lit(k) for k in ("other", "checkpoint", "snapshot", "assertion", "")))
+    kind = F.element_at(kinds, (F.col("seq") % 5 + 1).cast("int"))
+    return L.problems(entries(spark, sf_dir), kind).select("seq", "level")
+
+
 @_register(f"""SELECT seq, level, target FROM ({_ENTRIES}) WHERE target LIKE '%purch%' AND level = 'ERROR'
   AND timestamp_ms BETWEEN 1704672000000 AND 1705881600000 ORDER BY seq LIMIT 50""")
 def log_search(spark, sf_dir):
@@ -184,17 +192,20 @@ def target_lines(spark, sf_dir):
 
 
 def _span_lines(spark, sf_dir):
-    """One span record per event; every 10th lacks a status, every 11th is no JSON."""
+    """One span record per event; every 10th lacks a status, every 11th is no JSON, every 13th has
+    an event without a level, and every 17th repeats the id before it."""
     ev = I.table(spark, sf_dir, "events")
     i = F.col("event_id")
     status = F.when(i % 10 == 0, F.lit("")).otherwise(
         F.concat(F.lit(',"status":"'), F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS"), F.lit('"'))
     )
     tx = F.when(i % 3 == 0, F.concat(F.lit('"tx'), F.col("user_id") % 7, F.lit('"'))).otherwise((F.col("user_id") % 7).cast("string"))
+    level = F.when(i % 13 == 0, F.lit("")).otherwise(F.lit('"level":"INFO",'))
+    event = F.concat(F.lit('{"timestamp":"2024-01-01T00:00:00Z","name":"in",'), level, F.lit('"attributes":{"n":1}}'))
     value = F.concat(
-        F.lit('{"type":"span","id":"'), i, F.lit('","trace_id":"t'), F.col("user_id"), F.lit('","parent_id":null,"name":"'), F.col("event_type"),
+        F.lit('{"type":"span","id":"'), F.when(i % 17 == 0, i - 1).otherwise(i), F.lit('","trace_id":"t'), F.col("user_id"), F.lit('","parent_id":null,"name":"'), F.col("event_type"),
         F.lit('","target":"x","level":"INFO","timestamp":"2024-01-01T00:00:00Z","duration_ms":'), F.col("value"),
-        F.lit(',"attributes":{"tx_id":'), tx, F.lit('},"events":[],"span_type":"span"'), status, F.lit("}"),
+        F.lit(',"attributes":{"tx_id":'), tx, F.lit('},"events":['), event, F.lit('],"span_type":"span"'), status, F.lit("}"),
     )
     return ev.select(
         i.alias("seq"),
@@ -204,24 +215,26 @@ def _span_lines(spark, sf_dir):
     )
 
 
-_SPANS = """SELECT event_id AS seq, user_id % 4 AS connection_id, (epoch_us(ts) // 1000)::DOUBLE AS start_ms, event_id::VARCHAR AS id, 't' || user_id AS trace_id,
+_ALL_SPANS = """SELECT event_id AS seq, user_id % 4 AS connection_id, (epoch_us(ts) // 1000)::DOUBLE AS start_ms, CASE WHEN event_id % 17 = 0 THEN event_id - 1 ELSE event_id END::VARCHAR AS id, 't' || user_id AS trace_id,
   event_type AS name, value AS duration_ms, CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS status,
-  CASE WHEN event_id % 3 = 0 THEN 'tx' || user_id % 7 END AS tx_id FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0"""
+  CASE WHEN event_id % 3 = 0 THEN 'tx' || user_id % 7 END AS tx_id FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0"""
+_SPANS = f"{_ALL_SPANS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
 
 
 def _spans(spark, sf_dir):
-    return logs.parse_spans(_span_lines(spark, sf_dir))
+    """Of a repeated id, the last record."""
+    return L.latest_records(logs.parse_spans(_span_lines(spark, sf_dir)))
 
 
-@_register(f"SELECT seq, id, trace_id, name, duration_ms, status FROM ({_SPANS})")
+@_register(f"SELECT seq, id, trace_id, name, duration_ms, status FROM ({_ALL_SPANS})")
 def parse_spans(spark, sf_dir):
-    return _spans(spark, sf_dir).select("seq", "id", "trace_id", "name", "duration_ms", "status")
+    return logs.parse_spans(_span_lines(spark, sf_dir)).select("seq", "id", "trace_id", "name", "duration_ms", "status")
 
 
 @_register(f"SELECT id, name FROM ({_SPANS}) WHERE tx_id = 'tx3'")
 def spans_by_tx(spark, sf_dir):
-    """Transaction ids that are numbers do not match; the limit is above the whole table."""
-    return L.spans_by_tx(_spans(spark, sf_dir), "tx3", limit=2_000_000_000).select("id", "name")
+    """Transaction ids that are numbers do not match."""
+    return L.spans_by_tx(_spans(spark, sf_dir), "tx3").select("id", "name")
 
 
 @_register(f"SELECT seq, id FROM ({_SPANS}) WHERE trace_id = 't5' ORDER BY seq")
@@ -234,9 +247,9 @@ def spans_of_last_connection(spark, sf_dir):
     return L.last_connection(_spans(spark, sf_dir)).select("seq", "connection_id")
 
 
-@_register(f"SELECT count(*) AS spans, count(DISTINCT trace_id) AS traces FROM ({_SPANS})")
+@_register(f"SELECT count(DISTINCT id) AS spans, count(DISTINCT trace_id) AS traces FROM ({_ALL_SPANS})")
 def span_totals(spark, sf_dir):
-    return L.span_totals(_spans(spark, sf_dir))
+    return L.span_totals(logs.parse_spans(_span_lines(spark, sf_dir)))
 
 
 @_register(f"""SELECT trace_id, count(*) AS spans, round(max(start_ms + duration_ms) - min(start_ms), 3) AS trace_ms,
@@ -264,12 +277,13 @@ def _records(spark, sf_dir):
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARN").otherwise("INFO")
     k = F.get_json_object("props", "$.k").cast("bigint")
     text = F.lit(None).cast("string")
+    held = F.concat(F.lit('{"tx_id":"tx'), F.col("user_id") % 7, F.lit('","k":'), k, F.lit("}"))
 
     def rec(offset, kind, at, span, lvl, message):
         return F.struct(
             (i * 4 + offset).alias("seq"), at.alias("ts_ms"), F.lit(kind).alias("kind"), span.alias("span_id"),
             parent.cast("string").alias("parent_id"), F.col("event_type").alias("name"), F.lit("core").alias("target"),
-            lvl.alias("level"), message.alias("message"),
+            lvl.alias("level"), message.alias("message"), F.from_json(held, "map<string,variant>").alias("attributes"),
         )
 
     me = i.cast("string")
@@ -282,7 +296,7 @@ def _records(spark, sf_dir):
     return ev.select(F.inline(rows))
 
 
-_TREE = f"""SELECT event_id AS i, event_type AS name, epoch_us(ts) // 1000 AS t, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k,
+_TREE = f"""SELECT event_id AS i, 'tx' || user_id % 7 AS tx_id, event_type AS name, epoch_us(ts) // 1000 AS t, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k,
   event_id % {_GROUP} AS n, CASE WHEN event_id % {_GROUP} = 0 THEN NULL WHEN (event_id // {_GROUP}) % 7 = 0 THEN event_id - 1
     ELSE (event_id // {_GROUP}) * {_GROUP} + (event_id % {_GROUP}) // 2 END AS parent FROM events"""
 _PATHS = f"""WITH RECURSIVE tree AS ({_TREE}), walk AS (
@@ -296,12 +310,35 @@ def span_paths(spark, sf_dir):
     return SP.ancestry(new.select("span_id", "parent_id", "name"))
 
 
-@_register(f"""{_PATHS} SELECT tree.i::VARCHAR AS id, root::VARCHAR AS trace_id, parent::VARCHAR AS parent_id, name, t AS start_ms, k::DOUBLE AS duration_ms, 1::BIGINT AS events,
+@_register(f"""{_PATHS} SELECT tree.i::VARCHAR AS id, root::VARCHAR AS trace_id, parent::VARCHAR AS parent_id, name, t AS start_ms, k::DOUBLE AS duration_ms, 1::BIGINT AS events, tx_id, k,
   CASE WHEN name = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS status, 'span' AS span_type, path AS span_path FROM tree JOIN walk USING (i) WHERE n <> 49
-UNION ALL SELECT 'event-' || (i * 4 + 3), 'event-' || (i * 4 + 3), NULL, 'alone', t + 2, 0.0, 0,
+UNION ALL SELECT 'event-' || (i * 4 + 3), 'event-' || (i * 4 + 3), NULL, 'alone', t + 2, 0.0, 0, tx_id, k,
   CASE WHEN name IN ('error', 'view') THEN 'FAILURE' ELSE 'SUCCESS' END, 'event', 'alone' FROM tree""")
 def build_spans(spark, sf_dir):
-    return SP.build_spans(_records(spark, sf_dir)).drop("target", "level", "timestamp_ms")
+    spans = SP.build_spans(_records(spark, sf_dir)).drop("target", "level", "timestamp_ms")
+    return _attributes(spans)
+
+
+def _attributes(spans):
+    at = lambda key, kind: F.try_variant_get(F.try_element_at("attributes", F.lit(key)), "$", kind).alias(key)
+    return spans.select(*(c for c in spans.columns if c != "attributes"), at("tx_id", "string"), at("k", "bigint"))
+
+
+@_register(f"""SELECT i::VARCHAR AS id FROM ({_TREE}) WHERE n <> 49 AND tx_id = 'tx3'
+UNION ALL SELECT 'event-' || (i * 4 + 3) FROM ({_TREE}) WHERE tx_id = 'tx3'""")
+def built_spans_by_tx(spark, sf_dir):
+    """Spans made of records, asked for by an attribute."""
+    return L.spans_by_tx(SP.build_spans(_records(spark, sf_dir)), "tx3").select("id")
+
+
+@_register(f"""SELECT i::VARCHAR AS span_id FROM ({_TREE}) WHERE i // {_GROUP} % 11 = 5 AND i // {_GROUP} % 7 <> 0 AND n > 0""")
+def span_parent_loops(spark, sf_dir):
+    """Every 11th tree is cut off its root by a loop at its second span, which takes all below it along."""
+    new = _records(spark, sf_dir).filter(F.col("kind") == "new")
+    i = F.col("span_id").cast("bigint")
+    g, n = F.floor(i / _GROUP), i % _GROUP
+    parent = F.when((g % 11 == 5) & (g % 7 != 0) & (n == 1), F.col("span_id")).otherwise(F.col("parent_id"))
+    return SP.parent_loops(new.select("span_id", parent.alias("parent_id"), "name"))
 
 
 @_register("""SELECT event_id::VARCHAR AS span_id, event_id * 4 + 1 AS seq, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARN' ELSE 'INFO' END AS level FROM events""")

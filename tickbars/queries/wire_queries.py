@@ -58,10 +58,12 @@ def _single_lines(spark, sf_dir):
 
 
 def _combined_lines(spark, sf_dir):
+    """Combined messages; every 9th names no event, which makes it a bad payload."""
     t = _trade_json(spark, sf_dir)
+    body = F.when(F.col("seq") % 9 == 4, F.regexp_replace("body", r'"e":"[^"]*",', "")).otherwise(F.col("body"))
     return t.select(
         "seq",
-        F.concat(F.lit('{"stream":"'), wire.stream_name(F.col("symbol")), F.lit('","data":'), "body", F.lit("}")).alias("value"),
+        F.concat(F.lit('{"stream":"'), wire.stream_name(F.col("symbol")), F.lit('","data":'), body, F.lit("}")).alias("value"),
     )
 
 
@@ -74,7 +76,7 @@ def parse_single_stream(spark, sf_dir):
     return wire.accepted_trades(wire.classify_trades(_single_lines(spark, sf_dir))).select(*_TRADE_COLS)
 
 
-@_register(f"SELECT {_SQL_TRADE_COLS} FROM ({I.TRADES}) WHERE seq % 10 NOT IN (2, 3, 4)")
+@_register(f"SELECT {_SQL_TRADE_COLS} FROM ({I.TRADES}) WHERE seq % 10 NOT IN (2, 3, 4) AND seq % 9 <> 4")
 def parse_combined_stream(spark, sf_dir):
     return wire.accepted_trades(wire.classify_trades(_combined_lines(spark, sf_dir))).select(*_TRADE_COLS)
 
@@ -106,10 +108,15 @@ def known_symbol_gate(spark, sf_dir):
     return good.groupBy("symbol").agg(F.count("*").alias("trades"))
 
 
-@_register(f"""SELECT seq AS agg_trade_id, price, quantity, ts_ms, is_buyer_maker FROM ({I.TRADES}) WHERE seq % 10 <> 3""".replace("price, quantity", "CASE WHEN seq % 10 = 2 THEN NULL ELSE price END AS price, CASE WHEN seq % 10 = 4 THEN NULL ELSE quantity END AS quantity"))
+@_register(f"""SELECT seq, symbol, agg_trade_id, CASE WHEN agg_trade_id % 10 = 2 THEN NULL ELSE price END AS price,
+  CASE WHEN agg_trade_id % 10 = 4 THEN NULL ELSE quantity END AS quantity, ts_ms, is_buyer_maker
+FROM (SELECT seq AS agg_trade_id, seq // 4 AS seq, * EXCLUDE (seq) FROM ({I.TRADES}))
+QUALIFY count(*) FILTER (agg_trade_id % 10 = 3) OVER (PARTITION BY seq, symbol) = 0""")
 def parse_rest_trades(spark, sf_dir):
-    lines = _trade_json(spark, sf_dir).select(F.concat(F.lit("["), "body", F.lit("]")).alias("value"))
-    return wire.parse_rest_trades(lines)
+    """Responses of up to four trades of a symbol; one bad element fails its whole response."""
+    t = _trade_json(spark, sf_dir).select(F.floor(F.col("seq") / 4).alias("seq"), "symbol", "body")
+    lines = t.groupBy("seq", "symbol").agg(F.concat(F.lit("["), F.array_join(F.collect_list("body"), ","), F.lit("]")).alias("value"))
+    return wire.parse_rest_trades(lines, keep=("seq", "symbol"))
 
 
 # --- tickers ------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ plain entries. Each line is parsed once; the forms are conditions over the parse
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,7 +205,8 @@ _SPAN_TEXTS = ("id", "trace_id", "name", "target", "level", "timestamp", "status
 
 def parse_spans(lines: DataFrame) -> DataFrame:
     """Span records (``type: span``). A line that lacks a required field is left out;
-    ``parent_id`` may be null. ``attributes`` is a map, ``events`` an array of JSON values."""
+    ``parent_id`` may be null. ``attributes`` is a map, ``events`` an array of JSON values,
+    each of which must have a timestamp, a name, a level and attributes."""
     keep = [c for c in lines.columns if c != "value"]
     schema = ",".join(
         ["type variant", *(f"{k} variant" for k in _SPAN_TEXTS), "parent_id variant", "duration_ms double",
@@ -220,4 +223,11 @@ def parse_spans(lines: DataFrame) -> DataFrame:
     whole = F.col("_type") == "span"
     for name in (*_SPAN_TEXTS, "duration_ms", "attributes", "events"):
         whole = whole & F.col(name).isNotNull()
-    return read.filter(whole).drop("_type")
+    return read.filter(whole).filter(F.forall("events", _is_event)).drop("_type")
+
+
+def _is_event(event: Column) -> Column:
+    part = F.coalesce(V.as_entries(event), F.create_map().cast("map<string,variant>"))
+    texts = [V.as_text(F.try_element_at(part, F.lit(k))).isNotNull() for k in ("timestamp", "name", "level")]
+    held = V.as_entries(F.try_element_at(part, F.lit("attributes"))).isNotNull()
+    return reduce(lambda a, b: a & b, texts, held)

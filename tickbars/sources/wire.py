@@ -140,15 +140,15 @@ def classify_trades(lines: DataFrame) -> DataFrame:
     """All input columns plus the trade fields and ``outcome``.
 
     Single-stream messages must be trade events; messages in a combined envelope
-    (``stream`` and ``data``) are taken by their data alone. ``outcome`` is ``trade``,
+    (``stream`` and ``data``) are taken by their data, which must name an event. ``outcome`` is ``trade``,
     ``ignored`` (another message), ``bad_payload``, ``bad_price`` or ``bad_quantity``.
     """
     held = [F.col(c) for c in lines.columns]
     fields = TRADE_FIELDS | TRADE_EXTRAS
-    own = V.json_type({"e": ("_event", "text")} | fields)[len("struct<") : -1]
-    names = V.named_type({"e": ("_event", "text")} | fields)[len("struct<") : -1]
-    envelope = F.from_json("value", f"struct<stream:variant,data:{V.json_type(fields)},{own}>").cast(
-        f"struct<_stream:variant,_data:{V.named_type(fields)},{names}>"
+    tagged = {"e": ("_event", "text")} | fields
+    own, names = V.json_type(tagged)[len("struct<") : -1], V.named_type(tagged)[len("struct<") : -1]
+    envelope = F.from_json("value", f"struct<stream:variant,data:{V.json_type(tagged)},{own}>").cast(
+        f"struct<_stream:variant,_data:{V.named_type(tagged)},{names}>"
     )
     opened = lines.select(*held, F.inline(F.array(envelope)))
     in_stream = V.kind(F.col("_stream")) == "STRING"
@@ -156,11 +156,12 @@ def classify_trades(lines: DataFrame) -> DataFrame:
     combined = F.coalesce(
         in_stream & (F.col("_data").isNotNull() | F.get_json_object("value", "$.data").isNotNull()), F.lit(False)
     )
-    body = F.when(F.col("_combined"), F.col("_data")).otherwise(F.struct(*(n for n, _ in fields.values())))
+    body = F.when(F.col("_combined"), F.col("_data")).otherwise(F.struct(*(n for n, _ in tagged.values())))
     chosen = opened.withColumn("_combined", combined).select(
         *held, V.as_text(F.col("_event")).alias("_event"), "_combined", body.alias("_body")
     )
-    texts = chosen.select(*held, "_event", "_combined", V.unfold(V.strict(fields, "_body")))
+    tag = F.col("_body._event").isNotNull().alias("_tagged")
+    texts = chosen.select(*held, "_event", "_combined", V.unfold([*V.strict(fields, "_body"), tag]))
     parsed = texts.select(
         "*",
         to_number(F.col("price_text")).alias("price"),
@@ -168,12 +169,12 @@ def classify_trades(lines: DataFrame) -> DataFrame:
     )
     outcome = (
         F.when(~F.col("_combined") & ~F.col("_event").eqNullSafe(F.lit(TRADE_EVENT)), "ignored")
-        .when(~_complete(TRADE_FIELDS), "bad_payload")
+        .when(~_complete(TRADE_FIELDS) | ~F.col("_tagged"), "bad_payload")
         .when(F.col("price").isNull(), "bad_price")
         .when(F.col("quantity").isNull(), "bad_quantity")
         .otherwise("trade")
     )
-    return parsed.withColumn("outcome", outcome).drop("_combined", "_event")
+    return parsed.withColumn("outcome", outcome).drop("_combined", "_event", "_tagged")
 
 
 def known_symbols_only(trades: DataFrame, registry: DataFrame) -> DataFrame:
@@ -197,13 +198,23 @@ def _array_of(fields: dict) -> Column:
     return F.when(F.ltrim("value").startswith("["), parsed)
 
 
-def parse_rest_trades(lines: DataFrame) -> DataFrame:
-    """Trade history responses: one JSON array of trades per row."""
-    opened = lines.select(F.inline(_array_of(REST_TRADE_FIELDS)))
+def parse_rest_trades(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Trade history responses: one JSON array of trades per row. A response with an element
+    that lacks a field, or holds one of another type, gives no rows. ``keep`` names input
+    columns to carry along."""
+    def whole(t: Column) -> Column:
+        ok = t.isNotNull()
+        for name, kind in REST_TRADE_FIELDS.values():
+            ok = ok & (V.kind(t[name]) == "STRING" if kind == "text" else t[name].isNotNull())
+        return F.coalesce(ok, F.lit(False))
+
+    opened = lines.select(*keep, F.explode(F.array(_array_of(REST_TRADE_FIELDS))).alias("_all"))
     return (
-        opened.select(V.unfold(V.strict(REST_TRADE_FIELDS)))
-        .filter(_complete(REST_TRADE_FIELDS))
+        opened.filter(F.forall("_all", whole))
+        .select(*keep, F.inline("_all"))
+        .select(*keep, V.unfold(V.strict(REST_TRADE_FIELDS)))
         .select(
+            *keep,
             "agg_trade_id",
             to_number(F.col("price_text")).alias("price"),
             to_number(F.col("quantity_text")).alias("quantity"),

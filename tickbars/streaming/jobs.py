@@ -119,12 +119,13 @@ def start_exact(
             seeds = None if seeds is None else known_symbols_only(seeds, current)
         bars = fold_batch(known, seeds, periods, clock_grace_ms).persist()
         try:
-            # final bars and the open ones: a later final version beats the open one
-            S.write_batch(bars, f"{root}/bars", batch_id)
+            # final bars and changed open ones: a later final version beats the open one
+            news = bars.filter("is_final").unionByName(changes(bars, seeds))
+            S.write_batch(news, f"{root}/bars", batch_id)
             if push:
                 feed = S.push_messages(changes(bars, seeds))
                 feed.write.mode("overwrite").json(f"{root}/push/batch_id={batch_id}")
-            bars.filter(~F.col("is_final")).coalesce(8).write.mode("overwrite").parquet(_slot(root, batch_id))
+            bars.filter(~F.col("is_final")).hint("rebalance").write.mode("overwrite").parquet(_slot(root, batch_id))
         finally:
             bars.unpersist()
 
@@ -142,8 +143,10 @@ def final_bars(spark: SparkSession, root: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The open bar of every key: the newest stored bar that is not final."""
-    return S.latest_per_series(S.read_current(spark, f"{root}/bars").drop("month"))
+    """The open bar of every key, from what the last finished batch left open."""
+    done = spark.read.text(f"{root}/checkpoint/commits", pathGlobFilter="[0-9]*")
+    last = int(done.select(F.max(F.element_at(F.split("_metadata.file_name", "[.]"), 1).cast("bigint"))).first()[0])
+    return S.valid(spark.read.schema(BAR_SCHEMA).parquet(_slot(root, last)))
 
 
 class StaleInput(StreamingQueryListener):
