@@ -114,13 +114,11 @@ class Plan:
 
 def bit_likeness(fps: DataFrame, bits: int = BITS) -> np.ndarray:
     """Absolute correlation of the bits over all fingerprints (fp): one aggregate, of a sum per pair of bits."""
-    joint, n = np.zeros((bits, bits)), 0
-    summed = fps.select("fp").mapInPandas(_joint_bits(bits), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
-    for r in summed.collect():
-        if r["i"] < 0:
-            n = r["n"]
-        else:
-            joint[r["i"], r["j"]] = joint[r["j"], r["i"]] = r["n"]
+    joint = np.zeros((bits, bits))
+    counts = fps.select("fp").mapInPandas(_joint_bits(bits), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    whole = counts["i"] < 0
+    n, pairs = int(counts["n"][whole].sum()), counts[~whole]
+    joint[pairs["i"], pairs["j"]] = joint[pairs["j"], pairs["i"]] = pairs["n"]
     share = joint.diagonal() / max(n, 1)
     cov = joint / max(n, 1) - np.outer(share, share)
     spread = np.sqrt(np.maximum(cov.diagonal(), 1e-12))
@@ -241,20 +239,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_to_unique(rows, groups, "fp", heavy).select("id", "fp", "component")
 
 
-#: Near copies: bits of their two fingerprints, partitions, and bits of the second that may differ.
-WIDE = 256
+#: Near copies: bits of the words' fingerprint, its partitions, and the distance within which none is missed.
+WIDE = 512
+WIDE_PARTITIONS = 24
+WIDE_NEAR = 23
+
+#: Bits of the shingles' fingerprint, and of these that may differ.
+SHINGLE_BITS = 256
 WIDE_SHINGLE = 5
-WIDE_PARTITIONS = 12
-WIDE_NEAR = 15
 WIDE_DIFFER = 44
 
+#: Seeds lie far apart, as digests of short words under neighbouring seeds are alike.
+_SEED_STEP = 0x9E3779B97F4A7C15
+
 #: Members of a bucket that are paired at once, and of one that is compared in blocks.
 FEW = 8
 BLOCK = 1024
 
 
 def wide_fingerprints(text: Column) -> Column:
-    """Two SimHashes of WIDE bits, arrays of longs: of a text's distinct words, and of its distinct five-word shingles."""
+    """SimHashes of a text's distinct words (WIDE bits) and distinct five-word shingles (SHINGLE_BITS), arrays of longs."""
 
     @F.pandas_udf("words array<long>, shingles array<long>")
     def fingerprints(texts: pd.Series) -> pd.DataFrame:
@@ -267,15 +271,16 @@ def wide_fingerprints(text: Column) -> Column:
 def _wide(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.encode().lower().split()
     take = min(WIDE_SHINGLE, len(words))
-    return _wide_bits(set(words)), _wide_bits({b" ".join(words[i : i + take]) for i in range(len(words) - take + 1)} if take else set())
+    shingles = {b" ".join(words[i : i + take]) for i in range(len(words) - take + 1)} if take else set()
+    return _wide_bits(set(words), WIDE), _wide_bits(shingles, SHINGLE_BITS)
 
 
-def _wide_bits(items: set[bytes]) -> np.ndarray:
+def _wide_bits(items: set[bytes], bits: int) -> np.ndarray:
     from xxhash import xxh3_128_digest as digest
 
-    ones, held = np.zeros(WIDE, np.int64), []
+    ones, held, seeds = np.zeros(bits, np.int64), [], [_SEED_STEP * i % (1 << 64) for i in range(bits // 128)]
     for item in items:
-        held.append(digest(item, 0) + digest(item, 1))
+        held.append(b"".join(digest(item, seed) for seed in seeds))
         if len(held) == 1 << 14:
             ones, held = ones + _bit_sums(held), []
     if held:
@@ -311,7 +316,8 @@ def _block_links(members: pd.DataFrame) -> pd.DataFrame:
     """Links within a pair of blocks, as many as it takes to connect what they connect."""
     members = members.drop_duplicates("node").sort_values("node")
     nodes = members["node"].to_numpy()
-    shingles = np.stack(members["shingles"].to_list()).astype(np.int64)
+    # bits are counted of unsigned numbers: of others, numpy takes the absolute value
+    shingles = np.stack(members["shingles"].to_list()).astype(np.int64).view(np.uint64)
 
     def near() -> Iterator[tuple[int, int]]:
         for i in range(len(nodes) - 1):
@@ -358,7 +364,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The documents with one of each group of near copies, the one with the least id (null ids last).
 
     Near copies have five-word shingles (distinct, A-Z lower-cased) with a Jaccard similarity of
-    about 0.8 or more: WIDE_DIFFER of WIDE bits is what the fingerprints of such texts differ by at
+    about 0.8 or more: WIDE_DIFFER of SHINGLE_BITS bits is what the fingerprints of such texts differ by at
     most, but for rare cases. Groups are what links reach. Texts without words are near copies
     of each other; rows that repeat are too.
     """
