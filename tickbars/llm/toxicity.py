@@ -30,11 +30,11 @@ VOCABULARY = 50_000
 
 #: Letters of a stem, and weights of the priors in documents.
 STEM = 5
-WORD_PRIOR = 2.0
-STEM_PRIOR = 4.0
+WORD_PRIOR = 5.0
+STEM_PRIOR = 8.0
 
 #: A stem or word tells if its log-odds are at least this.
-TELLING = 1.0
+TELLING = 2.0
 
 #: Fixed value: words are runs of letters.
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -218,10 +218,17 @@ def _counted(model: ToxicityModel, texts: pd.Series) -> pd.DataFrame:
 
 
 def _scanned(model: ToxicityModel, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of words, and all maximal segments as first and last word and score."""
+    """Number of words, and all maximal segments as first and last word and score.
+
+    A word tells once: where a text repeats it, it weighs as one that doesn't tell.
+    """
     words = _LETTERS.findall(text.lower())
     known, stems, get = model.words, model.stems, model.weight
-    hits = [(i, get(w)) for i, w in enumerate(words) if w in known or w[:STEM] in stems]
+    hits, seen = [], set()
+    for i, word in enumerate(words):
+        if (word in known or word[:STEM] in stems) and word not in seen:
+            seen.add(word)
+            hits.append((i, get(word)))
     return len(words), maximal_segments(hits, model.drift) if hits else []
 
 
