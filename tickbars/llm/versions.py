@@ -1,6 +1,6 @@
 """Document fingerprints that tell what differs: invertible Bloom lookup sketches of paragraphs.
 
-A paragraph, a sentence or line, is known by its 64-bit digest. A sketch has CELLS cells in three
+A paragraph is known by its 64-bit digest. A sketch has CELLS cells in three
 tables; a digest is added to one cell of each, which hold a count, and the exclusive or of digests
 and of their checks. Sketches of two versions are subtracted cell by cell: shared paragraphs
 vanish. A cell with a single digest left, which its check proves, gives it away; taking it
@@ -12,6 +12,7 @@ DataFrame functions only; sums over the digests of a document stay within a task
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickbars.llm.common import scratch
+from tickbars.session import shared_dir
 
 #: Cells of a sketch: TABLES tables of WIDTH cells, a power of 2.
 TABLES = 3
@@ -27,15 +29,18 @@ CELLS = TABLES * WIDTH
 
 #: Differing digests a part is meant for, growth of a part that fails, rounds of peeling.
 LOAD = 3
-GROWTH = 8
+GROWTH = 64
 ROUNDS = 10
 
 _BITS = WIDTH.bit_length() - 1
-_PARAGRAPH = r"(?<=[.!?\n])"
+
+#: A paragraph ends after a line end, or after a sentence whose last word has six letters: texts
+#: without line ends have paragraphs too, and where one ends depends on what stands there alone.
+_PARAGRAPH = r"(?<=\n|\p{L}{6}[.!?])"
 
 
 def paragraph_digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs, which end after a line or sentence end."""
+    """The distinct 64-bit digests of a text's paragraphs."""
     parts = F.filter(F.split(text, _PARAGRAPH), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
@@ -45,41 +50,56 @@ def _check(digest: Column) -> Column:
 
 
 def _hits(check: Column, cell: Column | int) -> Column:
-    """Whether a digest with this check has a place in the cell."""
-    def place(t):
-        return F.shiftright(check, t * _BITS).bitwiseAND(F.lit(WIDTH - 1)) + t * WIDTH
-
+    """Whether a digest with this check has a place in the cell: its table's bits of the check name it."""
     if isinstance(cell, int):
-        t = cell // WIDTH
-        return place(t) == cell
-    return reduce(lambda a, b: a | b, [place(t) == cell for t in range(TABLES)])
+        return F.shiftright(check, cell // WIDTH * _BITS).bitwiseAND(F.lit(WIDTH - 1)) == cell % WIDTH
+    bits = F.call_function("shiftright", check, F.shiftright(cell, _BITS) * _BITS)
+    return bits.bitwiseAND(F.lit(WIDTH - 1)) == cell.bitwiseAND(F.lit(WIDTH - 1))
+
+
+def _cell(n: Column, k: Column, c: Column) -> Column:
+    return F.struct(n.cast("long").alias("n"), k.alias("k"), c.alias("c"))
+
+
+def _added(a: Column, b: Column, sign: int = 1) -> Column:
+    return _cell(a["n"] + b["n"] * sign, a["k"].bitwiseXOR(b["k"]), a["c"].bitwiseXOR(b["c"]))
+
+
+def sketch(digests: Column) -> Column:
+    """The sketch of a version, in one part, from its array of digests: an array of cells n, k and c."""
+    entries = F.transform(digests, lambda d: _cell(F.lit(1), d, _check(d)))
+    zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    # the outer array of one holds the entries, so that they are made once
+    built = F.transform(
+        F.array(entries),
+        lambda e: F.transform(
+            F.sequence(F.lit(0), F.lit(CELLS - 1)),
+            lambda i: F.aggregate(e, zero, lambda cell, d: F.when(_hits(d["c"], i), _added(cell, d)).otherwise(cell)),
+        ),
+    )
+    return built[0]
 
 
 def sketches(digests: DataFrame, *keys: str) -> DataFrame:
-    """Cells for each key, an array of n, k and c, from rows of the keys, digest and sign (1 or -1).
+    """Cells for each key, from rows of the keys, digest and sign: 1 in the first version, -1 in the second.
 
-    With the digests of a version, all signs 1, it is the sketch of that version; with those of
-    another one besides, signs -1, it is the difference of both sketches, as sums are linear.
+    Sums being linear, this is the difference of the sketches of both versions.
     """
     checked = digests.withColumn("check", _check(F.col("digest")))
     cells = []
     for i in range(CELLS):
-        own = lambda value, i=i: F.when(_hits(F.col("check"), i), value).otherwise(F.lit(0))
-        cells += [F.sum(own(F.col("sign"))).alias(f"n{i}"), F.bit_xor(own(F.col("digest"))).alias(f"k{i}"), F.bit_xor(own(F.col("check"))).alias(f"c{i}")]
+        hit = _hits(F.col("check"), i)
+        cells += [
+            F.sum(F.when(hit, F.col("sign")).otherwise(0)).alias(f"n{i}"),
+            F.bit_xor(F.when(hit, F.col("digest")).otherwise(0)).alias(f"k{i}"),
+            F.bit_xor(F.when(hit, F.col("check")).otherwise(0)).alias(f"c{i}"),
+        ]
     summed = checked.groupBy(*keys).agg(*cells)
-    built = F.array(*[F.struct(F.col(f"n{i}").cast("long").alias("n"), F.col(f"k{i}").alias("k"), F.col(f"c{i}").alias("c")) for i in range(CELLS)])
-    return summed.select(*keys, built.alias("cells"))
-
-
-def no_cells() -> Column:
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    return F.array_repeat(zero, CELLS)
+    return summed.select(*keys, F.array(*[_cell(F.col(f"n{i}"), F.col(f"k{i}"), F.col(f"c{i}")) for i in range(CELLS)]).alias("cells"))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
-    )
+    return F.zip_with(a, b, lambda x, y: _added(x, y, -1))
 
 
 def is_empty(cells: Column) -> Column:
@@ -95,18 +115,22 @@ def peel(cells: Column) -> Column:
     empty = F.array().cast("array<struct<n:bigint,k:bigint,c:bigint>>")
     start = F.struct(cells.alias("cells"), empty.alias("got"), F.lit(True).alias("going"))
 
-    def turn(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))))
-        return F.when(~state["going"], state).otherwise(
-            F.transform(F.array(pure), lambda found: F.when(F.size(found) == 0, F.struct(
-                state["cells"].alias("cells"), state["got"].alias("got"), F.lit(False).alias("going"))).otherwise(F.struct(
-                    F.transform(state["cells"], lambda x, i: F.aggregate(found, x, lambda left, f: F.when(_hits(f["c"], i), F.struct(
-                        (left["n"] - f["n"]).alias("n"), left["k"].bitwiseXOR(f["k"]).alias("k"), left["c"].bitwiseXOR(f["c"]).alias("c"),
-                    )).otherwise(left))).alias("cells"),
-                    F.concat(state["got"], found).alias("got"),
-                    F.lit(True).alias("going"),
-                )))[0]
+    def pure(state: Column, n: int) -> Column:
+        single = F.filter(state["cells"], lambda x: (x["n"] == n) & (x["c"] == _check(x["k"])))
+        return F.transform(F.array_distinct(F.transform(single, lambda x: x["k"])), lambda k: _cell(F.lit(n), k, _check(k)))
+
+    def without(state: Column, found: Column) -> Column:
+        left = F.transform(
+            state["cells"],
+            lambda x, i: F.aggregate(found, x, lambda cell, f: F.when(_hits(f["c"], i), _added(cell, f, -1)).otherwise(cell)),
         )
+        stuck = F.struct(state["cells"].alias("cells"), state["got"].alias("got"), F.lit(False).alias("going"))
+        moved = F.struct(left.alias("cells"), F.concat(state["got"], found).alias("got"), F.lit(True).alias("going"))
+        return F.when(F.size(found) == 0, stuck).otherwise(moved)
+
+    def turn(state: Column, _: Column) -> Column:
+        found = F.concat(pure(state, 1), pure(state, -1))
+        return F.when(~state["going"], state).otherwise(F.transform(F.array(found), lambda f: without(state, f))[0])
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s.dropFields("going"))
 
@@ -117,41 +141,51 @@ def fingerprint_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda x: F.concat(F.lpad(F.lower(F.hex(x["n"])), 4, "0"), word(x["k"]), word(x["c"]))), "")
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """Differing digests of pairs (key, a, b; arrays of distinct digests): key, got, from sketches that grow as needed.
+def by_row(df: DataFrame) -> DataFrame:
+    """``df`` stored in buckets of its ``row``, so that sums over the digests of a row need no further shuffle."""
+    spark = df.sparkSession
+    name, n = f"paragraphs_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/tables/{name}"
+    dealt = df.repartition(n, "row").write.format("parquet").option("compression", "zstd").option("path", path)
+    dealt.bucketBy(n, "row").saveAsTable(name)
+    return spark.table(name)
 
-    ``key`` must be unique. A pair has a row for each part that gave something away, and none if
-    nothing differs. The first sketches have one part; then as many as the digests of
-    both sides ask for at LOAD, and from there on parts that fail are split by GROWTH.
+
+def larger_sketches(stored: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """Numbers of differing digests of pairs whose first sketches failed: row, pair, d.
+
+    ``stored`` has a unique row and arrays of distinct digests; a pair names two of these, and a
+    column that is true where it failed. Sketches get as many parts as the digests of both sides
+    ask for at LOAD, and from there on parts that fail are split by GROWTH, until none is left.
     """
-    both = lambda name, sign: F.transform(name, lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign")))
-    stored = pairs.select("key", F.concat(both("a", 1), both("b", -1)).alias("digests"))
-    first = pairs.select("key", F.lit(1).cast("long").alias("parts"), F.lit(0).cast("long").alias("part"))
-    sought, found = first, []
-    level = 0
+    both = lambda a, b: F.concat(
+        F.transform(a, lambda d: F.struct(d.alias("digest"), F.lit(1).alias("sign"))),
+        F.transform(b, lambda d: F.struct(d.alias("digest"), F.lit(-1).alias("sign"))),
+    )
+    sides = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(failed).alias("failed"))
+        for i, (a, b, failed) in enumerate(pairs)
+    ])
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2.0), (F.size("a") + F.size("b")) / LOAD)))).cast("long")
+    place = F.shiftright(_check(F.col("digest")), CELLS * _BITS)
+    sought = stored.select("row", F.inline(F.filter(sides, lambda x: x["failed"])))
+    sought = sought.select("row", "pair", parts.alias("parts"), F.explode(both("a", "b")).alias("d"))
+    level, found = sought.select("row", "pair", "parts", "d.*"), []
     while True:
-        keyed = sought.withColumnRenamed("part", "of").join(stored.hint("merge"), "key")
-        at = lambda d: F.shiftright(_check(d), 8).bitwiseAND(F.col("parts") - 1)
-        # a part that grows takes its digests along: parts are powers of 2, so the low bits stay
-        was = F.when(F.lit(level > 1), F.col("parts") / GROWTH).otherwise(F.lit(1)).cast("long")
-        mine = F.filter("digests", lambda d: F.shiftright(_check(d["digest"]), 8).bitwiseAND(was - 1) == F.col("of"))
-        rows = keyed.select("key", "parts", F.explode(mine if level > 1 else F.col("digests")).alias("d")).select("key", "parts", "d.*")
-        cells = sketches(rows.withColumn("part", at(F.col("digest"))), "key", "parts", "part")
-        peeled = cells.filter(~is_empty(F.col("cells"))).withColumn("p", peel(F.col("cells")))
-        done = scratch(peeled.select("key", "parts", "part", F.col("p.got").alias("got"), is_empty(F.col("p.cells")).alias("ok")), "peeled")
-        found.append(done.filter("ok").select("key", "got"))
-        failed = done.filter("not ok")
+        rows = level.withColumn("part", place.bitwiseAND(F.col("parts") - 1))
+        cells = sketches(rows, "row", "pair", "parts", "part").filter(~is_empty(F.col("cells")))
+        peeled = cells.withColumn("p", peel(F.col("cells")))
+        done = scratch(peeled.select("row", "pair", "parts", "part", F.size("p.got").alias("d"), is_empty(F.col("p.cells")).alias("ok")), "peeled")
+        found.append(done.filter("ok").select("row", "pair", "d"))
+        failed = done.filter("not ok").select("row", "pair", "parts", F.col("part").alias("of"))
         if failed.isEmpty():
             break
-        if level == 0:
-            wanted = F.greatest(F.lit(1.0), F.log2(F.size("digests") / LOAD))
-            sought = failed.select("key").join(stored.hint("merge"), "key").select(
-                "key", F.pow(F.lit(2.0), F.ceil(wanted)).cast("long").alias("parts"), F.lit(0).cast("long").alias("part")
-            )
-        else:
-            sought = failed.select("key", (F.col("parts") * GROWTH).alias("parts"), "part")
-        level += 1
-    return reduce(DataFrame.unionByName, found)
+        # the low bits of a place name the part that failed, the next ones its parts
+        again = failed.join(stored.select("row", sides.alias("sides")).hint("merge"), "row")
+        again = again.withColumn("side", F.element_at("sides", F.col("pair") + 1)).select("row", "pair", "parts", "of", "side.a", "side.b")
+        again = again.select("row", "pair", "parts", "of", F.explode(both("a", "b")).alias("d")).select("row", "pair", "parts", "of", "d.*")
+        level = again.filter(place.bitwiseAND(F.col("parts") - 1) == F.col("of")).withColumn("parts", F.col("parts") * GROWTH).drop("of")
+    return reduce(DataFrame.unionByName, found).groupBy("row", "pair").agg(F.sum("d").alias("d"))
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -203,37 +237,34 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next", F.lit(1), third))
     texts = with_next_text(docs, id_col, text_col).withColumn("edited", edited)
-    held = scratch(
-        texts.select(
-            "id",
-            n.cast("long").alias("n_chars"),
-            F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-            paragraph_digests(F.col("text")).alias("own"),
-            paragraph_digests(F.col("edited")).alias("changed"),
-            paragraph_digests(F.col("next")).alias("following"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "paragraphs",
+    digests = texts.select(
+        "id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        paragraph_digests(F.col("text")).alias("own"),
+        paragraph_digests(F.col("edited")).alias("changed"),
+        paragraph_digests(F.col("next")).alias("following"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    versions = held.select("row", F.explode(F.array(F.struct(F.lit("own").alias("v"), F.col("own").alias("s")), F.struct(F.lit("changed").alias("v"), F.col("changed").alias("s")))).alias("x"))
-    rows = versions.select("row", F.col("x.v").alias("version"), F.explode("x.s").alias("digest"), F.lit(1).alias("sign"))
-    built = sketches(rows, "row", "version").select("row", "version", fingerprint_text(F.col("cells")).alias("print"))
-    built = scratch(built, "fingerprints")
-    prints = lambda v, name: built.filter(F.col("version") == v).select("row", F.col("print").alias(name))
-    pairs = held.select(F.inline(F.array(
-        F.struct((F.col("row") * 2).alias("key"), F.col("own").alias("a"), F.col("changed").alias("b")),
-        F.struct((F.col("row") * 2 + 1).alias("key"), F.col("own").alias("a"), F.col("following").alias("b")),
-    )))
-    found = differences(pairs).groupBy("key").agg(F.sum(F.size("got")).alias("d"))
-    side = lambda k: found.filter(F.col("key") % 2 == k).select(F.floor(F.col("key") / 2).alias("row"), F.col("d").alias(f"d{k}"))
-    out = held.join(prints("own", "f"), "row", "left").join(prints("changed", "e"), "row", "left")
-    out = out.join(side(0), "row", "left").join(side(1), "row", "left")
-    zero = fingerprint_text(no_cells())
-    near = lambda other, d: likeness(F.size("own"), F.size(other), F.coalesce(d, F.lit(0)))
+    first = digests.withColumns({f"s_{c}": sketch(F.col(c)) for c in ("own", "changed", "following")})
+    first = first.withColumns({f"p_{c}": peel(subtract(F.col("s_own"), F.col(f"s_{c}"))) for c in ("changed", "following")})
+    kept = ["id", "n_chars", "edited_sha256", "own", "changed", "following", "row"]
+    stored = by_row(first.select(
+        *kept,
+        fingerprint_text(F.col("s_own")).alias("fingerprint"),
+        fingerprint_text(F.col("s_changed")).alias("edited_fingerprint"),
+        *[F.size(f"p_{c}.got").alias(f"d_{c}") for c in ("changed", "following")],
+        *[(~is_empty(F.col(f"p_{c}.cells"))).alias(f"failed_{c}") for c in ("changed", "following")],
+    ))
+    larger = larger_sketches(stored, [("own", "changed", "failed_changed"), ("own", "following", "failed_following")])
+    side = lambda i: F.max(F.when(F.col("pair") == i, F.col("d"))).alias(f"larger_{i}")
+    out = stored.join(larger.groupBy("row").agg(side(0), side(1)), "row", "left")
+
+    def near(i: int, other: str) -> Column:
+        differing = F.when(F.col(f"failed_{other}"), F.col(f"larger_{i}")).otherwise(F.col(f"d_{other}"))
+        return likeness(F.size("own"), F.size(other), differing)
+
     return out.select(
-        "id", "n_chars", "edited_sha256",
-        F.coalesce("f", zero).alias("fingerprint"),
-        F.coalesce("e", zero).alias("edited_fingerprint"),
-        near("changed", F.col("d0")).alias("near_edited"),
-        near("following", F.col("d1")).alias("near_next"),
+        "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        near(0, "changed").alias("near_edited"), near(1, "following").alias("near_next"),
     )
