@@ -364,9 +364,12 @@ def push_messages(spark, sf_dir):
     )
 
 
-@_register(f"SELECT * EXCLUDE (symbol, period) FROM ({_STORED_SQL}) WHERE period = '4h'")
+@_register(f"SELECT * EXCLUDE (symbol, period) FROM ({_STORED_SQL})")
 def csv_records(spark, sf_dir):
-    return S.csv_record(S.of_period(S.to_stored(_bars(spark, sf_dir)), "4h"))
+    """Bars of all periods, written as CSV and read back."""
+    bars, path = S.to_stored(_bars(spark, sf_dir)), f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    S.write_csv(bars, path)
+    return spark.read.schema(S.csv_record(bars).schema).csv(path)
 
 
 # --- audits ---------------------------------------------------------------------------------
@@ -419,6 +422,17 @@ def audit_summary(spark, sf_dir):
     return s.withColumn("success_rate", F.round("success_rate", 6))
 
 
+@_register(f"""SELECT outcome, count(*) AS bars, NULL::BIGINT AS total_checked FROM ({_SQL_AUDIT}) WHERE outcome <> 'match' GROUP BY 1
+  UNION ALL SELECT 'summary', NULL, count(*) FROM ({_SQL_AUDIT})""")
+def audit_report(spark, sf_dir):
+    """The report of an audit, written and read back: differences by outcome, and the summary."""
+    compared, path = Q.compare(*_local_remote(spark, sf_dir)), f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    S.write_report(Q.mismatches(compared), Q.audit_summary(compared), path)
+    differences = spark.read.json(path + "/differences").groupBy("outcome").agg(F.count("*").alias("bars"))
+    summary = spark.read.json(path + "/summary").select(F.lit("summary").alias("outcome"), "total_checked")
+    return differences.unionByName(summary, allowMissingColumns=True)
+
+
 _AUDIT_NOW = 1_705_500_030_000
 _AUDIT_SIDE = f"""SELECT b.* FROM ({{side}}) b JOIN (SELECT period, ms FROM {I.PERIOD_ROWS}) USING (period)
   WHERE open_time >= {_AUDIT_NOW - 86_400_000} AND open_time + ms - 1 < {(_AUDIT_NOW // 60_000 - 1) * 60_000}"""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickbars.functions.timefns import ntz_to_ms
+from tickbars.operators import bars as B
 from tickbars.operators import clocksync as C
 from tickbars.queries import inputs as I
 from tickbars.queries.bar_queries import SQL as BAR_SQL
@@ -55,14 +56,71 @@ def stream_bars_exact(spark, sf_dir):
     return I.rounded(S.read_current(spark, f"{root}/bars").drop("month"))
 
 
+def _batches(spark, sf_dir, root, n=3, trades=None):
+    """The scattered tape as a stream of ``n`` micro-batches in order of arrival."""
+    prepare(spark)
+    trades = I.scattered_trades(spark, sf_dir) if trades is None else trades
+    cuts = trades.select(F.percentile_approx("seq", [i / n for i in range(1, n)], 100_000)).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = trades
+        part = part if low is None else part.filter(F.col("seq") > low)
+        part = part if high is None else part.filter(F.col("seq") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{root}/tape")
+    return spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/tape")
+
+
 @_register(f"""SELECT symbol, period, open_time, close FROM ({BAR_SQL['bars_exact_gapfilled']}) WHERE NOT is_final""")
 def stream_snapshot(spark, sf_dir):
+    """The open bars after several micro-batches."""
     root = _root(spark)
-    tape = _tape_stream(spark, sf_dir).withColumn("seq", I.scatter(F.col("seq")))
-    jobs.start_exact(tape, root, availableNow=True).awaitTermination()
+    jobs.start_exact(_batches(spark, sf_dir, root), root, availableNow=True).awaitTermination()
     return jobs.snapshot(spark, root).select("symbol", "period", "open_time", "close")
 
 
+@_register(f"""SELECT symbol, period, open_time, close FROM ({BAR_SQL['bars_exact_gapfilled']}) WHERE NOT is_final""")
+def stream_changes(spark, sf_dir):
+    """The last pushed state of every series over several micro-batches, which is its open bar."""
+    root = _root(spark)
+    jobs.start_exact(_batches(spark, sf_dir, root), root, push=True, availableNow=True).awaitTermination()
+    bar = "array<struct<period string, open_time bigint, close double>>"
+    pushed = spark.read.json(f"{root}/push").select("symbol", "batch_id", F.inline(F.from_json("message", bar)))
+    last = F.max_by(F.struct("open_time", "close"), "batch_id").alias("b")
+    return pushed.groupBy("symbol", "period").agg(last).select("symbol", "period", "b.open_time", "b.close")
+
+
+_BUSY = "(SELECT event_type FROM events GROUP BY 1 HAVING sum(value) > (SELECT sum(value) / 5 FROM events))"
+
+
+@_register(f"SELECT * FROM ({BAR_SQL['bars_exact_gapfilled']}) WHERE symbol IN {_BUSY}")
+def stream_registry(spark, sf_dir):
+    """Bars of the registered symbols alone: those with more than an equal share of the value."""
+    root = _root(spark)
+
+    def registered(session):
+        ev = I.table(session, sf_dir, "events")
+        share = ev.select((F.sum("value") / 5).alias("s")).scalar()
+        return ev.groupBy(F.col("event_type").alias("symbol")).agg(F.sum("value").alias("v")).filter(F.col("v") > share)
+
+    jobs.start_exact(_batches(spark, sf_dir, root), root, registry=registered, availableNow=True).awaitTermination()
+    return I.rounded(S.read_current(spark, f"{root}/bars").drop("month"))
+
+
+_HALF = "(SELECT avg(event_id) FROM events)"
+
+
+@_register(f"""SELECT b.* FROM ({BAR_SQL['bars_gapfilled']}) b JOIN (
+  SELECT symbol, period, max(open_time) AS seed FROM ({I.sql_bars(f'SELECT * FROM ({I.TRADES}) WHERE seq <= {_HALF}')}) GROUP BY 1, 2) s
+  USING (symbol, period) WHERE b.open_time >= s.seed""")
+def stream_after_backfill(spark, sf_dir):
+    """The second half of the tape as a stream that starts from the open bars of the first half."""
+    root, tape = _root(spark), I.trades(spark, sf_dir)
+    half = I.table(spark, sf_dir, "events").select(F.avg("event_id").alias("h")).scalar()
+    first = S.latest_per_series(B.build_bars(tape.filter(F.col("seq") <= half))).withColumn("is_final", F.lit(False))
+    stream = _batches(spark, sf_dir, root, 2, tape.filter(F.col("seq") > half))
+    jobs.start_exact(stream, root, initial=first, availableNow=True).awaitTermination()
+    return I.rounded(S.read_current(spark, f"{root}/bars").drop("month"))
+
+
 @_register(I.sql_rounded(f"SELECT * FROM ({I.sql_bars()}) WHERE period = '1d' AND open_time < (SELECT max(ts_ms) - 86400000 - (max(ts_ms) - 86400000) % 86400000 FROM ({I.TRADES}))"))
 def stream_bars_relaxed(spark, sf_dir):
     """Daily event-time bars with a watermark of a day; the last open days stay in state."""
