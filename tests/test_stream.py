@@ -51,6 +51,26 @@ def test_stream_equals_batch_and_fold(spark, tmp_path, grace):
     assert pushed.select("batch_id").distinct().count() == 4
 
 
+def test_ticks_alone_close_bars(spark, tmp_path):
+    hour = 3_600_000
+    start = 400_000 * hour
+    rows = [("A", 1.0, 2.0, start + 10, True, 1, start + 10), ("B", 3.0, 1.0, start + 20, False, 2, start + 20)]
+    write_in_parts(spark, rows, str(tmp_path / "in"))
+    for n, tick in enumerate([start + 150, start + 2 * hour + 150]):
+        part = f"{tmp_path}/ticks/{n}.parquet"
+        os.makedirs(f"{tmp_path}/ticks", exist_ok=True)
+        spark.createDataFrame([(tick,)], "tick_ms bigint").toPandas().to_parquet(part)
+        os.utime(part, (1_700_000_000 + n, 1_700_000_000 + n))
+    ticks = spark.readStream.schema("tick_ms bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ticks")
+    root = str(tmp_path / "out")
+    trades = stream_of(spark, str(tmp_path / "in"))
+    jobs.start_exact(trades, root, periods=("1h",), clock_grace_ms=150, ticks=ticks, availableNow=True).awaitTermination()
+    assert {(r.symbol, r.open_time, r.close) for r in jobs.snapshot(spark, root).collect()} == {("A", start + 2 * hour, 1.0), ("B", start + 2 * hour, 3.0)}
+    assert {(r.symbol, r.open_time, r.trade_count) for r in jobs.final_bars(spark, root).collect()} == {
+        (s, start + k * hour, int(k == 0)) for s in "AB" for k in (0, 1)
+    }
+
+
 def test_stream_resumes_and_follows_the_registry(spark, tmp_path):
     rows = random_rows(120, 600_000, span_ms=3 * 3_600_000)
     source, root = str(tmp_path / "in"), str(tmp_path / "out")

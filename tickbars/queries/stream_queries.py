@@ -105,6 +105,19 @@ def stream_registry(spark, sf_dir):
     return I.rounded(S.read_current(spark, f"{root}/bars").drop("month"))
 
 
+@_register(BAR_SQL["bars_with_clock"])
+def stream_bars_clock(spark, sf_dir):
+    """The delayed tape with its clock, over several micro-batches and one of a tick alone."""
+    root, tape = _root(spark), I.delayed_trades(spark, sf_dir)
+    stream = _batches(spark, sf_dir, root, 3, tape)
+    last = tape.select(B.last_tick(F.max("arrival_ms"), I.CLOCK_GRACE_MS).alias("tick_ms"))
+    for tick in (F.lit(0), F.lit(0), F.lit(0), F.col("tick_ms")):
+        last.select(tick.cast("bigint").alias("tick_ms")).coalesce(1).write.mode("append").parquet(f"{root}/ticks")
+    ticks = spark.readStream.schema("tick_ms bigint").option("maxFilesPerTrigger", 1).parquet(f"{root}/ticks")
+    jobs.start_exact(stream, root, clock_grace_ms=I.CLOCK_GRACE_MS, ticks=ticks, availableNow=True).awaitTermination()
+    return I.rounded(S.read_current(spark, f"{root}/bars").drop("month"))
+
+
 _HALF = "(SELECT avg(event_id) FROM events)"
 
 

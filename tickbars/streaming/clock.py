@@ -28,7 +28,7 @@ def ticks(bounds: DataFrame, grace_ms: int) -> DataFrame:
 
 
 def live_ticks(spark: SparkSession, grace_ms: int) -> DataFrame:
-    """A stream with one row per elapsed tick, from the built-in rate source."""
+    """A stream with one row per elapsed tick (``tick`` and ``tick_ms``), from the built-in rate source."""
     seconds = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     now: Column = F.unix_millis("timestamp")
     tick = floor_ms(now - grace_ms, MINUTE_MS) + grace_ms
@@ -36,4 +36,5 @@ def live_ticks(spark: SparkSession, grace_ms: int) -> DataFrame:
         seconds.select(F.timestamp_millis(tick).alias("tick"))
         .withWatermark("tick", "1 minute")
         .dropDuplicatesWithinWatermark(["tick"])
+        .withColumn("tick_ms", F.unix_millis("tick"))
     )

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -52,9 +52,13 @@ def fold_batch(
     seeds: DataFrame | None,
     periods: tuple[str, ...] = PERIODS,
     clock_grace_ms: int | None = None,
+    tick_ms: Column | None = None,
 ) -> DataFrame:
-    """All bars a batch touches, with ``is_final``: the closed ones and one open bar per key."""
+    """All bars a batch touches, with ``is_final``: the closed ones and one open bar per key.
+    With a clock, bars close up to its last tick, that of the trades or a given one."""
     horizon = None if clock_grace_ms is None else B.clock_horizon(trades, clock_grace_ms)
+    if tick_ms is not None:
+        horizon = F.greatest(horizon, tick_ms)
     return B.build_bars(
         trades,
         periods,
@@ -93,6 +97,7 @@ def start_exact(
     initial: DataFrame | None = None,
     registry: Callable[[SparkSession], DataFrame] | None = None,
     tickers: Callable[[SparkSession], DataFrame] | None = None,
+    ticks: DataFrame | None = None,
     push: bool = False,
     **trigger,
 ) -> StreamingQuery:
@@ -103,13 +108,19 @@ def start_exact(
     while the stream runs; the open bars of a symbol that was removed are dropped, and if it
     returns it starts anew. ``tickers`` gives tickers of symbols as they are added (as from
     :func:`tickbars.sources.wire.ticker_numbers`); those without an open bar start with flat
-    provisional bars. ``push`` writes the change feed as JSON, one message per symbol.
+    provisional bars. ``ticks`` is a stream of ``tick_ms`` (as from
+    :func:`tickbars.streaming.clock.live_ticks`); with it and ``clock_grace_ms`` bars close while
+    no trade comes. ``push`` writes the change feed as JSON, one message per symbol.
     ``seq`` must grow from batch to batch. Bars are read with ``S.read_current``.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seeds = initial if batch_id == 0 else spark.read.schema(BAR_SCHEMA).parquet(_slot(root, batch_id - 1))
+        tick = None
+        if ticks is not None:
+            tick = batch.select(F.max("tick_ms").alias("t")).scalar()
+            batch = batch.filter(F.col("tick_ms").isNull()).drop("tick_ms")
         known = batch
         if tickers is not None:
             seeds = with_added(seeds, tickers(spark), periods)
@@ -117,7 +128,7 @@ def start_exact(
             current = registry(spark)
             known = known_symbols_only(batch, current)
             seeds = None if seeds is None else known_symbols_only(seeds, current)
-        bars = fold_batch(known, seeds, periods, clock_grace_ms).persist()
+        bars = fold_batch(known, seeds, periods, clock_grace_ms, tick).persist()
         try:
             # final bars and changed open ones: a later final version beats the open one
             news = bars.filter("is_final").unionByName(changes(bars, seeds))
@@ -129,8 +140,11 @@ def start_exact(
         finally:
             bars.unpersist()
 
+    if ticks is not None and clock_grace_ms is None:
+        raise ValueError("ticks need clock_grace_ms")
+    rows = trades if ticks is None else trades.unionByName(ticks.select("tick_ms"), allowMissingColumns=True)
     return (
-        trades.writeStream.foreachBatch(step)
+        rows.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(**(trigger or {"processingTime": "1 second"}))
         .start()
