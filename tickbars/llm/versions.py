@@ -36,7 +36,8 @@ _BITS = WIDTH.bit_length() - 1
 
 #: A paragraph ends after a line end, or after a sentence whose last word has six letters: texts
 #: without line ends have paragraphs too, and where one ends depends on what stands there alone.
-_PARAGRAPH = r"(?<=\n|\p{L}{6}[.!?])"
+#: The ending is looked for before the word, as most places fail at that.
+_PARAGRAPH = r"(?<=[.!?\n])(?<=\n|\p{L}{6}[.!?])"
 
 
 def paragraph_digests(text: Column) -> Column:
