@@ -383,6 +383,46 @@ def test_near_copies(spark, docs, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def shingle_set(text):
+    words = lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def copies_at_the_limit(n, kinds=("block", "append", "scatter")):
+    """Pairs of texts of Jaccard similarity 0.80 to 0.85 over five-word shingles, by the kind of edit."""
+    rnd = random.Random(10)
+    out = []
+    for k in range(n):
+        kind = kinds[k % len(kinds)]
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(120, 500))]
+        for m in range(1, len(words)):
+            fresh = [f"new{rnd.randrange(10**6)}" for _ in range(m)]
+            if kind == "append":
+                edited = words + fresh
+            elif kind == "block":
+                edited = words[:40] + fresh + words[40 + m :]
+            else:
+                edited = list(words)
+                for place, word in zip(random.Random(k).sample(range(len(words)), m), fresh):
+                    edited[place] = word
+            if jaccard(shingle_set(" ".join(words)), shingle_set(" ".join(edited))) < 0.85:
+                break
+        pair = " ".join(words), " ".join(edited)
+        if jaccard(*map(shingle_set, pair)) >= 0.8:
+            out.append((kind, *pair))
+    return out
+
+
+def test_edits_of_all_kinds_are_candidates(spark):
+    pairs = copies_at_the_limit(300)
+    assert len(pairs) > 250 and {k for k, _, _ in pairs} == {"block", "append", "scatter"}
+    rows = [(2 * i + j, p[1 + j], "s") for i, p in enumerate(pairs) for j in range(2)]
+    held = documents(spark, rows).select("doc_id", simhash.wide_fingerprints(F.col("text")).alias("w")).collect()
+    bands = {r.doc_id: set(r.w.bands) for r in held}
+    assert [p[0] for i, p in enumerate(pairs) if not bands[2 * i] & bands[2 * i + 1]] == []
+    assert not any(bands[2 * i] & bands[2 * i + 2] for i in range(len(pairs) - 1))
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 
 

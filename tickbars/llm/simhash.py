@@ -239,40 +239,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_to_unique(rows, groups, "fp", heavy).select("id", "fp", "component")
 
 
-#: Near copies: bits of the words' fingerprint, its partitions, and the distance within which none is missed.
-WIDE = 512
-WIDE_PARTITIONS = 24
-WIDE_NEAR = 23
-
-#: Bits of the shingles' fingerprint, and of these that may differ.
-SHINGLE_BITS = 256
+#: Near copies: words of a shingle, bits of the shingles' SimHash, and of these that may differ.
 WIDE_SHINGLE = 5
+SHINGLE_BITS = 256
 WIDE_DIFFER = 44
 
+#: Bands of MinHashes of the shingles, and MinHashes of a band. Texts of Jaccard similarity j share
+#: none with a chance of (1 - j ** BAND) ** BANDS, which is 6 in 100,000 at 0.8.
+BANDS = 32
+BAND = 6
+
 #: Seeds lie far apart, as digests of short words under neighbouring seeds are alike.
 _SEED_STEP = 0x9E3779B97F4A7C15
 
+#: What the MinHashes mix a digest with, an odd factor each.
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[0], [1]], np.uint64)
+
 #: Members of a bucket that are paired at once, and of one that is compared in blocks.
 FEW = 8
 BLOCK = 1024
 
 
 def wide_fingerprints(text: Column) -> Column:
-    """SimHashes of a text's distinct words (WIDE bits) and distinct five-word shingles (SHINGLE_BITS), arrays of longs."""
+    """Of a text's distinct five-word shingles: n, a digest of them all, their SimHash and the keys of their bands."""
 
-    @F.pandas_udf("words array<long>, shingles array<long>")
+    @F.pandas_udf("n int, digest binary, shingles array<long>, bands array<long>")
     def fingerprints(texts: pd.Series) -> pd.DataFrame:
-        rows = [_wide(t) for t in texts]
-        return pd.DataFrame({"words": [a for a, _ in rows], "shingles": [b for _, b in rows]})
+        return pd.DataFrame([_wide(t) for t in texts], columns=["n", "digest", "shingles", "bands"])
 
     return fingerprints(F.coalesce(text, F.lit("")))
 
 
-def _wide(text: str) -> tuple[np.ndarray, np.ndarray]:
+def _wide(text: str) -> tuple[int, bytes, np.ndarray, np.ndarray]:
+    from xxhash import xxh3_128_digest as digest
+
+    shingles = _shingles(text)
+    hashes = _shingle_hashes(shingles)
+    return len(hashes), digest(hashes.tobytes()), _wide_bits(shingles, SHINGLE_BITS), _bands(hashes)
+
+
+def _shingles(text: str) -> set[bytes]:
     words = text.encode().lower().split()
     take = min(WIDE_SHINGLE, len(words))
-    shingles = {b" ".join(words[i : i + take]) for i in range(len(words) - take + 1)} if take else set()
-    return _wide_bits(set(words), WIDE), _wide_bits(shingles, SHINGLE_BITS)
+    return {b" ".join(words[i : i + take]) for i in range(len(words) - take + 1)} if take else set()
+
+
+def _shingle_hashes(shingles: set[bytes]) -> np.ndarray:
+    """The distinct hashes of shingles, sorted."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    return np.unique(np.fromiter(map(digest, shingles), np.uint64, len(shingles)))
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHashes; none without hashes."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    seeds, factors = _MIX
+    least = np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
+    for part in np.array_split(hashes, len(hashes) // 4096 + 1):
+        mixed = (part[:, None] ^ seeds) * factors
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
+    return np.array([digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND))], np.uint64).view(np.int64)
 
 
 def _wide_bits(items: set[bytes], bits: int) -> np.ndarray:
@@ -329,34 +359,29 @@ def _block_links(members: pd.DataFrame) -> pd.DataFrame:
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links a, b that connect near copies, from rows of node, words and shingles (wide fingerprints).
+    """Links a, b that connect near copies, from rows of node, shingles and bands (wide fingerprints).
 
-    Candidates share a value within the thresholds of a partition of the words' fingerprint;
-    near copies differ in at most WIDE_DIFFER bits of the shingles'. Buckets of a few members are
+    Candidates share the key of a band; near copies differ in at most WIDE_DIFFER bits of the
+    shingles' SimHash. Buckets of a few members are
     paired; larger ones are compared in blocks, each pair of blocks a task's own, which
     returns no more links than connect its members.
     """
-    fps = nodes.select("node", "shingles", F.col("words").alias("fp"))
-    plan = make_plan(fps, WIDE_NEAR, (WIDE_PARTITIONS,), WIDE)
-    values = fps.select("node", plan.values(F.col("fp")).alias("vals"))
-    keyed = scratch(values.select("node", F.inline(plan.probes("vals"))), "wide-keys")
-    sizes = keyed.groupBy("g", "v").agg(F.count_if("own").alias("held"), F.count(F.lit(1)).alias("n"))
-    sizes = scratch(sizes.filter("held > 0 and n > 1"), "wide-buckets")
-    few = keyed.join(sizes.filter(F.col("n") <= FEW).select("g", "v"), ["g", "v"])
-    pairs = few.select("g", "v", F.col("node").alias("a"), "own").join(few.filter("own").select("g", "v", F.col("node").alias("b")), ["g", "v"])
-    pairs = pairs.filter((F.col("a") < F.col("b")) | (~F.col("own") & (F.col("a") != F.col("b"))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = scratch(nodes.select("node", F.explode("bands").alias("v")), "wide-keys")
+    sizes = scratch(keyed.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "wide-buckets")
+    few = keyed.join(sizes.filter(F.col("n") <= FEW).select("v"), "v")
+    pairs = few.select("v", F.col("node").alias("a")).join(few.select("v", F.col("node").alias("b")), "v").filter("a < b")
+    pairs = pairs.select("a", "b").distinct()
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("shingles").alias(f"s_{name}"))
     bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     paired = pairs.join(side("a"), "a").join(side("b"), "b").filter(bits <= WIDE_DIFFER).select("a", "b")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    many = keyed.join(sizes.filter(F.col("n") > FEW), ["g", "v"]).withColumns({"blocks": blocks, "mine": mine})
+    many = keyed.join(sizes.filter(F.col("n") > FEW), "v").withColumns({"blocks": blocks, "mine": mine})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = many.withColumn("other", other).select("g", "v", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = many.withColumn("other", other).select("v", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     full = dealt.join(nodes.select("node", "shingles"), "node")
-    within = full.groupBy("g", "v", "i", "j").applyInPandas(_block_links, "a long, b long")
+    within = full.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long")
     return paired.unionByName(within)
 
 
@@ -372,7 +397,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stored = docs.select(*[k.alias(name) for name, k in keys.items()], wide_fingerprints(docs[text_col]).alias("w"))
     rows = scratch(stored.select(*keys, "w.*"), "wide-rows")
     least = F.min(F.struct("key_none", "key_id", "key_a", "key_b"))
-    same = rows.groupBy("words", "shingles").agg(least.alias("least"))
+    same = rows.groupBy("digest").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "shingles", "bands")])
     nodes = scratch(same.withColumn("node", F.monotonically_increasing_id()), "wide-fingerprints")
     roots = scratch(components(wide_links(nodes)), "wide-roots")
     linked = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
