@@ -423,6 +423,33 @@ def test_edits_of_all_kinds_are_candidates(spark):
     assert not any(bands[2 * i] & bands[2 * i + 2] for i in range(len(pairs) - 1))
 
 
+def mixed_copies():
+    """Texts whose edits leave similarities from 0.6 to 1, alone and in a large group that no single text links."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(150)]
+        m = i % 30
+        edited = (words[:70] + [f"e{i}x{k}" for k in range(m)] + words[70 + m :]) if i % 2 else words + [f"e{i}x{k}" for k in range(2 * m)]
+        rows += [(2 * i, " ".join(words), "s"), (2 * i + 1, " ".join(edited), "s")]
+    chain = [f"c{rnd.randrange(3000)}" for _ in range(200)]
+    for k in range(40):
+        rows.append((1000 + k, " ".join(chain[k:] + [f"d{j}" for j in range(k)]), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = mixed_copies()
+    sets = [shingle_set(t) for _, t, _ in rows]
+    likes = {(i, j): jaccard(sets[i], sets[j]) for i in range(len(rows)) for j in range(i)}
+    assert sum(0.7 <= x < 0.8 for x in likes.values()) > 10 and sum(0.8 <= x < 0.85 for x in likes.values()) > 5
+    roots = roots_of(len(rows), [p for p, x in likes.items() if x >= 0.8])
+    want = {min(rows[i][0] for i in range(len(rows)) if roots[i] == r) for r in roots}
+    assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()} == want
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 
 

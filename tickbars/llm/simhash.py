@@ -13,13 +13,14 @@ copies are never paired.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickbars.llm.common import HEAVY_SHARE, join_to_unique, one_of_each, scratch, text_keys
 from tickbars.llm.components import components
@@ -239,10 +240,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_to_unique(rows, groups, "fp", heavy).select("id", "fp", "component")
 
 
-#: Near copies: words of a shingle, bits of the shingles' SimHash, and of these that may differ.
+#: Near copies: words of a shingle, and the Jaccard similarity from which two texts are near copies.
 WIDE_SHINGLE = 5
+ALIKE = 0.8
+
+#: Bits of the shingles' SimHash, and of these that a candidate may differ in: at similarity 0.8 about
+#: 39 are expected, with a deviation of 6.
 SHINGLE_BITS = 256
-WIDE_DIFFER = 44
+WIDE_DIFFER = 88
 
 #: Bands of MinHashes of the shingles, and MinHashes of a band. Texts of Jaccard similarity j share
 #: none with a chance of (1 - j ** BAND) ** BANDS, which is 6 in 100,000 at 0.8.
@@ -323,64 +328,82 @@ def _bit_sums(digests: list[bytes]) -> np.ndarray:
     return np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
-def _spanning(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those pairs that join what was apart."""
-    above: dict[int, int] = {}
+def shingle_hashes(text: Column) -> Column:
+    """The distinct hashes of a text's five-word shingles, an array."""
 
-    def root(x: int) -> int:
-        while above.get(x, x) != x:
-            above[x] = above.get(above[x], above[x])
-            x = above[x]
-        return x
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_hashes(_shingles(t)).view(np.int64) for t in texts], dtype=object)
 
-    out = []
-    for a, b in pairs:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            above[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+    return hashes(F.coalesce(text, F.lit("")))
 
 
 def _block_links(members: pd.DataFrame) -> pd.DataFrame:
-    """Links within a pair of blocks, as many as it takes to connect what they connect."""
+    """Links within a pair of blocks, as many as it takes to connect what they connect.
+
+    Members with the same root are connected already.
+    """
     members = members.drop_duplicates("node").sort_values("node")
-    nodes = members["node"].to_numpy()
+    nodes, tops = members["node"].to_numpy(), members["root"].to_numpy().copy()
     # bits are counted of unsigned numbers: of others, numpy takes the absolute value
-    shingles = np.stack(members["shingles"].to_list()).astype(np.int64).view(np.uint64)
-
-    def near() -> Iterator[tuple[int, int]]:
-        for i in range(len(nodes) - 1):
-            differ = np.bitwise_count(shingles[i + 1 :] ^ shingles[i]).sum(1, dtype=np.int64)
-            for j in np.flatnonzero(differ <= WIDE_DIFFER).tolist():
-                yield int(nodes[i]), int(nodes[i + 1 + j])
-
-    return pd.DataFrame(_spanning(near()), columns=["a", "b"], dtype="int64")
-
+    sketches = np.stack(members["shingles"].to_list()).astype(np.int64).view(np.uint64)
+    hashes = [np.asarray(h, np.int64) for h in members["hashes"]]
+    links = []
+    for i in range(len(nodes) - 1):
+        differ = np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(1, dtype=np.int64)
+        for j in (np.flatnonzero((differ <= WIDE_DIFFER) & (tops[i + 1 :] != tops[i])) + i + 1).tolist():
+            if tops[i] == tops[j]:
+                continue
+            shared = len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
+            if shared / (len(hashes[i]) + len(hashes[j]) - shared) >= ALIKE:
+                links.append((int(nodes[i]), int(nodes[j])))
+                tops[tops == tops[j]] = tops[i]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links a, b that connect near copies, from rows of node, shingles and bands (wide fingerprints).
 
-    Candidates share the key of a band; near copies differ in at most WIDE_DIFFER bits of the
-    shingles' SimHash. Buckets of a few members are
-    paired; larger ones are compared in blocks, each pair of blocks a task's own, which
-    returns no more links than connect its members.
+def _alike(pairs: DataFrame, nodes: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Those pairs a, b whose Jaccard similarity is at least ALIKE."""
+    pairs = pairs.select("a", "b").distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("shingles").alias(f"s_{name}"), F.col("n").alias(f"n_{name}"))
+    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    of_size = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ALIKE
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(of_size & (bits <= WIDE_DIFFER)).select("a", "b", "n_a", "n_b")
+    whole = lambda name: hashes.select(F.col("node").alias(name), F.col("hashes").alias(f"h_{name}"))
+    met = close.join(whole("a").hint("merge"), "a").join(whole("b").hint("merge"), "b")
+    shared = F.size(F.array_intersect("h_a", "h_b"))
+    return met.filter(shared / (F.col("n_a") + F.col("n_b") - shared) >= ALIKE).select("a", "b")
+
+
+def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links a, b that connect near copies, from rows of node, n, shingles and bands (wide fingerprints).
+
+    ``hashed`` gives the shingle hashes (node, hashes) of some nodes. Candidates share the key of
+    a band and differ in at most WIDE_DIFFER bits of the SimHash; all are verified on the
+    hashes. Buckets of a few members are paired. In larger ones all meet the least member; those
+    that this leaves apart are compared in blocks, each pair of blocks a task's own, which returns no
+    more links than connect its members.
     """
     keyed = scratch(nodes.select("node", F.explode("bands").alias("v")), "wide-keys")
-    sizes = scratch(keyed.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "wide-buckets")
+    sizes = scratch(keyed.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"), "wide-buckets")
     few = keyed.join(sizes.filter(F.col("n") <= FEW).select("v"), "v")
     pairs = few.select("v", F.col("node").alias("a")).join(few.select("v", F.col("node").alias("b")), "v").filter("a < b")
-    pairs = pairs.select("a", "b").distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("shingles").alias(f"s_{name}"))
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    paired = pairs.join(side("a"), "a").join(side("b"), "b").filter(bits <= WIDE_DIFFER).select("a", "b")
-
+    many = scratch(keyed.join(sizes.filter(F.col("n") > FEW), "v"), "wide-large")
+    stars = many.filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = scratch(pairs.select("a", "b").unionByName(stars).distinct(), "wide-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    hashes = scratch(hashed(nodes.join(met, "node", "left_semi")), "wide-hashes")
+    paired = scratch(_alike(pairs, nodes, hashes), "wide-alike")
+
+    roots = components(paired)
+    rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = scratch(rooted, "wide-rooted")
+    apart = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("v")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    many = keyed.join(sizes.filter(F.col("n") > FEW), "v").withColumns({"blocks": blocks, "mine": mine})
+    dealt = rooted.join(apart, "v").withColumns({"blocks": blocks, "mine": mine})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = many.withColumn("other", other).select("v", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = dealt.join(nodes.select("node", "shingles"), "node")
+    dealt = dealt.withColumn("other", other).select("v", "node", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    full = dealt.join(nodes.select("node", "shingles"), "node").join(hashes.hint("merge"), "node")
     within = full.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long")
     return paired.unionByName(within)
 
@@ -389,9 +412,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The documents with one of each group of near copies, the one with the least id (null ids last).
 
     Near copies have five-word shingles (distinct, A-Z lower-cased) with a Jaccard similarity of
-    about 0.8 or more: WIDE_DIFFER of SHINGLE_BITS bits is what the fingerprints of such texts differ by at
-    most, but for rare cases. Groups are what links reach. Texts without words are near copies
-    of each other; rows that repeat are too.
+    at least ALIKE, counted on 64-bit hashes. Groups are what links reach. Texts without words are
+    near copies of each other; rows that repeat are too.
     """
     keys = text_keys(docs[id_col], docs[text_col])
     stored = docs.select(*[k.alias(name) for name, k in keys.items()], wide_fingerprints(docs[text_col]).alias("w"))
@@ -399,7 +421,14 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = F.min(F.struct("key_none", "key_id", "key_a", "key_b"))
     same = rows.groupBy("digest").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "shingles", "bands")])
     nodes = scratch(same.withColumn("node", F.monotonically_increasing_id()), "wide-fingerprints")
-    roots = scratch(components(wide_links(nodes)), "wide-roots")
+
+    def hashed(some: DataFrame) -> DataFrame:
+        own = docs.select(*[k.alias(name) for name, k in keys.items()], docs[text_col].alias("text"))
+        met = own.join(some.select("node", "least.*").hint("merge"), list(keys))
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy("node"))
+        return met.withColumn("nth", first).filter("nth = 1").select("node", shingle_hashes(F.col("text")).alias("hashes"))
+
+    roots = scratch(components(wide_links(nodes, hashed)), "wide-roots")
     linked = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     wanted = linked.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return one_of_each(docs, keys, scratch(wanted, "wide-kept"))
