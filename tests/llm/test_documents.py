@@ -498,6 +498,19 @@ def test_toxicity(spark, docs, none):
     assert all(r.s < 0.5 for r in docs.select(blank.score(F.col("text")).alias("s")).collect())
 
 
+def test_repeated_words_tell_each_time(spark):
+    model = toxicity.ToxicityModel({"grumbling": 3.0, "zorkface": 3.0, "vilehead": 3.0}, {}, 0.05)
+    passage, clean = "you grumbling zorkface and vilehead now", [sentence(i, 250) for i in range(4)]
+    twice = " ".join([clean[0], passage, clean[1], passage, clean[2]])
+    spread = " ".join([clean[0], "zorkface", clean[1], "vilehead", clean[2], "grumbling", clean[3], passage, clean[0]])
+    rows = documents(spark, [(1, twice, "s"), (2, spread, "s"), (3, passage, "s")])
+    found = {r.doc_id: r for r in rows.select("doc_id", "text", model.passages(F.col("text"), 0.001).alias("p")).collect()}
+    told = {i: [r.text[p.start : p.end] for p in r.p] for i, r in found.items()}
+    toxic = "grumbling zorkface and vilehead"
+    assert told == {1: [toxic, toxic], 2: [toxic], 3: [toxic]}
+    assert [p.score for r in found.values() for p in r.p] == pytest.approx([found[3].p[0].score] * 4)
+
+
 def test_labels_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
     n = toxicity.training_labels(labels, sample=500).count()

@@ -218,17 +218,10 @@ def _counted(model: ToxicityModel, texts: pd.Series) -> pd.DataFrame:
 
 
 def _scanned(model: ToxicityModel, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of words, and all maximal segments as first and last word and score.
-
-    A word tells once: where a text repeats it, it weighs as one that doesn't tell.
-    """
+    """Number of words, and all maximal segments as first and last word and score."""
     words = _LETTERS.findall(text.lower())
     known, stems, get = model.words, model.stems, model.weight
-    hits, seen = [], set()
-    for i, word in enumerate(words):
-        if (word in known or word[:STEM] in stems) and word not in seen:
-            seen.add(word)
-            hits.append((i, get(word)))
+    hits = [(i, get(word)) for i, word in enumerate(words) if word in known or word[:STEM] in stems]
     return len(words), maximal_segments(hits, model.drift) if hits else []
 
 
