@@ -284,6 +284,22 @@ def test_versions(spark, none):
     assert versions.compare_with_edits(none).count() == 0
 
 
+def test_versions_query_ends_paragraphs_at_every_sentence(spark, tmp_path):
+    from tickbars.llm import queries
+
+    short = " ".join(f"It is {i} to me now." for i in range(40))
+    cjk = "".join(f"漢字{i}。" for i in range(30))
+    rows = [(3, short, "s"), (2, cjk, "s"), (1, "No end here", "s")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op8_versions(spark, str(tmp_path)).collect()}
+    sentences = lambda t: {p for p in re.split(r"(?<=[.!?\n。])", t) if p}
+    for k, (i, t, _) in enumerate(rows):
+        after = rows[(k + 1) % 3][1]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert got[i].near_edited == pytest.approx(jaccard(sentences(t), sentences(edited)))
+    assert got[3].near_edited > 0.3 and got[2].near_edited > 0.3
+
+
 def test_versions_with_null_and_repeated_ids(spark, docs):
     got = versions.compare_with_edits(docs).collect()
     assert len(got) == len(texts())

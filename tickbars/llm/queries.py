@@ -88,7 +88,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each document, of its edited text, and how like they are."""
-    return versions.compare_with_edits(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return versions.compare_with_edits(load(spark, sf_dir, "documents"), ends=versions.SENTENCE).withColumnRenamed("id", "doc_id")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

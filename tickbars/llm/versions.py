@@ -39,10 +39,13 @@ _BITS = WIDTH.bit_length() - 1
 #: The ending is looked for before the word, as most places fail at that.
 _PARAGRAPH = r"(?<=[.!?\n])(?<=\n|\p{L}{6}[.!?])"
 
+#: The finer rule: a paragraph ends after every line end and every sentence end, of other scripts too.
+SENTENCE = r"(?<=[.!?\n\u2026\u3002\uFF0E\uFF01\uFF1F\uFF61\u061F\u06D4\u0964\u0965])"
 
-def paragraph_digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs."""
-    parts = F.filter(F.split(text, _PARAGRAPH), lambda p: p != "")
+
+def paragraph_digests(text: Column, ends: str = _PARAGRAPH) -> Column:
+    """The distinct 64-bit digests of a text's paragraphs, which end where the pattern ``ends`` matches."""
+    parts = F.filter(F.split(text, ends), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -226,7 +229,7 @@ def with_next_text(docs: DataFrame, id_col: str, text_col: str, chunks: int | No
     return dealt.withColumn("next", F.lead("text").over(order)).filter("not ghost").select("id", "text", "next")
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ends: str = _PARAGRAPH) -> DataFrame:
     """Fingerprints of texts and of edited texts, and how like they and the next text's are.
 
     The edited text has its last third (rounded down, in code points) replaced by the first as many
@@ -242,9 +245,9 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("own"),
-        paragraph_digests(F.col("edited")).alias("changed"),
-        paragraph_digests(F.col("next")).alias("following"),
+        paragraph_digests(F.col("text"), ends).alias("own"),
+        paragraph_digests(F.col("edited"), ends).alias("changed"),
+        paragraph_digests(F.col("next"), ends).alias("following"),
         F.monotonically_increasing_id().alias("row"),
     )
     first = digests.withColumns({f"s_{c}": sketch(F.col(c)) for c in ("own", "changed", "following")})
