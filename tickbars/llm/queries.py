@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import bpe, chatformat, exactdedup, linededup, mixing, simhash, suffixdedup, toxicity, urlfilter, versions, warc
+from tickbars.llm import bpe, chatformat, collocations, exactdedup, linededup, mixing, simhash, suffixdedup, toxicity, urlfilter, versions, warc
 from tickbars.llm.common import load, scratch
 from tickbars.session import shared_dir
 
@@ -134,6 +134,12 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language, from the graph of all texts."""
+    graph = collocations.Graph.build(load(spark, sf_dir, "documents"))
+    return collocations.collocations(graph)
+
+
 _SQL_6 = """
 WITH l AS (
   SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line
@@ -193,6 +199,41 @@ FROM marked GROUP BY conv_id
 """
 
 
+_SQL_12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS x FROM p
+), s AS (
+  SELECT lang, x, unnest(range(1, len(x) + 1)) AS i FROM w
+), f AS (
+  SELECT lang, k.k AS k, array_to_string(x[i:i + k.k - 1], ' ') AS g, count(*) AS f
+  FROM s, (VALUES (1), (2), (3), (4)) AS k(k) WHERE i + k.k - 1 <= len(x) GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1
+), c AS (
+  SELECT * FROM f WHERE k > 1 AND f >= 30
+), inner_grams AS (
+  SELECT lang, k, f, array_to_string(string_split(g, ' ')[b:e], ' ') AS g
+  FROM c JOIN (VALUES (1, 2), (2, 3), (3, 4), (1, 3), (2, 4)) AS v(b, e) ON e <= k AND e - b + 1 < k
+), gone AS (
+  SELECT DISTINCT c.lang, c.g FROM c JOIN inner_grams i ON c.lang = i.lang AND c.g = i.g WHERE 100 * i.f::HUGEINT >= 80 * c.f::HUGEINT
+), cuts AS (
+  SELECT c.lang, c.g AS phrase, c.f AS a, j.j AS j, array_to_string(string_split(c.g, ' ')[1:j.j], ' ') AS lg, array_to_string(string_split(c.g, ' ')[j.j + 1:], ' ') AS rg
+  FROM c JOIN (VALUES (1), (2), (3)) AS j(j) ON j.j < c.k ANTI JOIN gone USING (lang, g)
+), scored AS (
+  SELECT cuts.lang, phrase, a, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+  FROM cuts JOIN f l ON cuts.lang = l.lang AND cuts.lg = l.g JOIN f r ON cuts.lang = r.lang AND cuts.rg = r.g
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -206,8 +247,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_simhash": op10_simhash,
         "op11_chat_format": op11_chat_format,
+        "op12_collocations": op12_collocations,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op6_line_dedup": _SQL_6, "op9_exact_dedup": _SQL_9, "op11_chat_format": _SQL_11}
+    return {"op6_line_dedup": _SQL_6, "op9_exact_dedup": _SQL_9, "op11_chat_format": _SQL_11, "op12_collocations": _SQL_12}
