@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import bpe, chatformat, collocations, exactdedup, linededup, mixing, simhash, suffixdedup, toxicity, urlfilter, versions, warc
+from tickbars.llm import bpe, chatformat, collocations, exactdedup, linededup, mixing, simhash, suffixdedup, toxicity, urlfilter, versions, warc, whitening
 from tickbars.llm.common import load, scratch
 from tickbars.session import shared_dir
 
@@ -140,6 +140,23 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(graph)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding on the first components of all distinct ones."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fitted = whitening.Whitening.fit(vectors)
+    rows = fitted.apply(vectors).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*[F.lit(float(e / fitted.trace)) for e in fitted.eigenvalues]).cast("array<double>")
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(fitted.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(fitted.identity_error).alias("identity_error"),
+    )
+
+
 _SQL_6 = """
 WITH l AS (
   SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line
@@ -248,6 +265,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": op10_simhash,
         "op11_chat_format": op11_chat_format,
         "op12_collocations": op12_collocations,
+        "op13_whitening": op13_whitening,
     }
 
 
