@@ -218,7 +218,8 @@ def _span_lines(spark, sf_dir):
 _ALL_SPANS = """SELECT event_id AS seq, user_id % 4 AS connection_id, (epoch_us(ts) // 1000)::DOUBLE AS start_ms, CASE WHEN event_id % 17 = 0 THEN event_id - 1 ELSE event_id END::VARCHAR AS id, 't' || user_id AS trace_id,
   event_type AS name, value AS duration_ms, CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS status,
   CASE WHEN event_id % 3 = 0 THEN 'tx' || user_id % 7 END AS tx_id FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0"""
-_SPANS = f"{_ALL_SPANS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
+_SPANS = f"""WITH s AS MATERIALIZED ({_ALL_SPANS}), newest AS MATERIALIZED (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) SELECT * FROM newest"""
 
 
 def _spans(spark, sf_dir):
@@ -242,9 +243,12 @@ def trace_by_id(spark, sf_dir):
     return L.trace(_spans(spark, sf_dir), "t5").select("seq", "id")
 
 
-@_register(f"SELECT seq, connection_id FROM ({_SPANS}) WHERE connection_id = (SELECT max(connection_id) FROM ({_SPANS}))")
+@_register(f"""WITH s AS MATERIALIZED ({_ALL_SPANS}), newest AS MATERIALIZED (SELECT * FROM s WHERE connection_id = (SELECT max(connection_id) FROM s))
+  SELECT seq, connection_id FROM newest QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1""")
 def spans_of_last_connection(spark, sf_dir):
-    return L.last_connection(_spans(spark, sf_dir)).select("seq", "connection_id")
+    """A new connection clears the store, and a repeated id replaces what came since."""
+    spans = logs.parse_spans(_span_lines(spark, sf_dir))
+    return L.latest_records(L.last_connection(spans)).select("seq", "connection_id")
 
 
 @_register(f"SELECT count(DISTINCT id) AS spans, count(DISTINCT trace_id) AS traces FROM ({_ALL_SPANS})")
