@@ -191,6 +191,27 @@ def stale_inputs(trades: DataFrame, now_ms: Column, limit_ms: int = 60_000) -> D
     )
 
 
+def input_health(
+    trades: DataFrame, connects: DataFrame, now_ms: Column, limit_ms: int = 60_000, most_reconnects: int = 10
+) -> DataFrame:
+    """Per symbol what the computing side (``computing``: Error when silent for too long) and the reading side (``reading``: Warning
+    when silent for too long or reconnected too often) report. Symbols with connections but no trade yet have a warning in the former.
+
+    ``connects(symbol)`` has a row per connection, of which the first is no reconnect.
+    """
+    counts = connects.groupBy("symbol").agg((F.count("*") - 1).alias("reconnects"))
+    both = stale_inputs(trades, now_ms, limit_ms).join(counts, "symbol", "full")
+    often = F.coalesce(F.col("reconnects"), F.lit(0)) > most_reconnects
+    silent = F.coalesce(F.col("stale"), F.lit(False))
+    return both.select(
+        "symbol",
+        "last_ts_ms",
+        F.coalesce("reconnects", F.lit(0)).cast("bigint").alias("reconnects"),
+        F.when(F.col("last_ts_ms").isNull(), "Warning").when(silent, "Error").otherwise("Ok").alias("computing"),
+        F.when(often | silent, "Warning").otherwise("Ok").alias("reading"),
+    )
+
+
 # --- activity counters --------------------------------------------------------------------
 
 

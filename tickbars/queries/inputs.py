@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickbars.functions.periods import DAY_MS
 from tickbars.functions.timefns import ntz_to_ms
+from tickbars.operators.running import numbered
 from tickbars.session import prepare
 
 # Scatter of the arrival order, in positions of the tape.
@@ -59,18 +61,15 @@ SCATTERED = f"""SELECT * REPLACE ((seq + (seq * 7919) % {SCATTER}) * {SCATTER} +
 def delayed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tape with an arrival clock: each trade arrives up to DELAY_MS after its time.
 
-    ``seq`` orders by arrival and then by id; it is unique while fewer than 2^22 ids fall
-    into one span of DELAY_MS.
+    ``seq`` numbers the trades by arrival and then by id. They are counted per day of arrival, so only a day is
+    sorted at a time.
     """
     arrival = F.col("ts_ms") + (F.col("seq") * 7919) % DELAY_MS
-    return (
-        trades(spark, sf_dir)
-        .withColumn("arrival_ms", arrival)
-        .withColumn("seq", F.col("arrival_ms") * (1 << 22) + F.col("seq") % (1 << 22))
-    )
+    tape = trades(spark, sf_dir).withColumn("arrival_ms", arrival).withColumnRenamed("seq", "_id")
+    return numbered(tape, ["arrival_ms", "_id"], F.floor(F.col("arrival_ms") / DAY_MS), "seq").drop("_id")
 
 
-DELAYED = f"""SELECT * REPLACE (arrival_ms * {1 << 22} + seq % {1 << 22} AS seq) FROM (
+DELAYED = f"""SELECT * REPLACE (row_number() OVER (ORDER BY arrival_ms, seq) AS seq) FROM (
   SELECT *, ts_ms + (seq * 7919) % {DELAY_MS} AS arrival_ms FROM ({TRADES}))"""
 
 # Period dimension in SQL.

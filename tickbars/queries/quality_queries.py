@@ -569,6 +569,20 @@ def stale_inputs(spark, sf_dir):
     return Q.stale_inputs(t, t.select((F.max("ts_ms") + 30_000).alias("m")).scalar())
 
 
+@_register(f"""WITH t AS ({I.TRADES}), connects AS (SELECT event_type AS symbol, count(*) - 1 AS reconnects FROM events WHERE user_id % 97 = 0 OR event_type = 'error' GROUP BY 1),
+  heard AS (SELECT symbol, max(ts_ms) AS last_ts_ms, (SELECT max(ts_ms) FROM t) + 30000 - max(ts_ms) > 60000 AS stale FROM t WHERE symbol <> 'click' GROUP BY 1)
+  SELECT symbol, last_ts_ms, coalesce(reconnects, 0) AS reconnects,
+    CASE WHEN last_ts_ms IS NULL THEN 'Warning' WHEN stale THEN 'Error' ELSE 'Ok' END AS computing,
+    CASE WHEN coalesce(reconnects, 0) > 10 OR coalesce(stale, false) THEN 'Warning' ELSE 'Ok' END AS reading
+  FROM heard FULL JOIN connects USING (symbol)""")
+def input_health(spark, sf_dir):
+    """Errors and every 97th user stand for connections; clicks have not traded yet."""
+    t = I.trades(spark, sf_dir)
+    now = t.select((F.max("ts_ms") + 30_000).alias("m")).scalar()
+    ev = I.table(spark, sf_dir, "events").withColumnRenamed("event_type", "symbol")
+    return Q.input_health(t.filter("symbol != 'click'"), ev.filter("user_id % 97 = 0 OR symbol = 'error'"), now)
+
+
 @_register(f"""SELECT ts_ms - ts_ms % 10000 AS window_start, count(*) AS events, count(*) FILTER (symbol <> 'error') AS good,
   round(count(*) FILTER (symbol <> 'error') / count(*) * 100, 4) AS success_rate FROM ({I.TRADES}) GROUP BY 1""")
 def throughput_10s(spark, sf_dir):

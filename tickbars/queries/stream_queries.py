@@ -11,9 +11,11 @@ from tickbars.operators import bars as B
 from tickbars.operators import clocksync as C
 from tickbars.queries import inputs as I
 from tickbars.queries.bar_queries import SQL as BAR_SQL
+from tickbars.queries.wire_queries import SQL as WIRE_SQL
+from tickbars.queries.wire_queries import managed_commands
 from tickbars.session import prepare, shared_dir
 from tickbars.sinks import store as S
-from tickbars.streaming import clock, jobs
+from tickbars.streaming import clock, jobs, keyed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,6 +120,82 @@ def stream_bars_clock(spark, sf_dir):
     return I.rounded(S.read_current(spark, f"{root}/bars").drop("month"))
 
 
+def _keyed_root(spark):
+    keyed.use_state_store(spark)
+    return _root(spark)
+
+
+def _drain(spark, root, events, **options):
+    """Two files of three, then, after a stop, the rest: the second start goes on from the checkpoint."""
+    cuts = events.select(F.percentile_approx("seq", [1 / 3, 2 / 3], 100_000)).first()[0]
+    parts = [F.col("seq") <= cuts[0], (F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1]), F.col("seq") > cuts[1]]
+    for upto in (parts[:2], parts[2:]):
+        for part in upto:
+            events.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/events")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+        keyed.start(stream, root, trigger={"availableNow": True}, **options).awaitTermination()
+
+
+@_register(BAR_SQL["bars_with_clock"])
+def keyed_bars_clock(spark, sf_dir):
+    """The delayed tape with its clock from keyed state, over several batches and a restart: closed bars as
+    written, open bars from the state store."""
+    root = _keyed_root(spark)
+    _drain(spark, root, keyed.as_events(I.delayed_trades(spark, sf_dir)), grace_ms=I.CLOCK_GRACE_MS)
+    return I.rounded(keyed.all_bars(spark, root).drop("epoch"))
+
+
+@_register(f"SELECT symbol, period, open_time, close FROM ({BAR_SQL['bars_with_clock']}) WHERE NOT is_final")
+def keyed_open_bars(spark, sf_dir):
+    """The open bars alone, read from the state store."""
+    root = _keyed_root(spark)
+    _drain(spark, root, keyed.as_events(I.delayed_trades(spark, sf_dir)), grace_ms=I.CLOCK_GRACE_MS)
+    return keyed.open_bars(spark, root).select("symbol", "period", "open_time", "close")
+
+
+@_register(f"SELECT symbol, period, late_trades FROM ({BAR_SQL['late_trade_counts']})")
+def keyed_late_counts(spark, sf_dir):
+    """Trades that came late, counted by the stream itself."""
+    root = _keyed_root(spark)
+    _drain(spark, root, keyed.as_events(I.scattered_trades(spark, sf_dir)))
+    return keyed.late_counts(spark, root).withColumnRenamed("late", "late_trades")
+
+
+@_register(WIRE_SQL["bars_of_managed_symbols"])
+def keyed_managed_bars(spark, sf_dir):
+    """Trades, adds and removes in one stream."""
+    root = _keyed_root(spark)
+    columns = keyed.as_events(I.trades(spark, sf_dir)).columns
+    commands = managed_commands(spark, sf_dir).withColumn("ts_ms", F.lit(0).cast("bigint"))
+    blank = {c: F.lit(None).cast("bigint" if c == "arrival_ms" else "boolean" if c == "is_buyer_maker" else "double") for c in columns if c not in commands.columns}
+    # a trade that is a command itself does not count
+    trades = keyed.as_events(I.trades(spark, sf_dir)).join(commands.select("symbol", "seq"), ["symbol", "seq"], "left_anti")
+    events = trades.select(columns).unionByName(commands.withColumns(blank).select(columns))
+    _drain(spark, root, events, periods=("1h", "1d"), managed=True)
+    return I.rounded(keyed.all_bars(spark, root))
+
+
+_HEARD = f"SELECT symbol, arrival_ms, lead(arrival_ms) OVER (PARTITION BY symbol ORDER BY arrival_ms) AS next_ms, max(arrival_ms) OVER () AS end_ms FROM ({I.DELAYED})"
+
+
+@_register(f"""SELECT symbol, 'silent' AS what, arrival_ms AS since_ms, arrival_ms + 60000 AS at_ms FROM ({_HEARD}) WHERE coalesce(next_ms, end_ms) - arrival_ms > 60000
+UNION ALL SELECT symbol, 'back', arrival_ms, next_ms FROM ({_HEARD}) WHERE next_ms - arrival_ms > 60000""")
+def silent_symbols(spark, sf_dir):
+    """Symbols that were silent for a minute while others were heard, and their return."""
+    root = _keyed_root(spark)
+    stream = _batches(spark, sf_dir, root, 4, I.delayed_trades(spark, sf_dir).select("symbol", "seq", "arrival_ms"))
+    (
+        keyed.silences(stream)
+        .writeStream.format("parquet")
+        .option("path", f"{root}/silences")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{root}/silences")
+
+
 _HALF = "(SELECT avg(event_id) FROM events)"
 
 

@@ -383,11 +383,19 @@ def symbol_index(spark, sf_dir):
     return U.symbol_index(instruments(spark, sf_dir).select("symbol").distinct(), daily, _NOW)
 
 
-# Symbols that come and go: error events of users divisible by 25 add, by 25 + 1 remove.
+# Symbols that come and go: events of users divisible by 25 add, by 25 + 1 remove.
 _COMMANDS = """SELECT event_type AS symbol, event_id AS seq, CASE WHEN user_id % 25 = 0 THEN 'add' ELSE 'remove' END AS kind
 FROM events WHERE user_id % 25 < 2"""
 
 
+def managed_commands(spark, sf_dir):
+    return I.table(spark, sf_dir, "events").filter(F.col("user_id") % 25 < 2).select(
+        F.col("event_type").alias("symbol"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("user_id") % 25 == 0, "add").otherwise("remove").alias("kind"),
+    )
+
+
 @_register(I.sql_rounded(sql_fill(f"""SELECT * FROM (
   WITH spans AS (SELECT symbol, seq AS from_seq, to_seq FROM (
       SELECT *, lead(seq) OVER (PARTITION BY symbol ORDER BY seq) AS to_seq FROM ({_COMMANDS})) WHERE kind = 'add'),
@@ -397,11 +405,5 @@ FROM events WHERE user_id % 25 < 2"""
   FROM tape CROSS JOIN {I.PERIOD_ROWS} WHERE period IN ('1h', '1d') GROUP BY ALL)"""), "split_part(symbol, '|', 2)::BIGINT AS epoch, *").replace("* REPLACE (round", "* REPLACE (split_part(symbol, '|', 1) AS symbol, round"))
 def bars_of_managed_symbols(spark, sf_dir):
     """Only trades between an add and the next command count; each add starts anew."""
-    ev = I.table(spark, sf_dir, "events")
-    commands = ev.filter(F.col("user_id") % 25 < 2).select(
-        F.col("event_type").alias("symbol"),
-        F.col("event_id").alias("seq"),
-        F.when(F.col("user_id") % 25 == 0, "add").otherwise("remove").alias("kind"),
-    )
-    bars = U.managed_bars(I.trades(spark, sf_dir), U.lifetimes(commands), periods=("1h", "1d"), gaps=True)
+    bars = U.managed_bars(I.trades(spark, sf_dir), U.lifetimes(managed_commands(spark, sf_dir)), periods=("1h", "1d"), gaps=True)
     return I.rounded(bars)
