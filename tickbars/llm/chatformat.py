@@ -59,12 +59,19 @@ class Template:
         return [close for _, close in self.roles.values()] + [self.named[2]]
 
     def escape(self, text: Column) -> Column:
-        places = (f"(?<={re.escape(c[0])})(?=\\\\*{re.escape(c[1:])})" for c in self.controls)
-        return F.regexp_replace(text, "|".join(places), r"\\")
+        return F.regexp_replace(text, self._places(""), r"$1\\")
 
     def unescape(self, text: Column) -> Column:
-        places = (f"(?<={re.escape(c[0])})\\\\(?=\\\\*{re.escape(c[1:])})" for c in self.controls)
-        return F.regexp_replace(text, "|".join(places), "")
+        return F.regexp_replace(text, self._places(r"\\"), "$1")
+
+    def _places(self, mark: str) -> str:
+        """Where a control string's first character stands before backslashes and the rest of it."""
+        rests = {}
+        for c in self.controls:
+            rests.setdefault(c[0], []).append(re.escape(c[1:]))
+        begins = "".join(map(re.escape, rests))
+        ends = (rf"(?<={re.escape(first)}{mark})(?=\\*(?:{'|'.join(rest)}))" for first, rest in rests.items())
+        return f"([{begins}]){mark}(?:{'|'.join(ends)})"
 
     def before(self, role: Column) -> Column:
         """What stands before a block's first text."""
@@ -185,7 +192,8 @@ def format_conversations(
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """Add ``turns`` (role and text of every turn, from the formatted text alone) and ``loss_text`` (what the loss
     mask covers, unescaped span by span, nothing between)."""
-    written = F.split("formatted", "(?<=" + "|".join(re.escape(c) for c in template.closing) + ")", -1)
+    last = "".join(re.escape(c[-1]) for c in template.closing)
+    written = F.split("formatted", f"(?<=[{last}])(?<=" + "|".join(re.escape(c) for c in template.closing) + ")", -1)
     split = _once(formatted, _written=F.filter(written, lambda b: b != ""))
     begin, says, end = template.named
     other = f"(?s)^{re.escape(begin)}(.*?){re.escape(says)}(.*){re.escape(end)}$"
