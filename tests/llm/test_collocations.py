@@ -94,11 +94,12 @@ def test_paths_hold_each_edge_once(spark):
     assert " ".join(f"p{i}" for i in range(1, 39)) in longest
 
 
-def test_a_full_set_of_pairs_changes_nothing(spark, monkeypatch):
+def test_a_full_set_of_pairs_and_short_stretches_change_nothing(spark, monkeypatch):
     docs, pairs = frame(spark, corpus(200))
     monkeypatch.setattr(collocations, "_BITS", (6, 6))
     monkeypatch.setattr(collocations, "_HELD", 50)
-    monkeypatch.setattr(collocations, "_SPAN", 2)
+    monkeypatch.setattr(collocations, "_GATHERED", 50)
+    monkeypatch.setattr(collocations, "_TOGETHER", (7, 9))
     graph = collocations.Graph.build(docs, least=5)
     assert sorted(map(tuple, collocations.collocations(graph).collect())) == best(counted(pairs, 4), 4, 5)
 

@@ -16,8 +16,10 @@ share a bit with a frequent one are only kept longer than needed.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickbars.llm.common import HEAVY_SHARE, ascii_lower, join_to_unique, scratch
+from tickbars.llm.common import HEAVY_SHARE, join_to_unique, scratch
 
 LONGEST = 4
 LEAST = 30
@@ -34,21 +36,64 @@ ABSORBED = 80
 TOP = 2000
 NO_LANGUAGE = "und"
 
-_DELIMITERS = r".,;:!?\n\x0B\f\r"
-_SEED = 42
+#: Bytes of a text as the grams see them: A-Z in lower case, a line feed between pieces, spaces between words.
+_SEEN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 #: Size of the set of frequent pairs: bits per pair, and the least and greatest size as powers of two.
 _BITS_PER_PAIR = 16
 _BITS = (16, 28)
-#: Grams that a task counts before it hands them on.
+#: Entries that a task's dictionaries hold before they are handed on or forgotten.
 _HELD = 300_000
-#: Words of a piece that are taken as one row when pairs are counted.
-_SPAN = 64
+#: Pairs that a task gathers before it counts them.
+_GATHERED = 1 << 20
+#: Words of a text that are looked at together, and bytes of a long piece.
+_TOGETHER = (1 << 16, 1 << 20)
 
 
-def pieces(text: Column) -> Column:
-    """Pieces parted by a line feed, words by one space. Null is empty."""
-    spaced = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[ \t]+", " ")
-    return F.btrim(F.regexp_replace(spaced, f" ?[{_DELIMITERS}][ {_DELIMITERS}]*", "\n"), F.lit(" \n"))
+class _Hashes(dict):
+    """XXH64 of each word asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def _stretches(text: str, overlap: int, together: tuple[int, int]) -> Iterator[tuple[list[bytes], list[int], int]]:
+    """Words of a text in stretches of bounded size: the words, the positions where pieces end, and how many words from
+    the first on begin their grams here. A stretch that ends inside a piece shares its last ``overlap`` words with the next."""
+    words, ends, (most, most_bytes) = [], [], together
+    for piece in text.encode().translate(_SEEN).split(b"\n"):
+        at = 0
+        while len(piece) - at > most_bytes and (stop := piece.find(b" ", at + most_bytes)) >= 0:
+            words += piece[at:stop].split()
+            at = stop
+            if len(words) > overlap:
+                n = len(words) - overlap
+                yield words, ends, n
+                words, ends = words[n:], [e - n for e in ends if e > n]
+        words += piece[at:].split() if at else piece.split()
+        if words and (not ends or ends[-1] < len(words)):
+            ends.append(len(words))
+        if len(words) >= most:
+            yield words, ends, len(words)
+            words, ends = [], []
+    if words:
+        yield words, ends, len(words)
+
+
+def _pairs(words: list[bytes], ends: list[int], hashes: _Hashes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word with the next, and whether both stand in one piece."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    mixed = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] << np.uint64(31) | h[1:] >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed += np.uint64(seed)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    together = np.ones(len(mixed), bool)
+    last = np.array(ends, np.int64) - 1
+    together[last[last < len(mixed)]] = False
+    return mixed, together
 
 
 def _first(gram: Column, n: Column | int) -> Column:
@@ -81,9 +126,9 @@ class Graph:
         words give nothing, a null language is ``und``. No table gives an empty graph."""
         if longest < 2 or least < 1:
             raise ValueError("a gram needs two words, and counts begin at 1")
-        split = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), pieces(F.col(text)).alias("t"))
-        split = split.filter("t != ''")
-        records = scratch(_records(split, _frequent_pairs(split, least), longest), "records")
+        texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).alias("t"))
+        texts = texts.filter("t != ''")
+        records = scratch(_records(texts, _frequent_pairs(texts, least), longest), "records")
         edge = (F.col("words") == longest) & (F.col("c") >= least)
         out = (
             records.filter(F.col("words") >= longest - 1)
@@ -129,76 +174,82 @@ class Graph:
         return found
 
 
-def _frequent_pairs(split: DataFrame, least: int) -> tuple[int, bytes]:
+def _frequent_pairs(texts: DataFrame, least: int) -> tuple[int, bytes]:
     """A set of bits by the hash of language and word pair, which holds every pair that occurs ``least`` times:
     its size as a power of two, and the bits."""
-    span = rf"(?=((?:[^ \n]++ ?){{1,{_SPAN + 1}}}))(?:[^ \n]++ ?){{1,{_SPAN}}}"
-    spans = split.select("lang", F.explode(F.regexp_extract_all("t", F.lit(span), F.lit(1))).alias("span"))
-    pair = F.explode(F.regexp_extract_all("span", F.lit(r"(?=([^ ]++ [^ ]++))[^ ]++"), F.lit(1))).alias("pair")
-    hashes = spans.select("lang", pair).select(F.xxhash64("lang", "pair").alias("h"))
-    frequent = scratch(hashes.groupBy("h").count().filter(F.col("count") >= least).select("h"), "pairs")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seeds, gathered, n = _Hashes(), _Hashes(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *gathered]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times, pa.int64())], ["h", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                for words, ends, _ in _stretches(text.as_py(), 1, _TOGETHER):
+                    mixed, together = _pairs(words, ends, hashes, seeds[lang.as_py().encode()])
+                    gathered.append(mixed[together])
+                    n += len(gathered[-1])
+                    if n > _GATHERED:
+                        yield counted()
+                        gathered, n = [], 0
+                    if len(hashes) > _HELD:
+                        hashes.clear()
+        yield counted()
+
+    found = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    frequent = scratch(found.filter(F.col("n") >= least).select("h"), "pairs")
     size = min(max((frequent.count() * _BITS_PER_PAIR).bit_length(), _BITS[0]), _BITS[1])
-    slot = F.col("h").bitwiseAND((1 << size) - 1)
-    held = frequent.groupBy(F.shiftright(slot, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("bits")
-    )
-    bits = np.zeros(1 << size - 6, np.uint64)
-    found = held.toPandas()
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    slots = frequent.select(F.col("h").bitwiseAND((1 << size) - 1).alias("slot"))
+    held = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    bits, rows = np.zeros(1 << size - 6, np.uint64), held.toPandas()
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return size, bits.tobytes()
 
 
-def _records(split: DataFrame, pairs: tuple[int, bytes], longest: int) -> DataFrame:
+def _records(texts: DataFrame, pairs: tuple[int, bytes], longest: int) -> DataFrame:
     """One record per word, counted: lang, gram, words, c."""
     size, bits = pairs
-    shared = split.sparkSession.sparkContext.broadcast(bits)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        hash_of, known, mask = xxhash.xxh64_intdigest, shared.value, (1 << size) - 1
-        seeds, memo, held, n_held = {}, {}, {}, 0
+        known, mask = np.frombuffer(shared.value, np.uint8), np.uint64((1 << size) - 1)
+        hashes, seeds, held = _Hashes(), _Hashes(), {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seed = seeds.setdefault(lang, hash_of(lang.encode(), _SEED))
-                counts, is_known = held.setdefault(lang, {}), memo.setdefault(lang, {})
-                before = len(counts)
-                for piece in text.as_py().split("\n"):
-                    words = piece.split(" ")
-                    n, end = len(words), 0
-                    for i in range(n):
-                        # the gram that starts here ends before ``end``, moved on while pairs are frequent
-                        if end <= i:
-                            end = i + 1
-                        while end < n and end - i < longest:
-                            pair = words[end - 1] + " " + words[end]
-                            frequent = is_known.get(pair)
-                            if frequent is None:
-                                h = hash_of(pair.encode(), seed) & mask
-                                frequent = is_known[pair] = known[h >> 3] >> (h & 7) & 1
-                            if not frequent:
-                                break
-                            end += 1
-                        gram = words[i] if end == i + 1 else " ".join(words[i:end])
-                        counts[gram] = counts.get(gram, 0) + 1
-                n_held += len(counts) - before
-                if n_held > _HELD:
-                    yield _counted(held)
-                    held, n_held = {}, 0
-                if sum(map(len, memo.values())) > _HELD:
-                    memo = {}
+                counts = held.setdefault(lang, Counter())
+                for words, ends, n in _stretches(text.as_py(), longest - 1, _TOGETHER):
+                    mixed, together = _pairs(words, ends, hashes, seeds[lang.encode()])
+                    slot = mixed & mask
+                    goes_on = together & (known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    goes_on, length = np.append(goes_on, False), np.ones(len(words), np.int64)
+                    further = goes_on
+                    for _ in range(longest - 1):
+                        length += further
+                        further = goes_on & np.append(further[1:], False)
+                    length = length[:n]
+                    counts.update(compress(words, (length == 1).tolist()))
+                    at = np.flatnonzero(length > 1)
+                    counts.update(b" ".join(words[i:j]) for i, j in zip(at.tolist(), (at + length[at]).tolist()))
+                    if sum(map(len, held.values())) > _HELD:
+                        yield _counted(held)
+                        held = {}
+                        counts = held.setdefault(lang, Counter())
+                    if len(hashes) > _HELD:
+                        hashes.clear()
         yield _counted(held)
 
-    grams = split.mapInArrow(count, "lang string, gram string, c bigint")
+    grams = texts.mapInArrow(count, "lang string, gram string, c bigint")
     words = F.char_length("gram") - F.char_length(F.replace("gram", F.lit(" "), F.lit(""))) + 1
     return grams.groupBy("lang", "gram").agg(F.sum("c").alias("c")).select("lang", "gram", words.alias("words"), "c")
 
 
-def _counted(held: dict[str, dict[str, int]]) -> pa.RecordBatch:
+def _counted(held: dict[str, Counter]) -> pa.RecordBatch:
     langs = [lang for lang, counts in held.items() for _ in counts]
     grams = [gram for counts in held.values() for gram in counts]
     numbers = [c for counts in held.values() for c in counts.values()]
-    columns = [pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(numbers, pa.int64())]
+    columns = [pa.array(langs, pa.string()), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["lang", "gram", "c"])
 
 
