@@ -11,13 +11,16 @@ from tickbars.functions.errors import classify_error
 from tickbars.functions.periods import PERIODS
 from tickbars.operators import bars as B
 from tickbars.operators import quality as Q
+from tickbars.operators import universe as U
 from tickbars.plans import audit as A
 from tickbars.plans import backfill as P
 from tickbars.queries import inputs as I
 from tickbars.queries.bar_queries import sql_fill
-from tickbars.queries.wire_queries import _ORDER_BARS, _STORED_SQL, _order_bars
+from tickbars.queries.wire_queries import _ORDER_BARS, _STORED_SQL, _order_bars, instruments
+from tickbars.queries.wire_queries import SQL as WIRE_SQL
 from tickbars.session import shared_dir
 from tickbars.sinks import store as S
+from tickbars.sinks.generations import Generations
 from tickbars.sources import wire
 
 QUERIES: dict = {}
@@ -278,6 +281,30 @@ def upsert_through_storage(spark, sf_dir):
     return S.read_current(spark, f"{root}/compacted").drop("month")
 
 
+@_register(f"SELECT * EXCLUDE (version) FROM ({_SQL_MERGED})")
+def upsert_through_generations(spark, sf_dir):
+    """The same upsert into generations: a batch, a compaction, the other batch (twice), a compaction, what is old removed."""
+    kept = Generations(spark, f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}")
+    v = _versions(spark, sf_dir)
+    for n in (1, 2, 2):
+        kept.append(v.filter(F.col("version") == n).drop("version"), n)
+        kept.compact()
+    kept.retire(keep=1)
+    return kept.read().drop("month")
+
+
+@_register(WIRE_SQL["bars_without_delisted"])
+def stored_without_delisted(spark, sf_dir):
+    """Stored bars of which delisted symbols are deleted, rewritten, and read again."""
+    kept = Generations(spark, f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}")
+    kept.append(_order_bars(spark, sf_dir).withColumn("is_final", F.lit(True)), 0)
+    kept.compact()
+    kept.delete(U.delisted(instruments(spark, sf_dir)))
+    kept.compact(purge=True)
+    kept.retire(keep=1)
+    return kept.read().select("symbol", "period", "open_time", "close")
+
+
 @_register(f"SELECT * FROM ({_SQL_VERSIONS}) QUALIFY row_number() OVER (PARTITION BY symbol, period, open_time ORDER BY version DESC) = 1")
 def last_version_wins(spark, sf_dir):
     return S.last_wins(_versions(spark, sf_dir), S.KEY, "version")

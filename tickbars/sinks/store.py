@@ -102,7 +102,7 @@ def _month(ms: Column) -> Column:
     return F.trunc(F.timestamp_millis(ms), "month")
 
 
-def _with_month(bars: DataFrame) -> DataFrame:
+def with_month(bars: DataFrame) -> DataFrame:
     """A month keeps files large for every period: a day would leave 1d with one row per
     symbol in a file. Within a file, rows are found by symbol and time statistics."""
     return bars.withColumn("month", _month(F.col("open_time")))
@@ -111,7 +111,7 @@ def _with_month(bars: DataFrame) -> DataFrame:
 def write_batch(bars: DataFrame, path: str, batch_id: int) -> None:
     """Store one batch; writing the same batch again replaces it."""
     (
-        _with_month(bars)
+        with_month(bars)
         .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .hint("rebalance", F.col("period"), F.col("month"))
         .sortWithinPartitions("period", "month", "symbol", "open_time")

@@ -23,6 +23,7 @@ from tickbars.functions.periods import PERIODS, period_ms
 from tickbars.operators import bars as B
 from tickbars.operators.universe import add_seeds
 from tickbars.sinks import store as S
+from tickbars.sinks.generations import Generations
 from tickbars.sources.wire import known_symbols_only
 
 BAR_SCHEMA = (
@@ -99,6 +100,7 @@ def start_exact(
     tickers: Callable[[SparkSession], DataFrame] | None = None,
     ticks: DataFrame | None = None,
     push: bool = False,
+    compact_every: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Write the bars of a trade stream below ``root``, a folder all executors share.
@@ -111,7 +113,9 @@ def start_exact(
     provisional bars. ``ticks`` is a stream of ``tick_ms`` (as from
     :func:`tickbars.streaming.clock.live_ticks`); with it and ``clock_grace_ms`` bars close while
     no trade comes. ``push`` writes the change feed as JSON, one message per symbol.
-    ``seq`` must grow from batch to batch. Bars are read with ``S.read_current``.
+    ``seq`` must grow from batch to batch. Bars are read with ``S.read_current``. With ``compact_every``, they are kept as
+    generations: after so many batches the job folds them into the partitions they touch and removes what two
+    generations no longer list; they are then read with ``Generations(spark, f"{root}/bars").read()``.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -132,7 +136,14 @@ def start_exact(
         try:
             # final bars and changed open ones: a later final version beats the open one
             news = bars.filter("is_final").unionByName(changes(bars, seeds))
-            S.write_batch(news, f"{root}/bars", batch_id)
+            if compact_every is None:
+                S.write_batch(news, f"{root}/bars", batch_id)
+            else:
+                bars_store = Generations(spark, f"{root}/bars")
+                bars_store.append(news, batch_id)
+                if (batch_id + 1) % compact_every == 0:
+                    bars_store.compact()
+                    bars_store.retire()
             if push:
                 feed = S.push_messages(changes(bars, seeds))
                 feed.write.mode("overwrite").json(f"{root}/push/batch_id={batch_id}")
