@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickbars.functions.timefns import close_time, continuity_ms, freshness_minutes
+from tickbars.functions.periods import MINUTE_MS, PERIODS, base_ms
+from tickbars.functions.timefns import bar_open, close_time, continuity_ms, floor_ms, freshness_minutes, ms_of
 from tickbars.operators.running import CHUNK_ROWS, previous
 from tickbars.sinks.store import last_wins
 
@@ -225,10 +226,9 @@ def throughput(rows: DataFrame, ts: str, window: str, **totals: Column) -> DataF
 
 
 def transitions(bars: DataFrame) -> DataFrame:
-    """Changes of a series from one bar to the next, with the state of both and what caused
-    the change: a trade if the new bar holds trades, else the clock.
+    """States of each finished bar and the one before it; needs bars with gaps filled. State is ``real`` or ``flat``.
 
-    Needs bars with gaps filled; state is ``real`` or ``flat``.
+    What caused a change cannot be seen from finished bars, see :func:`closings`.
     """
     key = Window.partitionBy("symbol", "period").orderBy("open_time")
     state = F.when(F.col("trade_count") > 0, "real").otherwise("flat")
@@ -236,7 +236,42 @@ def transitions(bars: DataFrame) -> DataFrame:
         bars.select("symbol", "period", "open_time", state.alias("new_state"))
         .withColumn("old_state", F.lag("new_state").over(key))
         .filter(F.col("old_state").isNotNull())
-        .withColumn("trigger", F.when(F.col("new_state") == "real", "Trade").otherwise("Clock"))
+    )
+
+
+def closings(trades: DataFrame, bars: DataFrame, grace_ms: int, periods: tuple[str, ...] = PERIODS) -> DataFrame:
+    """What closed each final bar: the first trade of a later bar, or the first tick of the clock past its end, whichever
+    came first (at the same time, the tick). A bar that the clock opened and that traded later was still opened by the clock.
+
+    ``bars`` are those of ``trades`` with the clock and gaps filled. Old state is that of the closed bar (``real``
+    or ``flat``); new state is what stands right after: real only if the closing trade belongs to the very next bar.
+
+    Arrivals are combined per symbol and step first; the window runs over bars, from the newest back, so that one sort serves it.
+    """
+    first = F.min(F.struct("seq", "arrival_ms")).alias("_first")
+    steps = trades.groupBy("symbol", floor_ms(F.col("ts_ms"), base_ms(periods)).alias("_step")).agg(first)
+    places = F.array(*(F.struct(F.lit(p).alias("period"), bar_open(F.col("_step"), p).alias("open_time")) for p in periods))
+    arrivals = steps.select("symbol", F.inline(places), "_first").groupBy("symbol", "period", "open_time").agg(
+        F.min(F.struct("_first.seq", "_first.arrival_ms", "open_time")).alias("_came")
+    )
+    since = steps.groupBy("symbol").agg(F.min("_first.arrival_ms").alias("_since"))
+    later = Window.partitionBy("symbol", "period").orderBy(F.col("open_time").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    met = bars.join(arrivals, ["symbol", "period", "open_time"], "left").withColumn("_next", F.min("_came").over(later))
+    end = F.col("open_time") + ms_of(F.col("period"))
+    next_tick = floor_ms(F.col("_since") - grace_ms, MINUTE_MS) + (MINUTE_MS + grace_ms)
+    tick = F.greatest(end + grace_ms, next_tick)
+    by_trade = F.coalesce(F.col("_next.arrival_ms") < tick, F.lit(False))
+    return (
+        met.filter("is_final")
+        .join(since, "symbol")
+        .select(
+            "symbol",
+            "period",
+            "open_time",
+            F.when(by_trade, "Trade").otherwise("Clock").alias("trigger"),
+            F.when(F.col("trade_count") > 0, "real").otherwise("flat").alias("old_state"),
+            F.when(by_trade & (F.col("_next.open_time") == end), "real").otherwise("flat").alias("new_state"),
+        )
     )
 
 

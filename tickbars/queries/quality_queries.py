@@ -15,10 +15,11 @@ from tickbars.operators import universe as U
 from tickbars.plans import audit as A
 from tickbars.plans import backfill as P
 from tickbars.queries import inputs as I
+from tickbars.queries.bar_queries import SQL as BAR_SQL
 from tickbars.queries.bar_queries import sql_fill
 from tickbars.queries.wire_queries import _ORDER_BARS, _STORED_SQL, _order_bars, instruments
 from tickbars.queries.wire_queries import SQL as WIRE_SQL
-from tickbars.session import shared_dir
+from tickbars.session import shared_dir, stored
 from tickbars.sinks import store as S
 from tickbars.sinks.generations import Generations
 from tickbars.sources import wire
@@ -619,9 +620,48 @@ def throughput_10s(spark, sf_dir):
     )
 
 
-@_register(f"""SELECT CASE WHEN new_state = 'real' THEN 'Trade' ELSE 'Clock' END AS "trigger", old_state, new_state, count(*) AS changes FROM (
+# A bar's closing: of all arrivals of later bars the first, against the first tick that counts.
+_ARRIVALS = f"""SELECT symbol, period, {I.sql_floor('ts_ms')} AS b, min(seq) AS seq, arg_min(arrival_ms, seq) AS arrival_ms FROM ({I.DELAYED}) CROSS JOIN {I.PERIOD_ROWS} GROUP BY ALL"""
+_SQL_CLOSINGS = f"""
+WITH bars AS MATERIALIZED ({BAR_SQL['bars_with_clock']}), a AS MATERIALIZED ({_ARRIVALS}),
+since AS (SELECT symbol, min(arrival_ms) AS since FROM a GROUP BY 1),
+walked AS (SELECT symbol, period, b, min(seq) OVER w AS seq FROM a WINDOW w AS (PARTITION BY symbol, period ORDER BY b DESC)),
+came AS (SELECT w.symbol, w.period, w.b, a.b AS next_b, a.arrival_ms FROM walked w JOIN a ON a.symbol = w.symbol AND a.period = w.period AND a.seq = w.seq),
+asked AS (
+  SELECT x.symbol, x.period, x.open_time, x.trade_count, p.ms, s.since, c.next_b, c.arrival_ms
+  FROM bars x JOIN {I.PERIOD_ROWS} ON p.period = x.period JOIN since s ON s.symbol = x.symbol
+  ASOF LEFT JOIN came c ON c.symbol = x.symbol AND c.period = x.period AND c.b > x.open_time WHERE x.is_final
+)
+SELECT symbol, period, open_time, CASE WHEN arrival_ms < tick THEN 'Trade' ELSE 'Clock' END AS "trigger",
+  CASE WHEN trade_count > 0 THEN 'real' ELSE 'flat' END AS old_state, CASE WHEN arrival_ms < tick AND next_b = open_time + ms THEN 'real' ELSE 'flat' END AS new_state
+FROM (SELECT *, CASE WHEN open_time + ms + {I.CLOCK_GRACE_MS} > since THEN open_time + ms + {I.CLOCK_GRACE_MS}
+    ELSE (SELECT min(t) FROM range(since - since % 60000 - 60000 + {I.CLOCK_GRACE_MS}, since + 120001, 60000) r(t) WHERE t > since) END AS tick FROM asked)"""
+
+
+def _closings(spark, sf_dir):
+    tape = stored(I.delayed_trades(spark, sf_dir))
+    horizon = B.clock_horizon(tape, I.CLOCK_GRACE_MS)
+    bars = B.build_bars(tape, clock_grace_ms=I.CLOCK_GRACE_MS, gaps=True, horizon_ms=horizon)
+    return Q.closings(tape, bars, I.CLOCK_GRACE_MS)
+
+
+@_register(f"""SELECT "trigger", old_state, new_state, count(*) AS changes FROM ({_SQL_CLOSINGS}) GROUP BY ALL""")
+def lifecycle_totals(spark, sf_dir):
+    """What closed the bars of the delayed tape, by cause and states."""
+    return Q.transition_totals(_closings(spark, sf_dir))
+
+
+@_register(f"SELECT * FROM ({_SQL_CLOSINGS}) WHERE period <> '1m'")
+def bar_closings(spark, sf_dir):
+    """The cause of each closing, for all periods but the shortest."""
+    return _closings(spark, sf_dir).filter("period != '1m'")
+
+
+@_register(f"""SELECT old_state, new_state, count(*) AS changes FROM (
   SELECT CASE WHEN trade_count > 0 THEN 'real' ELSE 'flat' END AS new_state,
     lag(CASE WHEN trade_count > 0 THEN 'real' ELSE 'flat' END) OVER (PARTITION BY symbol, period ORDER BY open_time) AS old_state
   FROM ({sql_fill(I.sql_bars())})) WHERE old_state IS NOT NULL GROUP BY ALL""")
-def lifecycle_totals(spark, sf_dir):
-    return Q.transition_totals(Q.transitions(B.build_bars(I.trades(spark, sf_dir), gaps=True)))
+def bar_successions(spark, sf_dir):
+    """Which states follow each other in the finished bars."""
+    changes = Q.transitions(B.build_bars(I.trades(spark, sf_dir), gaps=True))
+    return changes.groupBy("old_state", "new_state").agg(F.count("*").alias("changes"))
