@@ -6,16 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tickbars.functions.timefns import ntz_to_ms
+from tickbars.functions.timefns import bar_open, ntz_to_ms
 from tickbars.operators import bars as B
 from tickbars.operators import clocksync as C
 from tickbars.queries import inputs as I
 from tickbars.queries.bar_queries import SQL as BAR_SQL
 from tickbars.queries.wire_queries import SQL as WIRE_SQL
 from tickbars.queries.wire_queries import managed_commands
-from tickbars.session import prepare, shared_dir
+from tickbars.session import prepare, shared_dir, stored
 from tickbars.sinks import store as S
-from tickbars.streaming import clock, jobs, keyed
+from tickbars.streaming import clock, jobs, keyed, metrics, throttle
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -175,6 +175,54 @@ def keyed_managed_bars(spark, sf_dir):
     return I.rounded(keyed.all_bars(spark, root))
 
 
+_LATE = f"(SELECT coalesce(sum(late_trades), 0)::BIGINT FROM ({BAR_SQL['late_trade_counts']}))"
+
+
+@_register(f"""SELECT 'trades' AS metric, count(*) AS total FROM events UNION ALL SELECT 'late_trades', {_LATE}
+UNION ALL SELECT 'closed_bars', count(*) FROM ({BAR_SQL['bars_exact_gapfilled']}) WHERE is_final""")
+def stream_counters(spark, sf_dir):
+    """Numbers that a listener gathers from the metrics of each batch."""
+    root, counters = _keyed_root(spark), metrics.Counters()
+    stream = _batches(spark, sf_dir, root, 3, keyed.as_events(I.scattered_trades(spark, sf_dir)))
+    spark.streams.addListener(counters)
+    try:
+        query = keyed.start(stream, root, trigger={"availableNow": True})
+        query.awaitTermination()
+        counters.wait(60)
+    finally:
+        spark.streams.removeListener(counters)
+    return spark.createDataFrame(sorted(counters.totals(query.id).items()), "metric string, total bigint")
+
+
+_DUE = "(arrival_ms + 30000) - (arrival_ms + 30000) % 60000 + 30000"
+
+
+@_register(f"""SELECT {_DUE} AS due_ms, symbol, period, {I.sql_floor('ts_ms')} AS open_time, arg_max(price, seq) AS close, max(seq) AS seq
+FROM ({I.DELAYED}) CROSS JOIN {I.PERIOD_ROWS} WHERE period IN ('1m', '1h') GROUP BY ALL""")
+def throttled_writes(spark, sf_dir):
+    """What is written at each second 30: the newest state of each series that changed in the minute before."""
+    root = _root(spark)
+    places = F.array(*(F.struct(F.lit(p).alias("period"), bar_open(F.col("ts_ms"), p).alias("open_time")) for p in ("1m", "1h")))
+    changed = I.delayed_trades(spark, sf_dir).select("symbol", F.inline(places), F.col("price").alias("close"), "seq", F.col("arrival_ms").alias("at_ms"))
+    stream = _batches(spark, sf_dir, root, 4, changed)
+    throttle.start(stream, root, ("symbol", "period", "open_time"), availableNow=True).awaitTermination()
+    throttle.drain(spark, root)
+    return throttle.written(spark, root).drop("at_ms")
+
+
+@_register(BAR_SQL["bars_exact_gapfilled"])
+def stream_after_two_rounds(spark, sf_dir):
+    """Two rounds of catching up, the second from before the end of the first, and a stream that replays from before
+    the end of the second."""
+    root, tape = _root(spark), stored(I.scattered_trades(spark, sf_dir))
+    a, b, c, d = tape.select(F.percentile_approx("seq", [0.3, 0.4, 0.5, 0.7], 100_000)).first()[0]
+    jobs.hand_over(spark, root, tape.filter(F.col("seq") <= b))
+    jobs.hand_over(spark, root, tape.filter((F.col("seq") > a) & (F.col("seq") <= d)))
+    stream = _batches(spark, sf_dir, root, 2, tape.filter(F.col("seq") > c))
+    jobs.start_after_rounds(stream, root, availableNow=True).awaitTermination()
+    return I.rounded(jobs.bars_after_rounds(spark, root))
+
+
 _HEARD = f"SELECT symbol, arrival_ms, lead(arrival_ms) OVER (PARTITION BY symbol ORDER BY arrival_ms) AS next_ms, max(arrival_ms) OVER () AS end_ms FROM ({I.DELAYED})"
 
 

@@ -13,6 +13,7 @@ there are no flat bars, and late trades are dropped by watermark and not by arri
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tickbars.functions.periods import PERIODS, period_ms
 from tickbars.operators import bars as B
+from tickbars.operators.sizing import small_side
 from tickbars.operators.universe import add_seeds
+from tickbars.session import stored
 from tickbars.sinks import store as S
 from tickbars.sinks.generations import Generations
 from tickbars.sources.wire import known_symbols_only
@@ -89,6 +92,64 @@ def with_added(seeds: DataFrame | None, tickers: DataFrame, periods: tuple[str,
     return seeds.unionByName(fresh.join(seeds.select("symbol"), "symbol", "left_anti"))
 
 
+def hand_over(spark: SparkSession, root: str, trades: DataFrame, periods: tuple[str, ...] = PERIODS) -> None:
+    """One round of catching up before a stream: bars of ``trades`` on top of what earlier rounds left below ``root``.
+
+    Trades that an earlier round has counted are left out, so rounds may overlap by any length. Beside its bars a round
+    leaves the open ones and, per symbol, the last arrival it counted (``marks``). A round is complete once its marks are written; one
+    that failed before is repeated.
+    """
+    done = _rounds(spark, root)
+    n = len(done)
+    seeds = None if n == 0 else spark.read.schema(BAR_SCHEMA).parquet(f"{root}/rounds/{n - 1}/open")
+    news = trades if n == 0 else after_marks(trades, marks(spark, root))
+    bars = stored(fold_batch(news, seeds, periods))
+    bars.filter("is_final").unionByName(changes(bars, seeds)).write.mode("overwrite").parquet(f"{root}/rounds/{n}/bars")
+    bars.filter(~F.col("is_final")).write.mode("overwrite").parquet(f"{root}/rounds/{n}/open")
+    counted = news.groupBy("symbol").agg(F.max("seq").alias("upto"))
+    if n:
+        counted = marks(spark, root).unionByName(counted).groupBy("symbol").agg(F.max("upto").alias("upto"))
+    counted.coalesce(1).write.mode("overwrite").parquet(f"{root}/rounds/{n}/marks")
+
+
+def _rounds(spark: SparkSession, root: str) -> list[int]:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/rounds/*/marks/_SUCCESS")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getParent().getName()) for f in found or [])
+
+
+def marks(spark: SparkSession, root: str) -> DataFrame:
+    """Per symbol the last arrival that the rounds so far have counted."""
+    return spark.read.schema("symbol string, upto bigint").parquet(f"{root}/rounds/{_rounds(spark, root)[-1]}/marks")
+
+
+def after_marks(trades: DataFrame, counted: DataFrame) -> DataFrame:
+    """Trades that are not counted yet; a symbol without a mark is new."""
+    met = trades.join(small_side(counted.withColumnRenamed("upto", "_upto")), "symbol", "left")
+    return met.filter(F.col("_upto").isNull() | (F.col("seq") > F.col("_upto"))).drop("_upto")
+
+
+def start_after_rounds(trades: DataFrame, root: str, **options) -> StreamingQuery:
+    """:func:`start_exact` on top of all rounds of :func:`hand_over`. The stream may replay trades from any earlier
+    offset: what the rounds have counted is left out. Late rules see the open bars of the last round."""
+    spark = trades.sparkSession
+    last = _rounds(spark, root)[-1]
+    opened = spark.read.schema(BAR_SCHEMA).parquet(f"{root}/rounds/{last}/open")
+    fresh = after_marks(trades, marks(spark, root))
+    return start_exact(fresh, root, initial=opened, **options)
+
+
+def bars_after_rounds(spark: SparkSession, root: str) -> DataFrame:
+    """Bars of all rounds and of the stream after them."""
+    rounds = [
+        spark.read.schema(BAR_SCHEMA).parquet(f"{root}/rounds/{n}/bars").withColumn("_n", F.lit(n).cast("bigint"))
+        for n in _rounds(spark, root)
+    ]
+    streamed = S.read_current(spark, f"{root}/bars").drop("month").withColumn("_n", F.lit(len(rounds)).cast("bigint"))
+    return S.merge_bars(reduce(DataFrame.unionByName, [*rounds, streamed]), "_n").drop("_n")
+
+
 def start_exact(
     trades: DataFrame,
     root: str,

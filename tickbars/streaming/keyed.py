@@ -27,6 +27,7 @@ from tickbars.functions.periods import MINUTE_MS, MONDAY_SHIFT_MS, PERIODS, base
 from tickbars.functions.timefns import floor_ms, ms_of
 from tickbars.operators import bars as B
 from tickbars.sinks import store as S
+from tickbars.streaming.metrics import observed_bars, observed_trades
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -393,8 +394,9 @@ def silences(events: DataFrame, limit_ms: int = 60_000) -> DataFrame:
 
 def start(events: DataFrame, root: str, periods: tuple[str, ...] = PERIODS, *, trigger: dict | None = None, **options) -> StreamingQuery:
     """Write closed bars and late counts of a stream below ``root``. Started again on the same folder, it goes on
-    where it was: state and the files written so far come from the checkpoint."""
-    bars = closed_bars(events, periods, **options)
+    where it was: state and the files written so far come from the checkpoint. Its numbers of events, late trades and closed
+    bars are observed, see :mod:`tickbars.streaming.metrics`."""
+    bars = observed_bars(closed_bars(observed_trades(events), periods, **options))
     return (
         bars.writeStream.format("parquet")
         .outputMode("append")
