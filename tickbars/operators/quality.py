@@ -72,21 +72,23 @@ def closed_before(bars: DataFrame, safe_end_ms: Column, by_open: bool = False) -
     return bars.filter(close_time(F.col("open_time"), F.col("period")) < safe_end_ms)
 
 
-def compare(local: DataFrame, remote: DataFrame, arrival: str | None = None) -> DataFrame:
+def compare(
+    local: DataFrame, remote: DataFrame, arrival: str | None = None, keys: tuple[str, ...] = KEY
+) -> DataFrame:
     """Every key of either side with ``outcome``: match, MissingInLocal, ExtraInLocal or
     FieldMismatch.
 
     Prices and volume may differ by 1e-8, trade counts not at all; turnover is not compared.
-    With ``arrival``, the last row of a key counts on each side.
+    With ``arrival``, the last row of a key counts on each side. ``keys`` may name more columns than those of a bar.
     """
     values = ("open", "high", "low", "close", "volume", "trade_count")
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         if arrival is not None:
-            df = last_wins(df, KEY, arrival)
-        return df.select(*KEY, F.struct(*values).alias(tag))
+            df = last_wins(df, keys, arrival)
+        return df.select(*keys, F.struct(*values).alias(tag))
 
-    both = side(local, "local").join(side(remote, "remote"), list(KEY), "full_outer")
+    both = side(local, "local").join(side(remote, "remote"), list(keys), "full_outer")
     same = F.col("local.trade_count") == F.col("remote.trade_count")
     for v in values[:-1]:
         same = same & (F.abs(F.col(f"local.{v}") - F.col(f"remote.{v}")) <= EPSILON)

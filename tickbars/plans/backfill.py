@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +116,72 @@ def backoff_seconds(attempt: Column) -> Column:
     return F.least(F.pow(F.lit(2), attempt - 1), F.lit(MAX_BACKOFF_S)).cast("bigint")
 
 
+ROUNDS = 3
+_LEDGER = "symbol string, period string, start_time bigint, retries bigint, message string, state string, waited_s bigint"
+
+
+def retry_rounds(
+    failures: DataFrame,
+    attempt: Callable[[DataFrame, int], DataFrame],
+    root: str,
+    *,
+    rounds: int = ROUNDS,
+    wait: Callable[[int], None] = time.sleep,
+) -> DataFrame:
+    """Carry failed tasks through rounds of retries; returns where each of them ended.
+
+    ``failures`` holds ``symbol, period, start_time, message`` of the first attempts. In each round, tasks that
+    :func:`retry_selection` finds worth it are tried again, after a wait that doubles from the second round on; the others are
+    given up. ``attempt(tasks, round)`` returns the tasks that failed again with their new ``message``. What a round left is a
+    table below ``root``, so a job that starts again goes on after the last whole round. Rounds end early when nothing is
+    left to try.
+
+    Result: ``state`` (done, given up, or failed after the last round), ``retries`` (failed attempts), ``message`` (of
+    the last failure) and ``waited_s`` (seconds waited for a task).
+    """
+    spark, keys = failures.sparkSession, ["symbol", "period", "start_time"]
+    done = _whole_rounds(spark, root)
+
+    def ledger(n: int) -> DataFrame:
+        return spark.read.schema(_LEDGER).parquet(f"{root}/round={n}")
+
+    if not done:
+        first = failures.select(*keys, F.lit(1).cast("bigint").alias("retries"), "message", F.lit("failed").alias("state"), F.lit(0).cast("bigint").alias("waited_s"))
+        first.write.mode("overwrite").parquet(f"{root}/round=0")
+    for n in range(len(done) or 1, rounds + 1):
+        before = ledger(n - 1)
+        open_ = before.filter(F.col("state") == "failed")
+        chosen = retry_selection(open_, 2).select(before.columns)
+        if chosen.isEmpty():
+            break
+        pause = min(2 ** (n - 1), MAX_BACKOFF_S) if n > 1 else 0
+        if pause:
+            wait(pause)
+        again = attempt(chosen.select(*keys, "retries"), n).select(*keys, F.col("message").alias("_new"))
+        tried = chosen.join(again.withColumn("_again", F.lit(True)), keys, "left")
+        failed = F.coalesce("_again", F.lit(False))
+        after = tried.select(
+            *keys,
+            (F.col("retries") + failed.cast("bigint")).alias("retries"),
+            F.when(failed, F.col("_new")).otherwise(F.col("message")).alias("message"),
+            F.when(failed, "failed").otherwise("done").alias("state"),
+            (F.col("waited_s") + pause).alias("waited_s"),
+        )
+        kept = before.filter(F.col("state") != "failed")
+        given_up = open_.join(chosen.select(*keys), keys, "left_anti").withColumn("state", F.lit("given up"))
+        kept.unionByName(given_up).unionByName(after).write.mode("overwrite").parquet(f"{root}/round={n}")
+    last = ledger(len(_whole_rounds(spark, root)) - 1)
+    worth = F.when(~classify_error(F.col("message"))["retryable"] | (F.col("retries") > MAX_RETRIES), "given up").otherwise("failed")
+    return last.withColumn("state", F.when(F.col("state") == "failed", worth).otherwise(F.col("state")))
+
+
+def _whole_rounds(spark: SparkSession, root: str) -> list[str]:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/round=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return [f.getPath().toString() for f in found or []]
+
+
 def failure_summary(failures: DataFrame) -> DataFrame:
     return failures.groupBy(error_kind(F.col("message")).alias("error")).agg(F.count("*").alias("failures"))
 

@@ -101,7 +101,7 @@ _SQL_FAILURES = f"""SELECT 'C' || o_custkey AS symbol, ['1m', '1h', '1d'][o_orde
   [{', '.join(f"'{m}'" for m in _MESSAGES)}][o_orderkey % {len(_MESSAGES)} + 1] AS message FROM orders"""
 
 
-def _failures(spark, sf_dir):
+def _failures(spark, sf_dir, *more):
     """One failed download per order."""
     o = I.table(spark, sf_dir, "orders")
     pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("o_orderkey") % len(values) + 1).cast("int"))
@@ -111,6 +111,7 @@ def _failures(spark, sf_dir):
         T.ntz_to_ms(F.col("o_orderdate")).alias("start_time"),
         (F.col("o_orderkey") % 8).alias("retries"),
         pick(_MESSAGES).alias("message"),
+        *more,
     )
 
 
@@ -146,6 +147,42 @@ def retry_selection(spark, sf_dir):
     return chosen.withColumn("wait_s", P.backoff_seconds(F.col("retries") + 1))
 
 
+# An attempt fails again for two tasks of five, by a message of its own.
+_AGAIN = "(o_orderkey * 31 + {round} * 17) % 5 < 2"
+_MESSAGE_AGAIN = "[" + ", ".join(f"'{m}'" for m in _MESSAGES) + f"][(o_orderkey + {{round}}) % {len(_MESSAGES)} + 1]"
+
+
+@_register(f"""WITH RECURSIVE tasks AS (SELECT o_orderkey, symbol, period, start_time, message FROM ({_SQL_FAILURES.replace('SELECT', 'SELECT o_orderkey,', 1)})),
+r AS (
+  SELECT 0 AS n, *, 1::BIGINT AS retries, 'failed' AS state, 0::BIGINT AS waited_s FROM tasks
+  UNION ALL
+  SELECT n + 1, o_orderkey, symbol, period, start_time,
+    CASE WHEN state = 'failed' AND {_SQL_RETRY} AND {_AGAIN.format(round='(n + 1)')} THEN {_MESSAGE_AGAIN.format(round='(n + 1)')} ELSE message END,
+    retries + CASE WHEN state = 'failed' AND {_SQL_RETRY} AND {_AGAIN.format(round='(n + 1)')} THEN 1 ELSE 0 END,
+    CASE WHEN state <> 'failed' THEN state WHEN NOT {_SQL_RETRY} THEN 'given up' WHEN {_AGAIN.format(round='(n + 1)')} THEN 'failed' ELSE 'done' END,
+    waited_s + CASE WHEN state = 'failed' AND {_SQL_RETRY} AND n > 0 THEN 2 ** n ELSE 0 END::BIGINT
+  FROM r WHERE n < 3
+)
+SELECT symbol, period, start_time, retries, message, CASE WHEN state = 'failed' AND NOT {_SQL_RETRY} THEN 'given up' ELSE state END AS state, waited_s
+FROM r WHERE n = 3""")
+def retry_rounds(spark, sf_dir):
+    """Failed downloads carried through three rounds. The order's key stands for the series' start, so that tasks differ."""
+    root, waits = f"{shared_dir(spark)}/retries-{uuid.uuid4().hex}", []
+    failures = _failures(spark, sf_dir, "o_orderkey")
+    keyed = failures.withColumn("start_time", F.col("o_orderkey"))
+
+    def attempt(tasks, n):
+        failed = (F.col("start_time") * 31 + n * 17) % 5 < 2
+        messages = F.array(*(F.lit(m) for m in _MESSAGES))
+        return tasks.filter(failed).withColumn("message", F.element_at(messages, ((F.col("start_time") + n) % len(_MESSAGES) + 1).cast("int")))
+
+    ended = P.retry_rounds(keyed, attempt, root, wait=waits.append)
+    starts = failures.select(F.col("o_orderkey").alias("_key"), F.col("start_time").alias("_start"))
+    return ended.join(starts, ended["start_time"] == starts["_key"]).select(
+        "symbol", "period", F.col("_start").alias("start_time"), "retries", "message", "state", "waited_s"
+    )
+
+
 # --- plans ----------------------------------------------------------------------------------
 
 _NOW = 1_900_000_000_123
@@ -428,9 +465,9 @@ FROM ({local}) l FULL OUTER JOIN ({remote}) r USING (symbol, period, open_time)"
 _SQL_AUDIT = _sql_compare(_SQL_LOCAL, _BARS)
 
 
-def _flat(compared):
+def _flat(compared, *more):
     return compared.select(
-        *S.KEY, F.col("local.close").alias("local_close"), F.col("remote.close").alias("remote_close"), "outcome"
+        *more, *S.KEY, F.col("local.close").alias("local_close"), F.col("remote.close").alias("remote_close"), "outcome"
     )
 
 
@@ -473,6 +510,26 @@ def audit_cycle(spark, sf_dir):
     return _flat(A.audit_cycle(local, remote, _AUDIT_NOW, trailing_ms=86_400_000))
 
 
+_CYCLES = "(SELECT unnest(range(1705500040000, 1705500040000 + 300 * 60000, 60000)) AS cycle_ms)"
+_CYCLE_SIDE = f"""SELECT c.cycle_ms, b.* FROM ({{side}}) b JOIN (SELECT period, ms FROM {I.PERIOD_ROWS}) USING (period) JOIN {_CYCLES} c
+  ON open_time >= c.cycle_ms - 1800000 AND open_time + ms - 1 < (c.cycle_ms // 60000 - 1) * 60000"""
+
+
+@_register("SELECT cycle_ms, " + _sql_compare(_CYCLE_SIDE.format(side=_SQL_LOCAL), _CYCLE_SIDE.format(side=_BARS))[7:].replace(
+    "USING (symbol, period, open_time)", "USING (cycle_ms, symbol, period, open_time)") + " WHERE outcome <> 'match'")
+def audit_schedule(spark, sf_dir):
+    """A cycle each minute over five hours, each over the last half hour, in several batches of which one repeats ticks."""
+    root = f"{shared_dir(spark)}/audits-{uuid.uuid4().hex}"
+    for begin, end in ((0, 120), (100, 220), (220, 300)):
+        ticks = spark.range(begin, end, numPartitions=1).select((F.col("id") * 60_000 + 1_705_500_040_000).alias("tick_ms"))
+        ticks.write.mode("append").parquet(f"{root}/ticks")
+    stream = spark.readStream.schema("tick_ms bigint").option("maxFilesPerTrigger", 1).parquet(f"{root}/ticks")
+    local, remote = (stored(x) for x in _local_remote(spark, sf_dir))
+    A.start_audits(stream, root, lambda _: local, lambda _: remote, availableNow=True).awaitTermination()
+    differences, _ = A.reports(spark, root)
+    return _flat(differences, "cycle_ms")
+
+
 _SQL_LAST = f"SELECT symbol, period, max(open_time) AS last_open_time FROM ({{bars}}) GROUP BY ALL"
 
 
