@@ -252,23 +252,29 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     first = digests.withColumns({f"s_{c}": sketch(F.col(c)) for c in ("own", "changed", "following")})
     first = first.withColumns({f"p_{c}": peel(subtract(F.col("s_own"), F.col(f"s_{c}"))) for c in ("changed", "following")})
-    kept = ["id", "n_chars", "edited_sha256", "own", "changed", "following", "row"]
+    # an edited text begins as the text does: only what stands behind the paragraphs they share is stored
+    parted = F.array_position(F.zip_with("own", "changed", lambda a, b: a.eqNullSafe(b)), False)
+    shared = F.when(parted == 0, F.size("own")).otherwise(parted - 1).cast("int")
+    rest = lambda digests: F.slice(digests, F.col("shared") + 1, F.size(digests))
+    first = first.withColumn("shared", shared)
     stored = by_row(first.select(
-        *kept,
+        "id", "n_chars", "edited_sha256", "own", rest("changed").alias("changed"), "shared", "following", "row",
         fingerprint_text(F.col("s_own")).alias("fingerprint"),
         fingerprint_text(F.col("s_changed")).alias("edited_fingerprint"),
         *[F.size(f"p_{c}.got").alias(f"d_{c}") for c in ("changed", "following")],
         *[(~is_empty(F.col(f"p_{c}.cells"))).alias(f"failed_{c}") for c in ("changed", "following")],
     ))
-    larger = larger_sketches(stored, [("own", "changed", "failed_changed"), ("own", "following", "failed_following")])
+    sides = stored.withColumn("own_rest", rest("own"))
+    larger = larger_sketches(sides, [("own_rest", "changed", "failed_changed"), ("own", "following", "failed_following")])
     side = lambda i: F.max(F.when(F.col("pair") == i, F.col("d"))).alias(f"larger_{i}")
     out = stored.join(larger.groupBy("row").agg(side(0), side(1)), "row", "left")
 
-    def near(i: int, other: str) -> Column:
+    def near(i: int, other: str, size: Column) -> Column:
         differing = F.when(F.col(f"failed_{other}"), F.col(f"larger_{i}")).otherwise(F.col(f"d_{other}"))
-        return likeness(F.size("own"), F.size(other), differing)
+        return likeness(F.size("own"), size, differing)
 
     return out.select(
         "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        near(0, "changed").alias("near_edited"), near(1, "following").alias("near_next"),
+        near(0, "changed", F.col("shared") + F.size("changed")).alias("near_edited"),
+        near(1, "following", F.size("following")).alias("near_next"),
     )
