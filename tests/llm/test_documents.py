@@ -177,6 +177,22 @@ def test_suffix_dedup_of_random_strings(spark):
         assert r.n_removed == sum(gone)
 
 
+def test_planted_passages(spark):
+    """Passages of over 50 words and 400 bytes go wherever they stand; what is shorter than 400 bytes stays, by the contract."""
+    long, short = [sentence(700 + k, 60) for k in range(3)], [" ".join("ab cd ef".split() * 17 + [f"k{k}"]) for k in range(2)]
+    assert all(len(x) >= 400 for x in long) and all(len(x.split()) > 50 and len(x) < 200 for x in short)
+    rows = [(i, f"{sentence(i, 9)} [{long[i % 3]}] {sentence(i + 40, 9)} ({short[i % 2]})", "s") for i in range(12)]
+    rows += [(100 + i, sentence(900 + i, 80), "clean") for i in range(12)]
+    got = {r.d.doc_id: r for r in suffixdedup.without_repeats(documents(spark, rows)).collect()}
+    starts = collections.Counter(t[k : k + 400] for _, t, _ in rows for k in range(len(t) - 399))
+    for i, text, source in rows:
+        gone = {k + j for k in range(len(text) - 399) if starts[text[k : k + 400]] > 1 for j in range(400)}
+        assert (got[i].n_removed, got[i].n_spans) == (len(gone), source == "s")
+        if source == "s":
+            at = text.index(long[i % 3])
+            assert gone.issuperset(range(at, at + len(long[i % 3]))) and not gone & set(range(text.index(short[i % 2]), len(text) - 1))
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffixdedup.without_repeats(none).count() == 0
 

@@ -59,7 +59,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without strings of 400 bytes that start elsewhere too."""
     judged = suffixdedup.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select(F.col("d.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    kept = (F.col("n_bytes") - F.col("n_removed")).alias("n_kept")
+    return judged.select(F.col("d.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
