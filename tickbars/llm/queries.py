@@ -166,21 +166,17 @@ WITH l AS (
   SELECT *, trim(line, ' ') <> '' AS is_full FROM l
 ), f AS (
   SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM full_lines WHERE is_full
-), w AS (
-  SELECT doc_id, n, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM f
 ), again AS (
-  SELECT doc_id, n, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, n) AS k FROM w WHERE b IS NOT NULL
-), later AS (
-  SELECT doc_id, n FROM again WHERE k > 1
+  SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k FROM f
 ), gone AS (
-  SELECT DISTINCT doc_id, n + o.o AS n FROM later, (VALUES (0), (1)) AS o(o)
+  SELECT doc_id, n FROM again WHERE k > 1
 ), marked AS (
   SELECT x.doc_id, x.i, x.line, x.is_full, f.n, g.n IS NOT NULL AS is_gone
   FROM full_lines x LEFT JOIN f ON x.doc_id = f.doc_id AND x.i = f.i LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.n = g.n
 ), runs AS (
   SELECT doc_id, count(*) AS n_runs FROM (
-    SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM later
-  ) WHERE before IS NULL OR n > before + 2 GROUP BY doc_id
+    SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM gone
+  ) WHERE before IS NULL OR n > before + 1 GROUP BY doc_id
 )
 SELECT m.doc_id, count(*) FILTER (is_full) AS n_lines, count(*) FILTER (is_gone) AS n_removed,
        coalesce(any_value(r.n_runs), 0) AS n_runs,
