@@ -38,10 +38,16 @@ def chunk_of(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS) -> Column:
     One aggregate counts the rows, a second one finds the borders at quantiles. A row looks its
     chunk up by bisection, so the borders cost log2 of their number.
     """
+    found = _chunks(df, order, chunk_rows)
+    return F.lit(0).cast("bigint") if found is None else found
+
+
+def _chunks(df: DataFrame, order: str, chunk_rows: int) -> Column | None:
+    """As :func:`chunk_of`, or None if all rows share one chunk."""
     rows = df.select(F.count(order)).first()[0]
     n = min(MAX_CHUNKS, -(-rows // chunk_rows))
     if n <= 1:
-        return F.lit(0).cast("bigint")
+        return None
     shares = [i / n for i in range(1, n)]
     borders = sorted(set(df.select(F.percentile_approx(order, shares, max(10_000, 4 * n))).first()[0]))
     held = F.array(*(F.lit(b) for b in borders))
@@ -69,7 +75,16 @@ def running(
     ``sum``. A max or min with no earlier value is null, a sum is 0. ``keys`` may be empty.
     Key values must not be null.
     """
-    chunked = df.select("*", chunk_of(df, order, chunk_rows).alias("_chunk"))
+    upto = Window.currentRow if inclusive else -1
+    chunk = _chunks(df, order, chunk_rows)
+    if chunk is None:  # few rows: a plain window is the same
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
+        at_once = {
+            out: F.coalesce(_AGG[kind](src).over(whole), F.lit(0)) if kind == "sum" else _AGG[kind](src).over(whole)
+            for out, (kind, src) in outputs.items()
+        }
+        return df.select(*(F.col(c) for c in df.columns), *(c.alias(out) for out, c in at_once.items()))
+    chunked = df.select("*", chunk.alias("_chunk"))
     on = [*keys, "_chunk"]
 
     totals = chunked.groupBy(*on).agg(
@@ -81,7 +96,6 @@ def running(
         *(_AGG[kind](f"_t_{out}").over(before).alias(f"_p_{out}") for out, (kind, _) in outputs.items()),
     )
 
-    upto = Window.currentRow if inclusive else -1
     local = Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
     return (
         chunked.join(prefix, on, "inner")
@@ -105,8 +119,11 @@ def previous(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add the value of the row just before in arrival order, with the same chunking."""
+    chunk = _chunks(df, order, chunk_rows)
+    if chunk is None:
+        return df.select("*", F.lag(value).over(Window.partitionBy(*keys).orderBy(order)).alias(out))
     on = [*keys, "_chunk"]
-    chunked = df.select("*", chunk_of(df, order, chunk_rows).alias("_chunk"))
+    chunked = df.select("*", chunk.alias("_chunk"))
     last = chunked.groupBy(*on).agg(F.max_by(value, order).alias("_last"))
     carry = last.select(*on, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
     local = Window.partitionBy(*on).orderBy(order)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickbars.functions.periods import DAY_MS
 from tickbars.functions.timefns import bar_open
 from tickbars.operators.bars import build_bars
 from tickbars.operators.running import numbered
@@ -87,7 +86,9 @@ def symbol_index(symbols: DataFrame, daily_bars: DataFrame, now_ms: int) -> Data
     timed = symbols.join(first, "symbol", "left").select(
         "symbol", F.coalesce("_first", F.lit(now_ms)).alias("listed_ms")
     )
-    ranked = numbered(timed, ["listed_ms", "symbol"], F.floor(F.col("listed_ms") / F.lit(DAY_MS)), "_n")
+    # symbols without bars share one time, so the beginning of the name parts them
+    chunk = F.struct("listed_ms", F.substring("symbol", 1, 2))
+    ranked = numbered(timed, ["listed_ms", "symbol"], chunk, "_n")
     return ranked.select("symbol", "listed_ms", (F.col("_n") - 1).alias("symbol_index"))
 
 

@@ -12,7 +12,7 @@ from tickbars.functions.errors import classify_error, error_kind
 from tickbars.functions.periods import PERIODS
 from tickbars.functions.timefns import bar_open_by, history_start, ms_of
 from tickbars.operators.bars import BAR_KEY
-from tickbars.sinks.store import last_wins
+from tickbars.sinks.store import best_per_key, last_wins
 from tickbars.sources.wire import numeric_bars, parse_rest_bars
 
 # Bars per request, retries per task, longest back-off.
@@ -203,8 +203,8 @@ def most_active(totals: DataFrame, n: int) -> DataFrame:
 
 def latest_bar_refresh(grid: DataFrame, bars: DataFrame) -> DataFrame:
     """The newest bar of every wanted series, ready to be stored again each minute."""
-    newest = bars.groupBy("symbol", "period").agg(F.max("open_time").alias("open_time"))
-    return bars.join(newest, list(BAR_KEY), "left_semi").join(grid, ["symbol", "period"], "left_semi")
+    newest = best_per_key(bars, ("symbol", "period"), [F.col("open_time").desc()])
+    return newest.join(grid, ["symbol", "period"], "left_semi")
 
 
 def from_rest_files(spark: SparkSession, path: str) -> DataFrame:

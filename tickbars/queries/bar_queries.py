@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickbars.functions.periods import PERIODS
 from tickbars.operators import bars as B
 from tickbars.queries import inputs as I
+from tickbars.sinks import store as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -169,8 +170,7 @@ def _halves(spark, sf_dir):
 
 
 def _latest(bars):
-    newest = bars.groupBy("symbol", "period").agg(F.max("open_time").alias("open_time"))
-    return bars.join(newest, ["symbol", "period", "open_time"], "left_semi")
+    return S.latest_per_series(bars)
 
 
 def bars_seeded(spark, sf_dir):
