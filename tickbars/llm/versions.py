@@ -244,7 +244,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digests = texts.select(
         "id",
         n.cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("edited_sha256"),
         paragraph_digests(F.col("text"), ends).alias("own"),
         paragraph_digests(F.col("edited"), ends).alias("changed"),
         paragraph_digests(F.col("next"), ends).alias("following"),
@@ -259,8 +259,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = first.withColumn("shared", shared)
     stored = by_row(first.select(
         "id", "n_chars", "edited_sha256", "own", rest("changed").alias("changed"), "shared", "following", "row",
-        fingerprint_text(F.col("s_own")).alias("fingerprint"),
-        fingerprint_text(F.col("s_changed")).alias("edited_fingerprint"),
+        F.unhex(fingerprint_text(F.col("s_own"))).alias("fingerprint"),
+        F.unhex(fingerprint_text(F.col("s_changed"))).alias("edited_fingerprint"),
         *[F.size(f"p_{c}.got").alias(f"d_{c}") for c in ("changed", "following")],
         *[(~is_empty(F.col(f"p_{c}.cells"))).alias(f"failed_{c}") for c in ("changed", "following")],
     ))
@@ -273,8 +273,9 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         differing = F.when(F.col(f"failed_{other}"), F.col(f"larger_{i}")).otherwise(F.col(f"d_{other}"))
         return likeness(F.size("own"), size, differing)
 
+    text = lambda c: F.lower(F.hex(c)).alias(c)
     return out.select(
-        "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"),
         near(0, "changed", F.col("shared") + F.size("changed")).alias("near_edited"),
         near(1, "following", F.size("following")).alias("near_next"),
     )
