@@ -151,6 +151,26 @@ def test_loops_leave_sound_traces_alone(spark):
     assert len(got) == 9 and got["c8"] == " > ".join(f"n{i}" for i in range(9))
 
 
+def test_paths_keep_to_counted_partitions(spark, monkeypatch):
+    """Rows that take few bytes in a shuffle are still dealt to partitions by their number, and names that are missing add nothing."""
+    monkeypatch.setattr(SP, "PART_ROWS", 100)
+    rows = [(f"{g}-{i}", f"{g}-{i - 1}" if i else None, None if i == 2 else "n") for g in range(40) for i in range(20)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    paths, loops = SP.resolve(spark.createDataFrame(rows, "span_id string, parent_id string, name string"))
+    per_file = paths.groupBy(F.input_file_name().alias("f")).count().agg(F.max("count")).first()[0]
+    assert per_file < 300 and loops.count() == 0 and paths.count() == 800
+    got = {r.span_id: r.span_path for r in paths.collect()}
+    assert got["3-1"] == "n > n" and got["3-2"] == "n > n" and got["3-19"] == " > ".join(["n"] * 19)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_loops_are_found_without_paths(spark):
+    rows = [("a", "b", "a"), ("b", "a", "b"), ("c", "a", "c"), ("d", None, "d"), ("e", "d", "e")]
+    paths, loops = SP.resolve(spark.createDataFrame(rows, "span_id string, parent_id string, name string"), with_paths=False)
+    assert paths.columns == ["span_id", "root_id"] and {tuple(r) for r in paths.collect()} == {("d", "d"), ("e", "d")}
+    assert {r.span_id for r in loops.collect()} == {"a", "b", "c"}
+
+
 def test_last_record_of_an_id_counts(spark):
     rows = [(i, f"{i // 2}", "t", "tx1") for i in range(5000)]
     s = spark.createDataFrame(rows, "seq bigint, id string, trace_id string, tx string")

@@ -6,53 +6,72 @@ level, message, attributes``; events outside any span have no ``span_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickbars.session import use_checkpoints
+from tickbars.session import parts, shared_dir, stored
 
 SEPARATOR = " > "
 
+#: Rows of a partition. Paths repeat each other and take few bytes in a shuffle but many in memory, so
+#: partitions are counted by rows.
+PART_ROWS = 100_000
+
 
-def resolve(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve(spans: DataFrame, with_paths: bool = True) -> tuple[DataFrame, DataFrame]:
     """Paths of spans (``span_id, root_id, span_path``: names from root to leaf), and the
-    ``span_id`` of those whose parents form a loop, which have none.
+    ``span_id`` of those whose parents form a loop, which have none. Without ``with_paths``, no
+    ``span_path``.
 
     Every round joins each unfinished row with the row it points at, which doubles the part
     of the path that is known. A round in which none is finished leaves loops and what hangs on
     them: a longer chain would have had one of every shorter length. Rows whose parent is not
     there count as roots. The rows point at unique span ids, so a parent with very many
-    children only skews the unfinished side, which adaptive execution splits.
+    children only skews the unfinished side, which adaptive execution splits. A round writes the
+    rows it moved to a table of its own, and finished ones stay where they are.
     """
-    use_checkpoints(spans.sparkSession)
-    state = spans.select(
-        "span_id",
-        F.col("parent_id").alias("_up"),
-        F.col("span_id").alias("root_id"),
-        F.array("name").alias("_names"),
-    ).checkpoint()
-    open_rows = state.filter(F.col("_up").isNotNull()).count()
+    spark, root = spans.sparkSession, f"{shared_dir(spans.sparkSession)}/tables/paths-{uuid.uuid4().hex}"
+    path = [F.col("name").cast("string").alias("_path")] if with_paths else []
+    first = spans.select("span_id", F.col("parent_id").alias("_up"), F.col("span_id").alias("root_id"), *path)
+    first.write.parquet(f"{root}/0")
+    schema = spark.read.parquet(f"{root}/0").schema
+    table = lambda n: spark.read.schema(schema).parquet(f"{root}/{n}")
+    is_open = F.col("_up").isNotNull()
+    done, now = [], table(0)
+    rows, open_rows, n = now.count(), now.filter(is_open).count(), 0
     while open_rows:
-        todo = state.filter(F.col("_up").isNotNull())
+        state = reduce(DataFrame.unionByName, [*done, now])
         above = state.select(
             F.col("span_id").alias("_up"),
             F.col("_up").alias("_next"),
             F.col("root_id").alias("_root"),
-            F.col("_names").alias("_above"),
+            *([F.col("_path").alias("_above")] if with_paths else []),
         )
-        moved = todo.join(above, "_up", "left").select(
+        moved = now.filter(is_open).join(above.hint("merge"), "_up", "left").select(
             "span_id",
             F.col("_next").alias("_up"),
             F.coalesce("_root", "root_id").alias("root_id"),
-            F.concat(F.coalesce("_above", F.array().cast("array<string>")), "_names").alias("_names"),
+            *([_joined(F.col("_above"), F.col("_path")).alias("_path")] if with_paths else []),
         )
-        state = state.filter(F.col("_up").isNull()).unionByName(moved).checkpoint()
-        before, open_rows = open_rows, state.filter(F.col("_up").isNotNull()).count()
+        with parts(spark, -(-rows // PART_ROWS)):
+            moved.write.parquet(f"{root}/{n + 1}")
+        done.append(now.filter(~is_open))
+        n, now = n + 1, table(n + 1)
+        before, open_rows = open_rows, now.filter(is_open).count()
         if open_rows == before:
             break
-    done = F.col("_up").isNull()
-    paths = state.filter(done).select("span_id", "root_id", F.array_join("_names", SEPARATOR).alias("span_path"))
-    return paths, state.filter(~done).select("span_id")
+    done.append(now.filter(~is_open))
+    found = [F.coalesce("_path", F.lit("")).alias("span_path")] if with_paths else []
+    paths = reduce(DataFrame.unionByName, done).select("span_id", "root_id", *found)
+    return paths, now.filter(is_open).select("span_id")
+
+
+def _joined(above: Column, below: Column) -> Column:
+    """Two parts of a path; a span without a name adds nothing."""
+    return F.when(above.isNull(), below).when(below.isNull(), above).otherwise(F.concat(above, F.lit(SEPARATOR), below))
 
 
 def ancestry(spans: DataFrame) -> DataFrame:
@@ -62,7 +81,7 @@ def ancestry(spans: DataFrame) -> DataFrame:
 
 def parent_loops(spans: DataFrame) -> DataFrame:
     """``span_id`` of spans that have no root, as their parents form a loop."""
-    return resolve(spans)[1]
+    return resolve(spans, with_paths=False)[1]
 
 
 def build_spans(records: DataFrame) -> DataFrame:
@@ -89,10 +108,13 @@ def build_spans(records: DataFrame) -> DataFrame:
         )
         .filter(F.col("start_ms").isNotNull())
     )
+    spans = stored(spans)
+    n = -(-spans.count() // PART_ROWS) or 1
     roots = ancestry(spans.select("span_id", "parent_id", "name"))
     closed = (
         spans.filter(F.col("end_ms").isNotNull())
-        .join(roots, "span_id")
+        .repartition(n, "span_id")
+        .join(roots.repartition(n, "span_id").hint("merge"), "span_id")
         .select(
             F.col("span_id").alias("id"),
             F.col("root_id").alias("trace_id"),
