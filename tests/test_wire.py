@@ -116,6 +116,17 @@ def test_add_and_remove_while_trading(spark):
     assert sorted((r.symbol, r.epoch, r.open, r.close) for r in bars) == [("A", 10, 11.0, 19.0), ("A", 30, 31.0, 40.0)]
 
 
+def test_trades_do_not_meet_all_spans_of_their_symbol(spark):
+    ids = spark.range(3000)
+    commands = ids.select(F.lit("A").alias("symbol"), (F.col("id") * 3).alias("seq"), F.when(F.col("id") % 3 < 2, "add").otherwise("remove").alias("kind"))
+    trades = ids.select(F.lit("A").alias("symbol"), F.explode(F.array(*(F.col("id") * 3 + i for i in range(3)))).alias("seq"))
+    found = U.managed_trades(trades, U.lifetimes(commands))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    # the trade that is a command itself does not count
+    want = [(i * 3 + k, i * 3) for i in range(3000) if i % 3 < 2 for k in (1, 2)]
+    assert sorted((r.seq, r.epoch) for r in found.collect()) == want
+
+
 def test_stream_names(spark):
     r = spark.range(1).select(wire.stream_name(F.lit("BTCUSDT")).alias("n"), wire.symbol_of_stream(F.lit("btcusdt@aggTrade")).alias("s")).first()
     assert (r.n, r.s) == ("btcusdt@aggTrade", "BTCUSDT")
