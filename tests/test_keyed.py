@@ -4,6 +4,7 @@ import random
 import uuid
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from test_bars import folded, random_rows, tape
 from test_stream import PERIODS, stream_of, write_in_parts
 from tickbars.operators import bars as B
 from tickbars.operators import universe as U
+from tickbars.queries import stream_queries as SQ
 from tickbars.streaming import jobs, keyed
 
 DRAIN = {"availableNow": True}
@@ -52,6 +54,28 @@ def test_a_busy_symbol_is_a_few_runs(spark):
     assert found.agg(F.sum("trade_count")).first()[0] == len(rows)
 
 
+def test_runs_of_a_symbol_are_handled_some_at_a_time():
+    n = 3 * keyed.AT_ONCE + 5
+    whole = pd.DataFrame({"kind": "trade", "symbol": "a", "first_seq": [(i * 7919) % n for i in range(n)], "close": 1.0})
+    parts = list(keyed._in_order(iter([whole[:n // 2], whole[n // 2 :]])))
+    assert [len(p) for p in parts] == [keyed.AT_ONCE] * 3 + [5] and "symbol" not in parts[0]
+    assert [x for p in parts for x in p["first_seq"]] == list(range(n))
+    assert parts[0].to_dict("records")[0] == {"kind": "trade", "first_seq": 0, "close": 1.0}
+
+
+@pytest.mark.parametrize("name", ["keyed_bars_clock", "stream_bars_clock"])
+def test_long_tapes_have_more_batches_of_several_files(spark, monkeypatch, tmp_path, name):
+    from oracle import compare, connect
+
+    sf_dir = "/root/testdata/sf0.001"
+    monkeypatch.setattr(SQ, "_BATCH_ROWS", 200)
+    monkeypatch.setattr(SQ, "_FILE_ROWS", 60)
+    monkeypatch.setattr(SQ, "_root", lambda _: str(tmp_path))
+    assert compare(spark, connect(sf_dir), name, SQ.QUERIES[name], SQ.SQL[name], sf_dir) is None
+    folder = tmp_path / ("events" if name.startswith("keyed") else "tape")
+    assert len(list(folder.glob("*.parquet"))) == 5 * 4
+
+
 def commands_and_trades(seed):
     rng = random.Random(seed)
     rows, seq = [], 0

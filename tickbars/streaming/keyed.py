@@ -34,6 +34,9 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 #: Arrival positions that are folded in one task.
 STRETCH = 1 << 16
 
+#: Runs that are handled as Python objects at once; closed bars are handed out after each such number.
+AT_ONCE = 20_000
+
 #: One row of the input. ``kind`` is trade, add, remove or tick. ``price`` of an add is the ticker's close and ``ts_ms`` its
 #: time; without a price, the symbol's bars begin with its first trade.
 EVENT_SCHEMA = (
@@ -123,6 +126,15 @@ def _bar_start(ts: int, period: str) -> int:
     return ts - (ts + shift) % period_ms(period)
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of one symbol by their first arrival, some at a time: until then they are columns without texts."""
+    kinds = pd.CategoricalDtype(["trade", "add", "remove"])
+    together = pd.concat([r.drop(columns="symbol").astype({"kind": kinds}) for r in rows], ignore_index=True)
+    order = np.argsort(together["first_seq"].to_numpy(), kind="stable")
+    for at in range(0, len(order), AT_ONCE):
+        yield together.iloc[order[at : at + AT_ONCE]]
+
+
 class Bars(StatefulProcessor):
     """The open bars of a symbol (``bars``, by period) and where it stands (``standing``).
 
@@ -170,9 +182,10 @@ class Bars(StatefulProcessor):
         elif self._standing.exists():
             self._standing.clear()
 
-    def _results(self, symbol: str) -> Iterator[pd.DataFrame]:
-        rows = [(symbol, *row) for row in self._closed]
-        rows += [(symbol, self._epoch, p, None, *[None] * len(_VALUES), None, None, n) for p, n in self._late.items() if n]
+    def _results(self, symbol: str, with_late: bool = True) -> Iterator[pd.DataFrame]:
+        rows, self._closed = [(symbol, *row) for row in self._closed], []
+        if with_late:
+            rows += [(symbol, self._epoch, p, None, *[None] * len(_VALUES), None, None, n) for p, n in self._late.items() if n]
         if rows:
             columns = ["symbol", "epoch", "period", "open_time", *_VALUES, "until_ms", "is_final", "late"]
             frame = pd.DataFrame(rows, columns=columns)
@@ -227,24 +240,28 @@ class Bars(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self._load()
-        together = pd.concat(list(rows), ignore_index=True).sort_values("first_seq", kind="stable")
-        for run in together.to_dict("records"):
-            if run["kind"] in ("add", "remove"):
-                self._end()
-                if run["kind"] == "add":
-                    self._add(run)
-                continue
-            if run["kind"] != "trade" or self._managed and not self._known:
-                continue
-            self._known = True
-            if self._since is None:
-                self._since = run["first_ms"]
-            elif self._grace is not None and self._last_tick(run["first_ms"]) > self._since:
-                self._tick(self._last_tick(run["first_ms"]))
-            self._trades(run)
+        for together in _in_order(rows):
+            for run in together.to_dict("records"):
+                self._run(run)
+            yield from self._results(key[0], with_late=False)
         self._save()
         yield from self._results(key[0])
 
+    def _run(self, run: dict) -> None:
+        if run["kind"] in ("add", "remove"):
+            self._end()
+            if run["kind"] == "add":
+                self._add(run)
+            return
+        if run["kind"] != "trade" or self._managed and not self._known:
+            return
+        self._known = True
+        if self._since is None:
+            self._since = run["first_ms"]
+        elif self._grace is not None and self._last_tick(run["first_ms"]) > self._since:
+            self._tick(self._last_tick(run["first_ms"]))
+        self._trades(run)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._load()
         tick = self._last_tick(timerValues.getCurrentWatermarkInMs())
