@@ -455,6 +455,29 @@ def test_edits_of_all_kinds_are_candidates(spark):
     assert not any(bands[2 * i] & bands[2 * i + 2] for i in range(len(pairs) - 1))
 
 
+def test_keys_of_candidates_are_parts_of_the_simhash(spark):
+    pairs = copies_at_the_limit(60)
+    rows = [(i, t, "s") for i, t in enumerate([x for p in pairs for x in p[1:]] + ["one two three four five six seven"])]
+    for width in (20, 26):
+        parts = simhash.parts_of(width)
+        held = documents(spark, rows).select("doc_id", simhash.wide_fingerprints(F.col("text"), width).alias("w")).collect()
+        bands = {}
+        for r in held:
+            bits = "".join(format(x % 2**64, "064b")[::-1] for x in r.w.shingles)
+            want = [k << 48 | int(bits[k * width : (k + 1) * width][::-1], 2) for k in range(parts)]
+            bands[r.doc_id] = set(r.w.bands)
+            assert r.w.bands == (want if r.w.n >= 4 else [])
+        assert not any(bands[2 * i].isdisjoint(bands[2 * i + 1]) for i in range(len(pairs)))
+    assert simhash.width_for(212_367) == 20 and simhash.width_for(15_000_000) == 26
+
+
+def test_near_copies_of_few_shingles(spark):
+    words = lambda i, n: " ".join(f"t{i}x{k}" for k in range(n))
+    rows = [(2 * i + j, words(i, 8 + j), "s") for i in range(200) for j in range(2)] + [(1000 + i, words(i, 7), "s") for i in range(200)]
+    kept = {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()}
+    assert kept == {2 * i for i in range(200)} | {1000 + i for i in range(200)}
+
+
 def mixed_copies():
     """Texts whose edits leave similarities from 0.6 to 1, alone and in a large group that no single text links."""
     rnd = random.Random(11)

@@ -244,43 +244,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE_SHINGLE = 5
 ALIKE = 0.8
 
-#: Bits of the shingles' SimHash, and of these that a candidate may differ in: at similarity 0.8 about
-#: 39 are expected, with a deviation of 6.
+#: Bits of the shingles' SimHash that are compared, and of these that a candidate may differ in: at
+#: similarity 0.8 about 39 are expected, with a deviation of 6.
 SHINGLE_BITS = 256
 WIDE_DIFFER = 88
 
-#: Bands of MinHashes of the shingles, and MinHashes of a band. Texts of Jaccard similarity j share
-#: none with a chance of (1 - j ** BAND) ** BANDS, which is 6 in 100,000 at 0.8.
-BANDS = 32
-BAND = 6
+#: Bits that a candidate may differ in of the first 64, which go along with each key: 10 are expected, with a deviation of 3.
+WORD_DIFFER = 22
 
-#: Seeds lie far apart, as digests of short words under neighbouring seeds are alike.
-_SEED_STEP = 0x9E3779B97F4A7C15
+#: Candidates agree on a part of the SimHash. Bits of texts of similarity j differ with a chance of
+#: acos(2 * j / (1 + j)) / pi; there are as many parts as it takes for texts at ALIKE to agree on none with a
+#: chance of MISS. A part has SPARE more bits than number the texts, NARROW at least.
+MISS = 0.001
+WIDTH = 20
+NARROW = 16
+SPARE = 2
 
-#: What the MinHashes mix a digest with, an odd factor each.
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[0], [1]], np.uint64)
+#: Fewer shingles than this have no near copy but an equal one. One shingle more may leave as many, and then a sixth of the
+#: bits and more differ: such texts share a key of LEAST shingles as well.
+LEAST = math.ceil(ALIKE / (1 - ALIKE) - 1e-9)
+
+#: What the bits of a SimHash mix a digest with, an odd factor for each word.
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 512), np.uint64) | np.array([[0], [1]], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 #: Members of a bucket that are paired at once, and of one that is compared in blocks.
 FEW = 8
 BLOCK = 1024
 
 
-def wide_fingerprints(text: Column) -> Column:
-    """Of a text's distinct five-word shingles: n, a digest of them all, their SimHash and the keys of their bands."""
+def parts_of(width: int) -> int:
+    """Parts of so many bits that it takes to find texts of similarity ALIKE."""
+    agree = (1 - math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi) ** width
+    return math.ceil(math.log(MISS) / math.log1p(-agree))
+
+
+def width_for(n: int) -> int:
+    """Bits of a part where there are n texts, so that unlike ones seldom agree on it."""
+    return max(NARROW, max(1, n - 1).bit_length() + SPARE)
+
+
+def wide_fingerprints(text: Column, width: int = WIDTH) -> Column:
+    """Of a text's distinct five-word shingles: n, a digest of them all, their SimHash and the keys of its parts."""
+    wide = wide_simhash(text, width)
+    keys = part_keys(wide["n"], wide["shingles"], wide["few"], width)
+    return F.struct(wide["n"].alias("n"), wide["digest"].alias("digest"), wide["shingles"].alias("shingles"), keys.alias("bands"))
 
-    @F.pandas_udf("n int, digest binary, shingles array<long>, bands array<long>")
+
+def wide_simhash(text: Column, width: int = WIDTH) -> Column:
+    """Of a text's distinct five-word shingles: n, a digest of them all, their SimHash and, of few shingles, the keys."""
+    words = max(SHINGLE_BITS, parts_of(width) * width) // BITS + 1
+
+    @F.pandas_udf("n int, digest binary, shingles array<long>, few array<long>")
     def fingerprints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_wide(t) for t in texts], columns=["n", "digest", "shingles", "bands"])
+        return pd.DataFrame([_wide(t, words) for t in texts], columns=["n", "digest", "shingles", "few"])
 
     return fingerprints(F.coalesce(text, F.lit("")))
 
 
-def _wide(text: str) -> tuple[int, bytes, np.ndarray, np.ndarray]:
+def _wide(text: str, words: int) -> tuple[int, bytes, np.ndarray, list[int]]:
     from xxhash import xxh3_128_digest as digest
 
-    shingles = _shingles(text)
-    hashes = _shingle_hashes(shingles)
-    return len(hashes), digest(hashes.tobytes()), _wide_bits(shingles, SHINGLE_BITS), _bands(hashes)
+    hashes = _shingle_hashes(_shingles(text))
+    return len(hashes), digest(hashes.tobytes()), _wide_bits(hashes, words), _few_keys(hashes)
+
+
+def part_keys(n: Column, bits: Column, few: Column, width: int = WIDTH) -> Column:
+    """A key for each part of a SimHash, from the highest bits of which the part's number can be told; and the keys of few shingles.
+
+    Texts that have no near copy but equal ones have none.
+    """
+    parts = parts_of(width)
+
+    @F.pandas_udf("array<long>")
+    def keys(ns: pd.Series, sketches: pd.Series) -> pd.Series:
+        place, out = np.int64(1) << np.arange(width, dtype=np.int64), []
+        for n, words in zip(ns, sketches, strict=True):
+            if n < LEAST:
+                out.append(np.zeros(0, np.int64))
+                continue
+            held = np.unpackbits(np.ascontiguousarray(words, np.int64).view(np.uint8), bitorder="little")
+            values = held[: parts * width].reshape(parts, width) @ place
+            out.append(np.arange(parts, dtype=np.int64) << 48 | values)
+        return pd.Series(out, dtype=object)
+
+    return F.concat(keys(n, bits), few)
+
+
+def _few_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of all LEAST of a few hashes, negative ones, so that they are none of a part."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    if not LEAST <= len(hashes) <= LEAST + 1:
+        return []
+    return [(digest(np.array(c, np.uint64).tobytes()) >> 1) - (1 << 63) for c in combinations(hashes.tolist(), LEAST)]
 
 
 def _shingles(text: str) -> set[bytes]:
@@ -296,36 +353,21 @@ def _shingle_hashes(shingles: set[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(map(digest, shingles), np.uint64, len(shingles)))
 
 
-def _bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of MinHashes; none without hashes."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    seeds, factors = _MIX
-    least = np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
-    for part in np.array_split(hashes, len(hashes) // 4096 + 1):
-        mixed = (part[:, None] ^ seeds) * factors
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
-    return np.array([digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND))], np.uint64).view(np.int64)
-
-
-def _wide_bits(items: set[bytes], bits: int) -> np.ndarray:
-    from xxhash import xxh3_128_digest as digest
-
-    ones, held, seeds = np.zeros(bits, np.int64), [], [_SEED_STEP * i % (1 << 64) for i in range(bits // 128)]
-    for item in items:
-        held.append(b"".join(digest(item, seed) for seed in seeds))
-        if len(held) == 1 << 14:
-            ones, held = ones + _bit_sums(held), []
-    if held:
-        ones = ones + _bit_sums(held)
-    return np.packbits(ones * 2 > len(items), bitorder="little").view(np.int64)
-
-
-def _bit_sums(digests: list[bytes]) -> np.ndarray:
-    bits = np.frombuffer(b"".join(digests), np.uint8).reshape(len(digests), -1)
-    return np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
+def _wide_bits(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of distinct hashes, sorted. Where as many have a bit as have not, the least of them decides."""
+    seeds, factors = _MIX[:, :words]
+    ones, first = np.zeros(words * BITS, np.int64), np.zeros(words * BITS, np.uint8)
+    # sums of up to 255 bits fit a byte
+    for at in range(0, len(hashes), 128):
+        mixed = (hashes[at : at + 128, None] ^ seeds) * factors
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _SPREAD
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.uint8)
+        if not at:
+            first = bits[0]
+    return np.packbits(ones * 2 + first > len(hashes), bitorder="little").view(np.int64)
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -346,7 +388,7 @@ def _block_links(members: pd.DataFrame) -> pd.DataFrame:
     members = members.drop_duplicates("node").sort_values("node")
     nodes, tops = members["node"].to_numpy(), members["root"].to_numpy().copy()
     # bits are counted of unsigned numbers: of others, numpy takes the absolute value
-    sketches = np.stack(members["shingles"].to_list()).astype(np.int64).view(np.uint64)
+    sketches = np.stack(members["sketch"].to_list()).astype(np.int64).view(np.uint64)
     hashes = [np.asarray(h, np.int64) for h in members["hashes"]]
     links = []
     for i in range(len(nodes) - 1):
@@ -361,38 +403,61 @@ def _block_links(members: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Those pairs a, b whose Jaccard similarity is at least ALIKE."""
+def _sketch() -> Column:
+    """The bits of the SimHash that are compared."""
+    return F.slice("shingles", 1, SHINGLE_BITS // BITS)
+
+
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs a, b, each once, that may be alike by size and SimHash, with both sizes."""
     pairs = pairs.select("a", "b").distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("shingles").alias(f"s_{name}"), F.col("n").alias(f"n_{name}"))
+    side = lambda name: nodes.select(F.col("node").alias(name), _sketch().alias(f"s_{name}"), F.col("n").alias(f"n_{name}"))
     bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     of_size = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ALIKE
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(of_size & (bits <= WIDE_DIFFER)).select("a", "b", "n_a", "n_b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(of_size & (bits <= WIDE_DIFFER)).select("a", "b", "n_a", "n_b")
+
+
+def _alike(close: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Those pairs a, b whose Jaccard similarity is at least ALIKE."""
     whole = lambda name: hashes.select(F.col("node").alias(name), F.col("hashes").alias(f"h_{name}"))
     met = close.join(whole("a").hint("merge"), "a").join(whole("b").hint("merge"), "b")
     shared = F.size(F.array_intersect("h_a", "h_b"))
     return met.filter(shared / (F.col("n_a") + F.col("n_b") - shared) >= ALIKE).select("a", "b")
 
 
-def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links a, b that connect near copies, from rows of node, n, shingles and bands (wide fingerprints).
+def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width: int = WIDTH) -> DataFrame:
+    """Links a, b that connect near copies, from rows of node, n, shingles and few (wide SimHashes).
 
-    ``hashed`` gives the shingle hashes (node, hashes) of some nodes. Candidates share the key of
-    a band and differ in at most WIDE_DIFFER bits of the SimHash; all are verified on the
-    hashes. Buckets of a few members are paired. In larger ones all meet the least member; those
+    ``hashed`` gives the shingle hashes (node, hashes) of some nodes. Candidates agree on a part
+    of the SimHash and differ in at most WIDE_DIFFER of the bits compared; all are verified on the
+    hashes. Buckets of a few members are paired. Members of larger ones meet the least member of one; those
     that this leaves apart are compared in blocks, each pair of blocks a task's own, which returns no
     more links than connect its members.
     """
-    keyed = scratch(nodes.select("node", F.explode("bands").alias("v")), "wide-keys")
-    sizes = scratch(keyed.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"), "wide-buckets")
-    few = keyed.join(sizes.filter(F.col("n") <= FEW).select("v"), "v")
-    pairs = few.select("v", F.col("node").alias("a")).join(few.select("v", F.col("node").alias("b")), "v").filter("a < b")
-    many = scratch(keyed.join(sizes.filter(F.col("n") > FEW), "v"), "wide-large")
-    stars = many.filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    pairs = scratch(pairs.select("a", "b").unionByName(stars).distinct(), "wide-pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = part_keys(F.col("n"), F.col("shingles"), F.col("few"), width)
+    keyed = nodes.select("node", F.get("shingles", F.lit(0)).alias("word"), F.explode(keys).alias("v"))
+    order = Window.partitionBy("v").orderBy("node")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct("node", "word")
+    sized = keyed.withColumns({
+        "n": F.count(F.lit(1)).over(whole),
+        "least": F.min(own).over(whole),
+        "before": F.array(*[F.lag(own, k).over(order) for k in range(1, FEW)]),
+    }).filter("n > 1")
+    like = lambda x: F.bit_count(x["word"].bitwiseXOR(F.col("word"))) <= WORD_DIFFER
+    met = F.transform(F.filter("before", lambda x: x.isNotNull() & like(x)), lambda x: x["node"])
+    sized = scratch(sized.select(
+        "v", "node", "n", F.col("least.node").alias("least"), like(F.col("least")).alias("star"), F.when(F.col("n") <= FEW, met).alias("before")
+    ), "wide-buckets")
+    pairs = sized.select(F.explode("before").alias("a"), F.col("node").alias("b"))
+    many = sized.filter(F.col("n") > FEW).select("v", "node", "n", "least", "star")
+    # one star a member: what it leaves apart is compared in blocks
+    stars = many.filter("star and least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
+    # unlike texts that agree on a part by chance go by their bits, before anything is read of their texts
+    close = scratch(_close(pairs.unionByName(stars), nodes), "wide-pairs")
+    met = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
     hashes = scratch(hashed(nodes.join(met, "node", "left_semi")), "wide-hashes")
-    paired = scratch(_alike(pairs, nodes, hashes), "wide-alike")
+    paired = scratch(_alike(close, hashes), "wide-alike")
 
     roots = components(paired)
     rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -403,7 +468,7 @@ def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame]) -> Da
     dealt = rooted.join(apart, "v").withColumns({"blocks": blocks, "mine": mine})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("v", "node", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = dealt.join(nodes.select("node", "shingles"), "node").join(hashes.hint("merge"), "node")
+    full = dealt.join(nodes.select("node", _sketch().alias("sketch")), "node").join(hashes.hint("merge"), "node")
     within = full.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long")
     return paired.unionByName(within)
 
@@ -415,11 +480,12 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     at least ALIKE, counted on 64-bit hashes. Groups are what links reach. Texts without words are
     near copies of each other; rows that repeat are too.
     """
+    width = width_for(docs.count())
     keys = text_keys(docs[id_col], docs[text_col])
-    stored = docs.select(*[k.alias(name) for name, k in keys.items()], wide_fingerprints(docs[text_col]).alias("w"))
+    stored = docs.select(*[k.alias(name) for name, k in keys.items()], wide_simhash(docs[text_col], width).alias("w"))
     rows = scratch(stored.select(*keys, "w.*"), "wide-rows")
     least = F.min(F.struct("key_none", "key_id", "key_a", "key_b"))
-    same = rows.groupBy("digest").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "shingles", "bands")])
+    same = rows.groupBy("digest").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "shingles", "few")])
     nodes = scratch(same.withColumn("node", F.monotonically_increasing_id()), "wide-fingerprints")
 
     def hashed(some: DataFrame) -> DataFrame:
@@ -428,7 +494,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = F.row_number().over(Window.partitionBy(*keys).orderBy("node"))
         return met.withColumn("nth", first).filter("nth = 1").select("node", shingle_hashes(F.col("text")).alias("hashes"))
 
-    roots = scratch(components(wide_links(nodes, hashed)), "wide-roots")
+    roots = scratch(components(wide_links(nodes, hashed, width)), "wide-roots")
     linked = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     wanted = linked.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return one_of_each(docs, keys, scratch(wanted, "wide-kept"))
