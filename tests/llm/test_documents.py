@@ -316,6 +316,18 @@ def test_versions_query_ends_paragraphs_at_every_sentence(spark, tmp_path):
     assert got[3].near_edited > 0.3 and got[2].near_edited > 0.3
 
 
+def test_one_look_recovers_what_peeling_does(spark):
+    rnd = random.Random(12)
+    rows = [(i, rnd.randrange(-(2**63), 2**63), rnd.choice((-1, 1))) for i in range(300) for _ in range(i % 12)]
+    cells = versions.sketches(spark.createDataFrame(rows, "row int, digest long, sign int"), "row")
+    peeled = versions.peel(F.col("cells"))
+    want = F.struct(F.size(peeled["got"]).alias("d"), versions.is_empty(peeled["cells"]).alias("ok"))
+    got = cells.select("row", want.alias("want"), versions.peeled_count(F.col("cells")).alias("got")).collect()
+    assert len(got) == 275 and all(r.want == r.got for r in got if r.want.ok or r.got.ok)
+    assert {r.want.ok for r in got} == {r.got.ok for r in got} == {True, False}
+    assert all(r.got.d == r.row % 12 for r in got if r.got.ok)
+
+
 def test_versions_with_null_and_repeated_ids(spark, docs):
     got = versions.compare_with_edits(docs).collect()
     assert len(got) == len(texts())

@@ -139,10 +139,33 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s.dropFields("going"))
 
 
+def peeled_count(cells: Column) -> Column:
+    """What peeling recovers of a difference of sketches, a struct of d (digests) and ok (whether that is all).
+
+    Where each cell of a table is empty or holds a single digest, that table gives all of them away in one look; only
+    other sketches are peeled.
+    """
+
+    def single(x: Column) -> Column:
+        none = (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)
+        return none | (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))
+
+    def told(d: Column, ok: Column) -> Column:
+        return F.struct(d.cast("int").alias("d"), ok.alias("ok"))
+
+    peeled = F.transform(F.array(peel(cells)), lambda p: told(F.size(p["got"]), is_empty(p["cells"])))[0]
+    for table in reversed(range(TABLES)):
+        own = [F.get(cells, F.lit(table * WIDTH + i)) for i in range(WIDTH)]
+        looks = reduce(lambda a, b: a & b, [single(x) for x in own])
+        found = reduce(lambda a, b: a + b, [F.abs(x["n"]) for x in own])
+        peeled = F.when(looks, told(found, F.lit(True))).otherwise(peeled)
+    return peeled
+
+
 def fingerprint_text(cells: Column) -> Column:
     """A sketch as text: for each cell count, digests and checks in hexadecimal."""
-    word = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
-    return F.array_join(F.transform(cells, lambda x: F.concat(F.lpad(F.lower(F.hex(x["n"])), 4, "0"), word(x["k"]), word(x["c"]))), "")
+    word = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.lower(F.array_join(F.transform(cells, lambda x: F.concat(F.lpad(F.hex(x["n"]), 4, "0"), word(x["k"]), word(x["c"]))), ""))
 
 
 def by_row(df: DataFrame) -> DataFrame:
@@ -178,8 +201,7 @@ def larger_sketches(stored: DataFrame, pairs: list[tuple[str, str, str]]) -> Dat
     while True:
         rows = level.withColumn("part", place.bitwiseAND(F.col("parts") - 1))
         cells = sketches(rows, "row", "pair", "parts", "part").filter(~is_empty(F.col("cells")))
-        peeled = cells.withColumn("p", peel(F.col("cells")))
-        done = scratch(peeled.select("row", "pair", "parts", "part", F.size("p.got").alias("d"), is_empty(F.col("p.cells")).alias("ok")), "peeled")
+        done = scratch(cells.withColumn("p", peeled_count(F.col("cells"))).select("row", "pair", "parts", "part", "p.d", "p.ok"), "peeled")
         found.append(done.filter("ok").select("row", "pair", "d"))
         failed = done.filter("not ok").select("row", "pair", "parts", F.col("part").alias("of"))
         if failed.isEmpty():
