@@ -517,6 +517,51 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, block):
     assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()} == want
 
 
+def test_only_strays_meet_all_members_of_a_bucket(spark, monkeypatch):
+    """Rows of a large bucket grow with its members where most of them have one root; any two of different roots meet."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    members = [(v, v * 1000 + k, v * 1000 + (k if k in strays else 500)) for v, n, strays in [(1, 200, {3, 4, 5}), (2, 6, {1}), (3, 60, range(20)), (4, 40, ())] for k in range(n)]
+    cells = simhash.block_cells(spark.createDataFrame(members, "v long, node long, root long")).collect()
+    rows, met = collections.Counter(r.v for r in cells), collections.defaultdict(list)
+    assert rows[1] == 197 + 3 * 26 and rows[2] == 6 and rows[4] == 0
+    for r in cells:
+        met[r.v, r.i, r.j].append(r)
+    pairs = {frozenset((x.node, y.node)) for cell in met.values() for x in cell for y in cell if x.root != y.root}
+    assert pairs == {frozenset((x, y)) for v, x, r in members for w, y, q in members if v == w and r != q}
+
+
+def test_members_are_joined_once_not_for_each_bucket(spark, monkeypatch):
+    """A large group of texts of similarity 0.6 to 0.9: what is known of a member is joined once, not for each of its pairs or buckets."""
+    rnd = random.Random(12)
+    base = [f"g{rnd.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for place in rnd.sample(range(150), rnd.randrange(1, 9)):
+            words[place] = f"n{i}x{place}"
+        rows.append((i, " ".join(words), "s"))
+    made, whole = {}, simhash.scratch
+
+    def noted(df, name):
+        out = whole(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "scratch", noted)
+    joined, join = [], type(documents(spark, rows)).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on in ("node", "b") and how is None:
+            joined.append(out)
+        return out
+
+    monkeypatch.setattr(type(documents(spark, rows)), "join", counted)
+    simhash.without_near_copies(documents(spark, rows)).collect()
+    assert made["wide-cells"] > 4 * len(rows) and joined
+    assert max(x.count() for x in joined) <= len(rows)
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 
 

@@ -380,15 +380,50 @@ def shingle_hashes(text: Column) -> Column:
     return hashes(F.coalesce(text, F.lit("")))
 
 
+def block_cells(rooted: DataFrame) -> DataFrame:
+    """Members (v, node, root and more) of the buckets with several roots, dealt to cells (v, i, j) where any two of different roots meet.
+
+    Most members of a large bucket are connected already, so only the others, the strays, meet all members.
+    Members with the bucket's most frequent root are met by blocks of strays and never by each other: their
+    rows grow with the members, and with their square only by strays that fill several blocks.
+    """
+    bucket = Window.partitionBy("v")
+    counted = rooted.repartition("v").withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("v", "root")))
+    counted = counted.withColumns({"_n": F.count(F.lit(1)).over(bucket), "_most": F.max(F.struct("_same", "root")).over(bucket)})
+    counted = counted.filter(F.col("_n") > F.col("_most._same"))
+    one = F.col("_n") <= BLOCK
+    strays = F.when(one, 1).otherwise(F.ceil((F.col("_n") - F.col("_most._same")) / BLOCK)).cast("int")
+    mains = F.when(one, 0).otherwise(F.ceil(F.col("_most._same") / BLOCK)).cast("int")
+    dealt = counted.withColumns({"_strays": strays, "_mains": mains, "_main": ~one & (F.col("root") == F.col("_most.root"))})
+    at = lambda blocks: F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1))).cast("int")
+    mine = F.when(F.col("_main"), F.col("_strays") + at(F.col("_mains"))).otherwise(at(F.col("_strays")))
+    met = F.when(F.col("_main"), F.col("_strays")).otherwise(F.col("_strays") + F.col("_mains"))
+    dealt = dealt.withColumns({"_mine": mine, "_other": F.explode(F.sequence(F.lit(0), met - 1))})
+    return dealt.select(*rooted.columns, F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"))
+
+
+def _sketches(members: pd.DataFrame) -> np.ndarray:
+    # bits are counted of unsigned numbers: of others, numpy takes the absolute value
+    return np.stack(members["sketch"].to_list()).astype(np.int64).view(np.uint64)
+
+
+def _block_candidates(members: pd.DataFrame) -> pd.DataFrame:
+    """Members of a cell with a candidate among those of another root."""
+    sketches, roots, found = _sketches(members), members["root"].to_numpy(), np.zeros(len(members), bool)
+    for at in range(0, len(members), 256):
+        differ = np.bitwise_count(sketches[at : at + 256, None] ^ sketches).sum(2, dtype=np.int64)
+        found[at : at + 256] = ((differ <= WIDE_DIFFER) & (roots[at : at + 256, None] != roots)).any(1)
+    return members.loc[found, ["v", "i", "j", "node", "root", "sketch"]]
+
+
 def _block_links(members: pd.DataFrame) -> pd.DataFrame:
-    """Links within a pair of blocks, as many as it takes to connect what they connect.
+    """Links within a cell, as many as it takes to connect what they connect.
 
     Members with the same root are connected already.
     """
     members = members.drop_duplicates("node").sort_values("node")
     nodes, tops = members["node"].to_numpy(), members["root"].to_numpy().copy()
-    # bits are counted of unsigned numbers: of others, numpy takes the absolute value
-    sketches = np.stack(members["sketch"].to_list()).astype(np.int64).view(np.uint64)
+    sketches = _sketches(members)
     hashes = [np.asarray(h, np.int64) for h in members["hashes"]]
     links = []
     for i in range(len(nodes) - 1):
@@ -408,21 +443,29 @@ def _sketch() -> Column:
     return F.slice("shingles", 1, SHINGLE_BITS // BITS)
 
 
+def _with_b(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs a, b, each once, with what is known of b (a row for each b), which meets all pairs of a member at once.
+
+    A b has few pairs: the members before it in a small bucket for each of its keys, and one star. An a may have very many.
+    """
+    lists = pairs.groupBy("b").agg(F.collect_set("a").alias("a"))
+    return lists.join(known, "b").withColumn("a", F.explode("a"))
+
+
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those pairs a, b, each once, that may be alike by size and SimHash, with both sizes."""
-    pairs = pairs.select("a", "b").distinct()
+    """Those pairs a, b, each once, that may be alike by size and SimHash."""
     side = lambda name: nodes.select(F.col("node").alias(name), _sketch().alias(f"s_{name}"), F.col("n").alias(f"n_{name}"))
     bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     of_size = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ALIKE
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(of_size & (bits <= WIDE_DIFFER)).select("a", "b", "n_a", "n_b")
+    return _with_b(pairs, side("b")).join(side("a"), "a").filter(of_size & (bits <= WIDE_DIFFER)).select("a", "b")
 
 
 def _alike(close: DataFrame, hashes: DataFrame) -> DataFrame:
     """Those pairs a, b whose Jaccard similarity is at least ALIKE."""
     whole = lambda name: hashes.select(F.col("node").alias(name), F.col("hashes").alias(f"h_{name}"))
-    met = close.join(whole("a").hint("merge"), "a").join(whole("b").hint("merge"), "b")
+    met = _with_b(close, whole("b").hint("merge")).join(whole("a").hint("merge"), "a")
     shared = F.size(F.array_intersect("h_a", "h_b"))
-    return met.filter(shared / (F.col("n_a") + F.col("n_b") - shared) >= ALIKE).select("a", "b")
+    return met.filter(shared / (F.size("h_a") + F.size("h_b") - shared) >= ALIKE).select("a", "b")
 
 
 def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width: int = WIDTH) -> DataFrame:
@@ -431,8 +474,8 @@ def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width
     ``hashed`` gives the shingle hashes (node, hashes) of some nodes. Candidates agree on a part
     of the SimHash and differ in at most WIDE_DIFFER of the bits compared; all are verified on the
     hashes. Buckets of a few members are paired. Members of larger ones meet the least member of one; those
-    that this leaves apart are compared in blocks, each pair of blocks a task's own, which returns no
-    more links than connect its members.
+    that this leaves apart are compared in blocks: by their bits first, and of those with candidates by
+    their hashes, which returns no more links than connect the members of a cell.
     """
     keys = part_keys(F.col("n"), F.col("shingles"), F.col("few"), width)
     keyed = nodes.select("node", F.get("shingles", F.lit(0)).alias("word"), F.explode(keys).alias("v"))
@@ -450,7 +493,7 @@ def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width
         "v", "node", "n", F.col("least.node").alias("least"), like(F.col("least")).alias("star"), F.when(F.col("n") <= FEW, met).alias("before")
     ), "wide-buckets")
     pairs = sized.select(F.explode("before").alias("a"), F.col("node").alias("b"))
-    many = sized.filter(F.col("n") > FEW).select("v", "node", "n", "least", "star")
+    many = sized.filter(F.col("n") > FEW).select("v", "node", "least", "star")
     # one star a member: what it leaves apart is compared in blocks
     stars = many.filter("star and least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
     # unlike texts that agree on a part by chance go by their bits, before anything is read of their texts
@@ -459,16 +502,14 @@ def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width
     hashes = scratch(hashed(nodes.join(met, "node", "left_semi")), "wide-hashes")
     paired = scratch(_alike(close, hashes), "wide-alike")
 
-    roots = components(paired)
-    rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = scratch(rooted, "wide-rooted")
-    apart = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("v")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rooted.join(apart, "v").withColumns({"blocks": blocks, "mine": mine})
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("v", "node", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = dealt.join(nodes.select("node", _sketch().alias("sketch")), "node").join(hashes.hint("merge"), "node")
+    # what is known of a member is joined once, not for each of its buckets or cells
+    members = many.groupBy("node").agg(F.collect_list("v").alias("v")).join(components(paired), "node", "left")
+    members = members.join(nodes.select("node", _sketch().alias("sketch")), "node")
+    rooted = members.select(F.explode("v").alias("v"), "node", F.coalesce("root", "node").alias("root"), "sketch")
+    kept = "v long, i int, j int, node long, root long, sketch array<long>"
+    found = block_cells(rooted).groupBy("v", "i", "j").applyInPandas(_block_candidates, kept)
+    found = scratch(found, "wide-cells").groupBy("node", "root", "sketch").agg(F.collect_list(F.struct("v", "i", "j")).alias("cells"))
+    full = found.join(hashes.hint("merge"), "node").select("node", "root", "sketch", "hashes", F.inline("cells"))
     within = full.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long")
     return paired.unionByName(within)
 
