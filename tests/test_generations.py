@@ -78,6 +78,23 @@ def test_deleted_symbols(spark, store, tmp_path):
     assert all(r.kind == "base" for r in store.manifest()) and not os.listdir(str(tmp_path / "bars/deleted"))
 
 
+def test_compacted_bars_are_not_ranked_again(spark, store):
+    """A folder that compaction wrote holds each key once: only partitions with batches are ranked on reading."""
+    ranks = lambda df: "Window" in df._jdf.queryExecution().optimizedPlan().toString()
+    store.append(bars(spark, bar("A", "1m", 1, 1.0, 5, False), bar("A", "1m", 1, 2.0, 9, True), bar("B", "1d", 40), bar("C", "1d", 40)), 0)
+    assert ranks(store.read())
+    store.compact()
+    store.delete(spark.createDataFrame([("C",)], "symbol string"))
+    want = {("A", "1m", 60_000): (2.0, 9, True)}
+    daily = {k: v for k, v in content(store.read()).items() if k[1] == "1d"}
+    assert not ranks(store.read()) and {k[0] for k in daily} == {"B"} and content(store.read()) == want | daily
+    store.append(bars(spark, bar("A", "1m", 1, 7.0, 99, True)), 1)
+    want = {("A", "1m", 60_000): (7.0, 99, True)}
+    assert ranks(store.read()) and content(store.read()) == want | daily
+    store.compact(purge=True)
+    assert not ranks(store.read()) and content(store.read()) == want | daily
+
+
 def test_files_stay_few_over_many_batches(spark, store, tmp_path):
     files = []
     for batch in range(50):
