@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -581,6 +582,25 @@ def brute_segments(scores):
     return brute_segments(scores[:i]) + [(i, j, best[0])] + shift(brute_segments(scores[j + 1 :]), j + 1)
 
 
+def test_pipeline_hands_texts_over_in_small_batches(spark):
+    """A batch of 10,000 texts took hundreds of MB beyond the heap, of an executor that has 3,000 in all."""
+    import corpus_pipeline
+    from tickbars.session import BATCH_BYTES, BATCH_ROWS
+
+    @F.pandas_udf("struct<rows: int, bytes: long>")
+    def got(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"rows": [len(texts)] * len(texts), "bytes": [int(texts.str.len().sum())] * len(texts)})
+
+    for stage, asked, most in ((corpus_pipeline.without_near_copies, "10000", BATCH_ROWS), (corpus_pipeline.encoded, "0", BATCH_ROWS), (corpus_pipeline.encoded, "7", 7)):
+        own = spark.newSession()
+        own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", asked)
+        assert stage(own, documents(own), "").count()
+        short = own.range(0, 4000, 1, 1).select(got(F.col("id").cast("string")).alias("g"))
+        assert short.agg(F.max("g.rows")).first()[0] == most
+        long = own.range(0, 100, 1, 1).select(got(F.repeat(F.lit("x"), 100_000 + F.col("id").cast("int") * 0)).alias("g"))
+        assert long.agg(F.max("g.bytes")).first()[0] <= BATCH_BYTES + 100_000
+
+
 def test_maximal_segments():
     rnd = random.Random(8)
     for _ in range(200):
