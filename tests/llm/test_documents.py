@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -518,6 +519,64 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, block):
     assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()} == want
 
 
+def pairs_without_a_shared_part(n, width=simhash.NARROW):
+    """Texts of similarity 0.8 or more whose SimHashes agree on no part."""
+    rnd, place = np.random.default_rng(13), 1 << np.arange(width)
+    parts, out = simhash.parts_of(width), []
+
+    def values(text):
+        words = simhash._wide_bits(simhash._shingle_hashes(simhash._shingles(text)), parts * width // 64 + 1)
+        return np.unpackbits(words.view(np.uint8), bitorder="little")[: parts * width].reshape(parts, width) @ place
+
+    while len(out) < n:
+        words = [f"m{k}" for k in rnd.integers(0, 10**6, 40)]
+        pair = " ".join(words), " ".join([*words, *(f"n{k}" for k in rnd.integers(0, 10**6, 9))])
+        if not (values(pair[0]) == values(pair[1])).any():
+            out.append(pair)
+    return out
+
+
+def test_near_copies_that_no_part_of_the_simhash_finds(spark):
+    pairs = pairs_without_a_shared_part(3)
+    assert all(jaccard(shingle_set(a), shingle_set(b)) >= 0.8 for a, b in pairs)
+    rows = [(2 * i + j, t, "s") for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    held = documents(spark, rows).select("doc_id", simhash.wide_fingerprints(F.col("text"), simhash.NARROW).alias("w")).collect()
+    bands = {r.doc_id: set(r.w.bands) for r in held}
+    assert all(bands[2 * i].isdisjoint(bands[2 * i + 1]) for i in range(len(pairs)))
+    assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()} == {0, 2, 4}
+
+
+@pytest.mark.parametrize("block, paired, common", [(8, 4, 16), (1024, 64, 2), (8, 4, 10**9)])
+def test_rarest_shingles_miss_no_near_copy(spark, monkeypatch, block, paired, common):
+    """What the SimHash leaves apart is found, also where it leaves all apart, and where lines are common."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "simhash_links", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    line = " ".join(f"common{k}" for k in range(30))
+    words = lambda i, n: " ".join(f"t{i}x{k}" for k in range(n))
+    rows = mixed_copies()
+    rows += [(2000 + i, f"{t} {line}" if i % 2 else f"{line} {t}", "s") for i, (_, t, _) in enumerate(rows[:60])]
+    rows += [(3000 + 3 * i + j, words(i, n), "s") for i in range(4) for j, n in enumerate((7 + i, 8 + i, 9 + i))]
+    rows += [(4000, line, "s"), (4001, line + " end", "s"), (4002, "", "s")]
+    sets = [shingle_set(t) for _, t, _ in rows]
+    roots = roots_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    want = {min(rows[i][0] for i in range(len(rows)) if roots[i] == r) for r in roots}
+    assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()} == want
+
+
+def test_common_shingles_come_last(spark):
+    """A line of all texts fills no bucket: it is among the rarest shingles of none that has others."""
+    line = " ".join(f"common{k}" for k in range(20))
+    rows = [(i, " ".join(f"x{i}y{k}" for k in range(60)) + " " + line, "s") for i in range(40)]
+    common = simhash.common_shingles(documents(spark, rows).select("text"))
+    shared = simhash._folded(simhash._shingle_hashes(simhash._shingles(line)))
+    held = documents(spark, rows).select(simhash.rare_shingles(F.col("text"), common).alias("r")).collect()
+    met = collections.Counter(s % 2**32 for r in held for s in r.r.rare)
+    assert all(len(r.r.rare) == 76 - 61 + 1 for r in held) and max(met.values()) < simhash.COMMON
+    assert set(common.value[0].tolist()) <= set(shared.tolist()) and len(common.value[0])
+
+
 def test_only_strays_meet_all_members_of_a_bucket(spark, monkeypatch):
     """Rows of a large bucket grow with its members where most of them have one root; any two of different roots meet."""
     monkeypatch.setattr(simhash, "BLOCK", 8)

@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -272,6 +273,18 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 FEW = 8
 BLOCK = 1024
 
+#: What the SimHash leaves apart meets by its rarest shingles. A shingle that is among those of COMMON texts is common and
+#: comes last in the order; tasks are told of LISTED at most, found in so many ROUNDS. The order decides what is compared only.
+COMMON = 16
+LISTED = 1 << 17
+ROUNDS = 2
+
+#: Members of a bucket of a shingle that are joined with each other; larger ones are compared in blocks.
+PAIRED = 64
+
+#: The least share of the shingles of two near copies, counted for each, that they have in common.
+SHARED = ALIKE / (1 + ALIKE)
+
 
 def parts_of(width: int) -> int:
     """Parts of so many bits that it takes to find texts of similarity ALIKE."""
@@ -452,12 +465,29 @@ def _with_b(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return lists.join(known, "b").withColumn("a", F.explode("a"))
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those pairs a, b, each once, that may be alike by size and SimHash."""
-    side = lambda name: nodes.select(F.col("node").alias(name), _sketch().alias(f"s_{name}"), F.col("n").alias(f"n_{name}"))
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _near_by_simhash(bits: Column, n: Column) -> Column:
+    """Whether that many bits of the SimHash may differ, of texts that have n shingles together."""
+    return bits <= WIDE_DIFFER
+
+
+def _near_by_parities(bits: Column, n: Column) -> Column:
+    """Whether that many parities may differ: for each, one of the texts has a shingle at least that the other has not."""
+    return bits <= n * (1 - 2 * SHARED) + 1e-6
+
+
+def _close(pairs: DataFrame, sketched: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Those pairs a, b, each once, that may be alike by size and by the bits of their sketches (node, n, sketch).
+
+    A sketch that is twice as long as the other is folded.
+    """
+    side = lambda name: sketched.select(F.col("node").alias(name), F.col("sketch").alias(f"s_{name}"), F.col("n").alias(f"n_{name}"))
+    differ = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    folded = lambda x, n: F.when(F.size(x) > n, differ(F.slice(x, 1, n), F.slice(x, n + 1, n))).otherwise(F.col(x))
+    least = F.least(F.size("s_a"), F.size("s_b"))
+    bits = F.aggregate(differ(folded("s_a", least), folded("s_b", least)), F.lit(0), lambda s, x: s + F.bit_count(x))
     of_size = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ALIKE
-    return _with_b(pairs, side("b")).join(side("a"), "a").filter(of_size & (bits <= WIDE_DIFFER)).select("a", "b")
+    met = _with_b(pairs, side("b")).join(side("a"), "a")
+    return met.filter(of_size & near(bits, F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _alike(close: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -468,11 +498,20 @@ def _alike(close: DataFrame, hashes: DataFrame) -> DataFrame:
     return met.filter(shared / (F.size("h_a") + F.size("h_b") - shared) >= ALIKE).select("a", "b")
 
 
-def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width: int = WIDTH) -> DataFrame:
-    """Links a, b that connect near copies, from rows of node, n, shingles and few (wide SimHashes).
+def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], rare: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Links a, b that connect all near copies, from rows of node, n, shingles and few (wide SimHashes).
+
+    ``hashed`` gives the shingle hashes (node, hashes) of some nodes, ``rare`` holds their rarest shingles (node, n,
+    rare, parities). The SimHash finds nearly all links; those it misses are found by the rarest shingles.
+    """
+    found = scratch(simhash_links(nodes, hashed, width), "wide-links")
+    return found.unionByName(missed_links(rare, hashed, components(found)))
+
 
-    ``hashed`` gives the shingle hashes (node, hashes) of some nodes. Candidates agree on a part
-    of the SimHash and differ in at most WIDE_DIFFER of the bits compared; all are verified on the
+def simhash_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width: int = WIDTH) -> DataFrame:
+    """Links a, b that connect near copies whose SimHashes agree on a part.
+
+    Candidates agree on a part of the SimHash and differ in at most WIDE_DIFFER of the bits compared; all are verified on the
     hashes. Buckets of a few members are paired. Members of larger ones meet the least member of one; those
     that this leaves apart are compared in blocks: by their bits first, and of those with candidates by
     their hashes, which returns no more links than connect the members of a cell.
@@ -497,9 +536,10 @@ def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width
     # one star a member: what it leaves apart is compared in blocks
     stars = many.filter("star and least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
     # unlike texts that agree on a part by chance go by their bits, before anything is read of their texts
-    close = scratch(_close(pairs.unionByName(stars), nodes), "wide-pairs")
+    sketched = nodes.select("node", "n", _sketch().alias("sketch"))
+    close = scratch(_close(pairs.unionByName(stars), sketched, _near_by_simhash), "wide-pairs")
     met = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
-    hashes = scratch(hashed(nodes.join(met, "node", "left_semi")), "wide-hashes")
+    hashes = scratch(hashed(met), "wide-hashes")
     paired = scratch(_alike(close, hashes), "wide-alike")
 
     # what is known of a member is joined once, not for each of its buckets or cells
@@ -514,6 +554,131 @@ def wide_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], width
     return paired.unionByName(within)
 
 
+def _rarest(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of sorted distinct hashes the first in the order of all texts, of which near copies share one: common ones come last.
+
+    A near copy has a share of ALIKE of the text's shingles at least. The first ones are as many as leave
+    fewer than that, so those that are shared can't all lie behind them.
+    """
+    if len(hashes) < LEAST:
+        return hashes[:0]
+    first, (folds, levels) = len(hashes) - math.ceil(ALIKE * len(hashes) - 1e-9) + 1, common
+    if not len(folds):
+        return hashes[:first]
+    own = _folded(hashes)
+    at = np.minimum(np.searchsorted(folds, own), len(folds) - 1)
+    return hashes[np.lexsort((hashes, np.where(folds[at] == own, levels[at], 0)))[:first]]
+
+
+def _folded(hashes: np.ndarray) -> np.ndarray:
+    """The upper halves of hashes: shingles that share one meet as if they were the same, and are told apart later."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Bits of which each says whether a text has an odd number of the hashes that fall to it, at least one for each hash."""
+    bits = max(BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def rare_shingles(text: Column, common: Broadcast) -> Column:
+    """Of a text's distinct five-word shingles: n, the rarest (rare, folded, in the order of all texts) and the parities."""
+
+    @F.pandas_udf("n int, rare array<int>, parities array<long>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        hashes = [_shingle_hashes(_shingles(t)) for t in texts]
+        rows = [(len(h), _folded(_rarest(h, common.value)).view(np.int32), _parities(h)) for h in hashes]
+        return pd.DataFrame(rows, columns=["n", "rare", "parities"])
+
+    return told(F.coalesce(text, F.lit("")))
+
+
+def common_shingles(texts: DataFrame) -> Broadcast:
+    """Shingles (folded, sorted) that are among the rarest of COMMON texts (text) or more, and their levels, for the tasks.
+
+    Each round counts what the round before made one of a text's rarest, in place of what it found to be common.
+    """
+    sc = texts.sparkSession.sparkContext
+    before, known = None, sc.broadcast((np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+    for _ in range(ROUNDS):
+        met = texts.select(F.explode(_newly_rare(F.col("text"), before, known)).alias("s"))
+        held = met.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+        held = scratch(held.select("s", F.floor(F.log2("n")).cast("int").alias("level")), "common-shingles")
+        folds, levels = known.value
+        room, least = LISTED - len(folds), None
+        for r in sorted(held.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["level"]
+        if least is None:
+            break
+        more = held.filter(F.col("level") >= least).toPandas()
+        folds = np.concatenate([folds, more["s"].to_numpy(np.int32).view(np.uint32)])
+        levels = np.concatenate([levels, more["level"].to_numpy(np.int64)])
+        order = np.argsort(folds)
+        before, known = known, sc.broadcast((folds[order], levels[order]))
+    return known
+
+
+def _newly_rare(text: Column, before: Broadcast | None, known: Broadcast) -> Column:
+    """A text's rarest shingles, folded, by the common ones that are known, without those that were among them before."""
+
+    @F.pandas_udf("array<int>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            hashes = _shingle_hashes(_shingles(text))
+            rare = _rarest(hashes, known.value)
+            if before is not None:
+                rare = np.setdiff1d(rare, _rarest(hashes, before.value), assume_unique=True)
+            folds = np.unique(_folded(rare))
+            out.append(np.setdiff1d(folds, known.value[0], assume_unique=True).view(np.int32))
+        return pd.Series(out, dtype=object)
+
+    return shingles(F.coalesce(text, F.lit("")))
+
+
+def _enough(a, b, least: Callable):
+    """Whether two members of a bucket may be alike, of columns or arrays: what they share stands from its shingle on in both."""
+    return (least(a["behind"], b["behind"]) >= (a["n"] + b["n"]) * SHARED - 1e-6) & (a["root"] != b["root"])
+
+
+def _cell_pairs(members: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a cell's members that may be alike."""
+    own = {c: members[c].to_numpy() for c in ("node", "root", "n", "behind")}
+    found = []
+    for at in range(0, len(members), 256):
+        some = {c: x[at : at + 256, None] for c, x in own.items()}
+        i, j = np.nonzero(_enough(some, own, np.minimum) & (some["node"] < own["node"]))
+        found.append(pd.DataFrame({"a": own["node"][i + at], "b": own["node"][j]}))
+    return pd.concat(found)
+
+
+def missed_links(rare: DataFrame, hashed: Callable[[DataFrame], DataFrame], roots: DataFrame) -> DataFrame:
+    """Links a, b between all near copies of different roots (node, root; nodes that are absent are their own).
+
+    Two texts of similarity ALIKE share one of their rarest shingles (``rare``: node, n, rare, parities), whatever the order.
+    Of the first that they share there are enough behind it in both, or they are surely unlike; so they are
+    where too many parities differ. All other pairs are verified on the hashes.
+    """
+    rooted = rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = rooted.select("node", "root", "n", F.posexplode("rare").alias("at", "s"))
+    bucket = Window.partitionBy("v")
+    sized = placed.select(F.col("s").cast("long").alias("v"), "node", "root", "n", (F.col("n") - F.col("at")).alias("behind"))
+    sized = sized.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
+    sized = scratch(sized.filter("low < high").drop("low", "high"), "rare-buckets")
+    few = sized.filter(F.col("size") <= PAIRED).select("v", F.struct("node", "root", "n", "behind").alias("a"))
+    met = few.hint("merge").join(few.withColumnRenamed("a", "b").hint("merge"), "v").filter("a.node < b.node").filter(_enough(F.col("a"), F.col("b"), F.least))
+    paired = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    cells = block_cells(sized.filter(F.col("size") > PAIRED).drop("size")).groupBy("v", "i", "j").applyInPandas(_cell_pairs, "a long, b long")
+    pairs = scratch(paired.unionByName(cells).distinct(), "rare-pairs")
+    close = scratch(_close(pairs, rare.select("node", "n", F.col("parities").alias("sketch")), _near_by_parities), "rare-close")
+    hashes = scratch(hashed(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "rare-hashes")
+    return _alike(close, hashes)
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group of near copies, the one with the least id (null ids last).
 
@@ -529,13 +694,19 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = rows.groupBy("digest").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "shingles", "few")])
     nodes = scratch(same.withColumn("node", F.monotonically_increasing_id()), "wide-fingerprints")
 
-    def hashed(some: DataFrame) -> DataFrame:
-        own = docs.select(*[k.alias(name) for name, k in keys.items()], docs[text_col].alias("text"))
+    def of_nodes(some: DataFrame, told: Column, name: str) -> DataFrame:
+        own = docs.select(*[k.alias(key) for key, k in keys.items()], told.alias(name))
         met = own.join(some.select("node", "least.*").hint("merge"), list(keys))
         first = F.row_number().over(Window.partitionBy(*keys).orderBy("node"))
-        return met.withColumn("nth", first).filter("nth = 1").select("node", shingle_hashes(F.col("text")).alias("hashes"))
+        return met.withColumn("nth", first).filter("nth = 1").select("node", name)
+
+    def hashed(some: DataFrame) -> DataFrame:
+        met = of_nodes(nodes.join(some, "node", "left_semi"), docs[text_col], "text")
+        return met.select("node", shingle_hashes(F.col("text")).alias("hashes"))
 
-    roots = scratch(components(wide_links(nodes, hashed, width)), "wide-roots")
+    common = common_shingles(docs.select(docs[text_col].alias("text")))
+    rare = scratch(of_nodes(nodes, rare_shingles(docs[text_col], common), "r").select("node", "r.*"), "rare-shingles")
+    roots = scratch(components(wide_links(nodes, hashed, rare, width)), "wide-roots")
     linked = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     wanted = linked.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return one_of_each(docs, keys, scratch(wanted, "wide-kept"))
