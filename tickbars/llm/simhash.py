@@ -280,7 +280,10 @@ LISTED = 1 << 17
 ROUNDS = 2
 
 #: Members of a bucket of a shingle that are joined with each other; larger ones are compared in blocks.
-PAIRED = 64
+PAIRED = 16
+
+#: Texts that are sought by a broadcast of their keys; more are joined by shuffle.
+SOUGHT = 20_000
 
 #: The least share of the shingles of two near copies, counted for each, that they have in common.
 SHARED = ALIKE / (1 + ALIKE)
@@ -470,7 +473,7 @@ def _near_by_simhash(bits: Column, n: Column) -> Column:
     return bits <= WIDE_DIFFER
 
 
-def _near_by_parities(bits: Column, n: Column) -> Column:
+def _near_by_parities(bits, n):
     """Whether that many parities may differ: for each, one of the texts has a shingle at least that the other has not."""
     return bits <= n * (1 - 2 * SHARED) + 1e-6
 
@@ -538,7 +541,7 @@ def simhash_links(nodes: DataFrame, hashed: Callable[[DataFrame], DataFrame], wi
     # unlike texts that agree on a part by chance go by their bits, before anything is read of their texts
     sketched = nodes.select("node", "n", _sketch().alias("sketch"))
     close = scratch(_close(pairs.unionByName(stars), sketched, _near_by_simhash), "wide-pairs")
-    met = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
+    met = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
     hashes = scratch(hashed(met), "wide-hashes")
     paired = scratch(_alike(close, hashes), "wide-alike")
 
@@ -577,7 +580,7 @@ def _folded(hashes: np.ndarray) -> np.ndarray:
 
 def _parities(hashes: np.ndarray) -> np.ndarray:
     """Bits of which each says whether a text has an odd number of the hashes that fall to it, at least one for each hash."""
-    bits = max(BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    bits = max(BITS, 1 << max(0, 2 * len(hashes) - 1).bit_length())
     odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
@@ -645,23 +648,64 @@ def _enough(a, b, least: Callable):
     return (least(a["behind"], b["behind"]) >= (a["n"] + b["n"]) * SHARED - 1e-6) & (a["root"] != b["root"])
 
 
-def _cell_pairs(members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a cell's members that may be alike."""
+def _apart(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits that differ between sketches i and j, of which the longer ones are folded."""
+    sizes, out = np.array([len(s) for s in sketches]), np.zeros(len(i), np.int64)
+    least = np.minimum(sizes[i], sizes[j])
+    for size in np.unique(least).tolist():
+        fit = np.flatnonzero(least == size)
+        used = np.unique(np.concatenate([i[fit], j[fit]]))
+        folded = np.stack([np.bitwise_xor.reduce(sketches[k].reshape(-1, size), axis=0) for k in used])
+        for some in np.array_split(fit, len(fit) * size // (1 << 20) + 1):
+            a, b = (folded[np.searchsorted(used, side[some])] for side in (i, j))
+            out[some] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
+
+
+def _cell_kin(members: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs of a cell that may be alike, as many as connect what they connect."""
     own = {c: members[c].to_numpy() for c in ("node", "root", "n", "behind")}
-    found = []
+    sketches = [np.asarray(s, np.int64).view(np.uint64) for s in members["sketch"]]
+    nodes, tops, found = own["node"], np.arange(len(members)), []
     for at in range(0, len(members), 256):
         some = {c: x[at : at + 256, None] for c, x in own.items()}
-        i, j = np.nonzero(_enough(some, own, np.minimum) & (some["node"] < own["node"]))
-        found.append(pd.DataFrame({"a": own["node"][i + at], "b": own["node"][j]}))
-    return pd.concat(found)
+        i, j = np.nonzero(_enough(some, own, np.minimum) & (some["node"] < nodes))
+        i += at
+        near = _near_by_parities(_apart(sketches, i, j), own["n"][i] + own["n"][j])
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            if tops[a] != tops[b]:
+                found.append((int(nodes[a]), int(nodes[b])))
+                tops[tops == tops[b]] = tops[a]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _kin_links(members: pd.DataFrame) -> pd.DataFrame:
+    """Links within a cell of kin, as many as connect what they connect, from the counts of shared hashes."""
+    members = members.drop_duplicates("node")
+    nodes, tops = members["node"].to_numpy(), members["root"].to_numpy().copy()
+    n = members["hashes"].str.len().to_numpy()
+    codes = np.unique(np.concatenate(members["hashes"].to_list()), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(n)), n)[np.argsort(codes, kind="stable")]
+    held = np.bincount(codes)
+    first, ends, found = np.cumsum(held) - held, np.cumsum(n), []
+    for i in range(len(nodes)):
+        own = codes[ends[i] - n[i] : ends[i]]
+        each = held[own]
+        shared = np.bincount(holders[np.repeat(first[own] - np.cumsum(each) + each, each) + np.arange(each.sum())], minlength=len(n))
+        for j in np.flatnonzero((shared / (n[i] + n - shared) >= ALIKE) & (tops != tops[i])).tolist():
+            if tops[i] != tops[j]:
+                found.append((int(nodes[i]), int(nodes[j])))
+                tops[tops == tops[j]] = tops[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def missed_links(rare: DataFrame, hashed: Callable[[DataFrame], DataFrame], roots: DataFrame) -> DataFrame:
-    """Links a, b between all near copies of different roots (node, root; nodes that are absent are their own).
+    """Links a, b that connect all near copies of different roots (node, root; nodes that are absent are their own).
 
     Two texts of similarity ALIKE share one of their rarest shingles (``rare``: node, n, rare, parities), whatever the order.
     Of the first that they share there are enough behind it in both, or they are surely unlike; so they are
-    where too many parities differ. All other pairs are verified on the hashes.
+    where too many parities differ. All other pairs, joined in small buckets and met in blocks in large ones, make kin of
+    their texts. Kin are compared by their hashes, which returns no more links than connect them.
     """
     rooted = rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = rooted.select("node", "root", "n", F.posexplode("rare").alias("at", "s"))
@@ -669,14 +713,19 @@ def missed_links(rare: DataFrame, hashed: Callable[[DataFrame], DataFrame], root
     sized = placed.select(F.col("s").cast("long").alias("v"), "node", "root", "n", (F.col("n") - F.col("at")).alias("behind"))
     sized = sized.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
     sized = scratch(sized.filter("low < high").drop("low", "high"), "rare-buckets")
+    sketched = rare.select("node", "n", F.col("parities").alias("sketch"))
     few = sized.filter(F.col("size") <= PAIRED).select("v", F.struct("node", "root", "n", "behind").alias("a"))
     met = few.hint("merge").join(few.withColumnRenamed("a", "b").hint("merge"), "v").filter("a.node < b.node").filter(_enough(F.col("a"), F.col("b"), F.least))
-    paired = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    cells = block_cells(sized.filter(F.col("size") > PAIRED).drop("size")).groupBy("v", "i", "j").applyInPandas(_cell_pairs, "a long, b long")
-    pairs = scratch(paired.unionByName(cells).distinct(), "rare-pairs")
-    close = scratch(_close(pairs, rare.select("node", "n", F.col("parities").alias("sketch")), _near_by_parities), "rare-close")
-    hashes = scratch(hashed(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "rare-hashes")
-    return _alike(close, hashes)
+    pairs = scratch(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "rare-pairs")
+    close = scratch(_close(pairs, sketched, _near_by_parities), "rare-close")
+
+    many = sized.filter(F.col("size") > PAIRED).groupBy("node", "root").agg(F.collect_list(F.struct("v", "behind")).alias("at"))
+    members = many.join(sketched, "node").select("node", "root", "n", "sketch", F.inline("at"))
+    cells = block_cells(members).groupBy("v", "i", "j").applyInPandas(_cell_kin, "a long, b long")
+    kin = scratch(components(close.unionByName(cells)).select("node", F.col("root").alias("v")), "rare-kin")
+    hashes = scratch(hashed(kin.select("node")), "rare-hashes")
+    whole = kin.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(hashes.hint("merge"), "node")
+    return block_cells(whole).groupBy("v", "i", "j").applyInPandas(_kin_links, "a long, b long")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -694,18 +743,19 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = rows.groupBy("digest").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "shingles", "few")])
     nodes = scratch(same.withColumn("node", F.monotonically_increasing_id()), "wide-fingerprints")
 
-    def of_nodes(some: DataFrame, told: Column, name: str) -> DataFrame:
+    def of_nodes(some: DataFrame, told: Column, name: str, how: str) -> DataFrame:
         own = docs.select(*[k.alias(key) for key, k in keys.items()], told.alias(name))
-        met = own.join(some.select("node", "least.*").hint("merge"), list(keys))
+        met = own.join(some.select("node", "least.*").hint(how), list(keys))
         first = F.row_number().over(Window.partitionBy(*keys).orderBy("node"))
         return met.withColumn("nth", first).filter("nth = 1").select("node", name)
 
     def hashed(some: DataFrame) -> DataFrame:
-        met = of_nodes(nodes.join(some, "node", "left_semi"), docs[text_col], "text")
+        sought = scratch(nodes.join(some, "node", "left_semi").select("node", "least"), "wide-sought")
+        met = of_nodes(sought, docs[text_col], "text", "broadcast" if sought.count() <= SOUGHT else "merge")
         return met.select("node", shingle_hashes(F.col("text")).alias("hashes"))
 
     common = common_shingles(docs.select(docs[text_col].alias("text")))
-    rare = scratch(of_nodes(nodes, rare_shingles(docs[text_col], common), "r").select("node", "r.*"), "rare-shingles")
+    rare = scratch(of_nodes(nodes, rare_shingles(docs[text_col], common), "r", "merge").select("node", "r.*"), "rare-shingles")
     roots = scratch(components(wide_links(nodes, hashed, rare, width)), "wide-roots")
     linked = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     wanted = linked.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
